@@ -1,0 +1 @@
+"""Incremental maintenance of the published snapshots as new runs arrive."""

@@ -7,6 +7,8 @@ plans. Views ``events``, ``lineitem``, … are registered by the caller.
 
 from __future__ import annotations
 
+import re
+
 from histshift.config import RunConfig
 from histshift.functions.dates import window_bounds
 from histshift.functions.naming import quantile_names
@@ -52,91 +54,99 @@ def sample_sql(cfg: RunConfig) -> str:
     return f"sample_id < {lit(cfg.sample_cut)}"
 
 
-def run_ctes(cfg: RunConfig, pings_ctes: str | None = None) -> str:
-    """Every intermediate of one comparison run, as CTEs over ``pings``/``ping_bins``."""
+def run_ctes(cfg: RunConfig, s: str = "", pings: str = "pings", bins: str = "ping_bins") -> str:
+    """Every intermediate of one comparison run as CTEs named ``<name><s>`` over the
+    ping CTEs ``pings`` / ``bins`` (no leading WITH, so several runs can be combined)."""
     start, end = window_bounds(cfg.final_date, cfg.num_days)
     est = " + 0.5" if cfg.estimator else ""
-    u = sql_uniform32_md5("client_id", "app_build_id", "rep", cfg.seed)
+    u = sql_uniform32_md5("c.client_id", "c.app_build_id", "r.rep", cfg.seed)
     zv = f"CAST({float(cfg.zero_val)!r} AS DOUBLE)"
     upper = (f"substr(app_build_id, 1, 8) <= {lit(end)}" if cfg.inclusive_end
              else f"app_build_id <= {lit(end)}")
-    return f"""WITH {pings_ctes or event_ping_ctes()},
-sel AS (
-  SELECT client_id, app_build_id FROM pings
+    qn = quantile_names("relds", cfg.quantiles)
+    sql = f"""
+sel__ AS (
+  SELECT client_id, app_build_id, sample_id FROM {pings}
   WHERE app_build_id >= {lit(start)} AND {upper}
     AND app_name = {lit(cfg.app)} AND normalized_channel = {lit(cfg.channel)}
     AND {sample_sql(cfg)}),
-cbp AS (
+cbp__ AS (
   SELECT client_id, substr(app_build_id, 1, 8) AS app_build_id, count(*) AS num_client_pings
-  FROM sel GROUP BY 1, 2),
-cb AS (
-  SELECT s.client_id, substr(s.app_build_id, 1, 8) AS app_build_id, b.probe, b.metric,
+  FROM sel__ GROUP BY 1, 2),
+cb__ AS (
+  SELECT x.client_id, substr(x.app_build_id, 1, 8) AS app_build_id, b.probe, b.metric,
          CAST(sum(b.value) AS DOUBLE){est} AS cnt
-  FROM sel s JOIN ping_bins b ON b.client_id = s.client_id AND b.app_build_id = s.app_build_id
+  FROM sel__ x JOIN {bins} b ON b.client_id = x.client_id AND b.app_build_id = x.app_build_id
   GROUP BY 1, 2, 3, 4),
-dens AS (
+dens__ AS (
   SELECT client_id, app_build_id, probe, metric,
          cnt / sum(cnt) OVER (PARTITION BY client_id, app_build_id, probe) AS measure
-  FROM cb),
-stats AS (
+  FROM cb__),
+stats__ AS (
   SELECT app_build_id, count(*) AS num_profiles, CAST(sum(num_client_pings) AS BIGINT) AS build_pings
-  FROM cbp GROUP BY 1),
-reps AS (SELECT CAST(range AS INTEGER) AS rep FROM range(0, {cfg.num_reps + 1})),
-wts AS (
-  SELECT client_id, app_build_id, rep,
-         CASE WHEN rep = 0 THEN 1 ELSE {sql_poisson1(u)} END AS w
-  FROM cbp, reps),
-rh_raw AS (
+  FROM cbp__ GROUP BY 1),
+reps__ AS (SELECT CAST(range AS INTEGER) AS rep FROM range(0, {cfg.num_reps + 1})),
+wts__ AS (
+  SELECT c.client_id, c.app_build_id, r.rep,
+         CASE WHEN r.rep = 0 THEN 1 ELSE {sql_poisson1(u)} END AS w
+  FROM cbp__ c, reps__ r),
+rh_raw__ AS (
   SELECT w.rep, w.app_build_id, d.probe, d.metric, sum(w.w * d.measure) AS wsum
-  FROM wts w JOIN dens d ON d.client_id = w.client_id AND d.app_build_id = w.app_build_id
+  FROM wts__ w JOIN dens__ d ON d.client_id = w.client_id AND d.app_build_id = w.app_build_id
   WHERE w.w > 0 GROUP BY 1, 2, 3, 4),
-rh AS (
+rh__ AS (
   SELECT rep, app_build_id, probe, metric,
          wsum / sum(wsum) OVER (PARTITION BY rep, app_build_id, probe) AS p
-  FROM rh_raw),
-sizes AS (SELECT rep, app_build_id, CAST(sum(w) AS BIGINT) AS n FROM wts WHERE w > 0 GROUP BY 1, 2),
-cal AS (
+  FROM rh_raw__),
+sizes__ AS (SELECT rep, app_build_id, CAST(sum(w) AS BIGINT) AS n FROM wts__ WHERE w > 0 GROUP BY 1, 2),
+cal__ AS (
   SELECT app_build_id, control_build FROM (
     SELECT app_build_id, lag(app_build_id) OVER (ORDER BY app_build_id) AS control_build
-    FROM (SELECT DISTINCT app_build_id FROM cbp))
+    FROM (SELECT DISTINCT app_build_id FROM cbp__))
   WHERE control_build IS NOT NULL),
-probes AS {values(list(cfg.probes), 'probe')},
-spine AS (
-  SELECT st.rep, cal.app_build_id, cal.control_build, pr.probe, st.n AS n_test, sc.n AS n_control
-  FROM cal JOIN sizes st ON st.app_build_id = cal.app_build_id
-  JOIN sizes sc ON sc.app_build_id = cal.control_build AND sc.rep = st.rep
-  CROSS JOIN probes pr),
-pairs AS (
+probes__ AS {values(list(cfg.probes), 'probe')},
+pairs_rep__ AS (
+  SELECT st.rep, cal.app_build_id, cal.control_build, st.n AS n_test, sc.n AS n_control
+  FROM cal__ cal JOIN sizes__ st ON st.app_build_id = cal.app_build_id
+  JOIN sizes__ sc ON sc.app_build_id = cal.control_build AND sc.rep = st.rep),
+spine__ AS (SELECT x.*, pr.probe FROM pairs_rep__ x CROSS JOIN probes__ pr),
+pairs__ AS (
   SELECT sp.rep, sp.app_build_id, sp.probe, c.p AS p_c, coalesce(t.p, 0.0) AS p_t
-  FROM spine sp
-  JOIN rh c ON c.rep = sp.rep AND c.app_build_id = sp.control_build AND c.probe = sp.probe
-  LEFT JOIN rh t ON t.rep = sp.rep AND t.app_build_id = sp.app_build_id
-                AND t.probe = sp.probe AND t.metric = c.metric),
-relds_sum AS (
+  FROM spine__ sp
+  JOIN rh__ c ON c.rep = sp.rep AND c.app_build_id = sp.control_build AND c.probe = sp.probe
+  LEFT JOIN rh__ t ON t.rep = sp.rep AND t.app_build_id = sp.app_build_id
+                  AND t.probe = sp.probe AND t.metric = c.metric),
+relds_sum__ AS (
   SELECT rep, app_build_id, probe,
          sum(CASE WHEN p_c = 0 THEN (CASE WHEN p_t = 0 THEN 0.0 ELSE {zv} END)
                   ELSE abs(p_c - p_t) END) AS s
-  FROM pairs GROUP BY 1, 2, 3),
-relds AS (
+  FROM pairs__ GROUP BY 1, 2, 3),
+relds__ AS (
   SELECT sp.rep, sp.app_build_id, sp.probe, coalesce(x.s, 0.0) AS relds
-  FROM spine sp LEFT JOIN relds_sum x
+  FROM spine__ sp LEFT JOIN relds_sum__ x
     ON x.rep = sp.rep AND x.app_build_id = sp.app_build_id AND x.probe = sp.probe),
-relds_boot AS (SELECT * FROM relds WHERE rep <> {cfg.measured_rep}),
-relds_meas AS (SELECT * FROM relds WHERE rep = {cfg.measured_rep}),
-relds_q AS (
+relds_q__ AS (
   SELECT q.probe, q.app_build_id, st.num_profiles, st.build_pings AS num_pings,
-         {', '.join(f'q.{n}' for n in quantile_names('relds', cfg.quantiles))}
+         {', '.join(f'q.{n}' for n in qn)}
   FROM (SELECT app_build_id, probe,
-               {', '.join(f'quantile_cont(relds, {q!r}) AS {n}' for q, n in zip(cfg.quantiles, quantile_names('relds', cfg.quantiles)))}
-        FROM relds_boot GROUP BY 1, 2) q
-  JOIN stats st ON st.app_build_id = q.app_build_id),
-means AS (
-  SELECT client_id, app_build_id, probe,
-         sum(metric * measure) / sum(measure) AS mean
-  FROM dens GROUP BY 1, 2, 3),
-hists AS (
-  SELECT app_build_id, probe, metric, p AS measure FROM rh WHERE rep = {cfg.measured_rep})
-"""
+               {', '.join(f'quantile_cont(relds, {q!r}) AS {n}' for q, n in zip(cfg.quantiles, qn))}
+        FROM relds__ WHERE rep <> {cfg.measured_rep} GROUP BY 1, 2) q
+  JOIN stats__ st ON st.app_build_id = q.app_build_id),
+pmeans__ AS (
+  SELECT client_id, app_build_id, probe, sum(metric * measure) / sum(measure) AS mean
+  FROM dens__ GROUP BY 1, 2, 3),
+means__ AS (
+  SELECT c.client_id, c.app_build_id,
+         {', '.join(f"max(CASE WHEN m.probe = {lit(p)} THEN m.mean END) AS {p}" for p in cfg.probes)}
+  FROM cbp__ c LEFT JOIN pmeans__ m ON m.client_id = c.client_id AND m.app_build_id = c.app_build_id
+  GROUP BY 1, 2),
+hists__ AS (
+  SELECT app_build_id, probe, metric, p AS measure FROM rh__ WHERE rep = {cfg.measured_rep})"""
+    return re.sub(r"__\b", s, sql)
+
+
+def with_ctes(*parts: str) -> str:
+    return "WITH " + ",".join(p.strip().rstrip(",") for p in parts) + "\n"
 
 
 def r6(expr: str, alias: str | None = None) -> str:
