@@ -30,7 +30,7 @@ def build_day(col: str | Column = "app_build_id") -> Column:
 def build_date(col: str | Column = "app_build_id") -> Column:
     """P9: 'yyyyMMdd…' build id to a DATE (NULL when it does not parse)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.try_to_date(F.substring(c, 1, 8), F.lit("yyyyMMdd"))
+    return F.try_to_date(F.substring(c, 1, 8), "yyyyMMdd")
 
 
 def window_predicate(final_date: dt.date, num_days: int, inclusive_end: bool = False,

@@ -25,9 +25,11 @@ def latest_wins(df: DataFrame, keys, date_col: str = "creation_date") -> DataFra
     """Rows whose ``date_col`` equals the newest one of their key."""
     keys = list(keys)
     newest = df.groupBy(*keys).agg(F.max(date_col).alias("_newest"))
-    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(newest[k]) for k in keys])
+    newest = newest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_newest")
+    cond = reduce(lambda a, b: a & b,
+                  [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
     joined = df.join(newest, cond, "inner")
-    return joined.filter(df[date_col] == F.col("_newest")).select(*[df[c] for c in df.columns])
+    return joined.filter(F.col(date_col) == F.col("_newest")).select(*df.columns)
 
 
 def union_strict(frames) -> DataFrame:

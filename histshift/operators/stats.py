@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
+# Groups up to this size bracket every quantile by [min, max] (all values collected,
+# at most SMALL_GROUP of them); larger groups use approx_percentile brackets.
+SMALL_GROUP = 100_000
 BOX_COEF = 1.5
 VIOLIN_GRID = 512
 Z95 = 1.959963984540054
@@ -41,18 +44,23 @@ def exact_quantiles(df: DataFrame, keys, value: str, qs, names,
     keys = _join_keys(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")) \
              .filter(F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
-    margin = 4.0 / accuracy
+    # For n > SMALL_GROUP the value returned for p has a 0-based rank within
+    # ceil(p n) - 1 +- n/accuracy, so p = q -+ (4/accuracy + 2/SMALL_GROUP) brackets both
+    # order statistics floor((n-1)q) and ceil((n-1)q) that the interpolation needs.
+    margin = 4.0 / accuracy + 2.0 / SMALL_GROUP
     nq = len(qs)
     pcts = [max(0.0, q - margin) for q in qs] + [min(1.0, q + margin) for q in qs]
     br = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.expr(f"approx_percentile(_v, array({', '.join(map(repr, pcts))}), {int(accuracy)})")
          .alias("_b"))
     j = data.join(br, keys)
     x = F.col("_v")
+    small = F.col("_n") <= F.lit(SMALL_GROUP)
     aggs = [F.first("_n").alias("_n")]
     for i in range(nq):
-        lo, hi = F.col("_b")[i], F.col("_b")[nq + i]
+        lo = F.when(small, F.col("_min")).otherwise(F.col("_b")[i])
+        hi = F.when(small, F.col("_max")).otherwise(F.col("_b")[nq + i])
         aggs += [
             F.first(lo).alias(f"_lo{i}"), F.first(hi).alias(f"_hi{i}"),
             F.count(F.when(x < lo, 1)).alias(f"_below{i}"),
