@@ -1,4 +1,4 @@
-"""Expressions over histogram bins.
+"""Expressions over histogram bins.
 
 A histogram lives in long form, one row or one array element per bin:
 ``struct<probe string, metric int, measure double>``.
@@ -53,33 +53,3 @@ def probe_mean(bins: str, probe: str) -> Column:
     num = f"aggregate({sel}, 0D, (a, b) -> a + b.metric * b.measure)"
     den = f"aggregate({sel}, 0D, (a, b) -> a + b.measure)"
     return F.expr(f"try_divide({num}, {den})")
-
-
-def pair_totals(bins: str) -> dict[str, Column]:
-    """Per-group helpers for :func:`relds_of_pair`: control and test totals, test lookup map."""
-    c = f"filter({bins}, x -> x.role = 'c')"
-    t = f"filter({bins}, x -> x.role = 't')"
-    return {
-        "_tc": F.expr(f"aggregate({c}, 0D, (a, x) -> a + x.wsum)"),
-        "_tt": F.expr(f"aggregate({t}, 0D, (a, x) -> a + x.wsum)"),
-        "_tm": F.expr(f"map_from_entries(transform({t}, x -> struct(x.metric, x.wsum)))"),
-    }
-
-
-def relds_of_pair(bins: str, zero_val: float) -> Column:
-    """A6 on one (replicate, comparison, probe) group holding both raw histograms.
-
-    ``bins`` is an array of struct<role, metric, wsum>, role 'c' (control) or 't' (test),
-    with weighted sums not yet normalised; the columns of :func:`pair_totals` must be
-    present. Only control bins are visited (Q9): a bin with p_c = 0 adds ``zero_val``
-    when the test has mass there, otherwise |p_c - p_t| is added. An empty control gives
-    0.0; an empty test gives sum(p_c) (Q10).
-    """
-    p_c = "try_divide(x.wsum, _tc)"
-    p_t = "coalesce(try_divide(try_element_at(_tm, x.metric), _tt), 0D)"
-    zv = repr(float(zero_val))
-    return F.expr(
-        f"aggregate(filter({bins}, x -> x.role = 'c'), 0D, (a, x) -> a + "
-        f"CASE WHEN {p_c} = 0D THEN (CASE WHEN {p_t} = 0D THEN 0D ELSE {zv}D END) "
-        f"ELSE abs({p_c} - {p_t}) END)"
-    )

@@ -14,39 +14,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histshift.config import RunConfig
-from histshift.functions.poisson import replicate_weight
-
-
-def _marker():
-    return F.array(F.struct(F.lit(None).cast("string").alias("probe"),
-                            F.lit(None).cast("int").alias("metric"),
-                            F.lit(1.0).alias("measure")))
+from histshift.functions.poisson import poisson1_from_uniform, poisson1_thresholds, uniform32
 
 
 def bootstrap_weights(profile: DataFrame, cfg: RunConfig) -> DataFrame:
-    """(client_id, app_build_id, rep, w) for every replicate with w > 0.
+    """(client_id, app_build_id, rep, w) for every replicate with w > 0,
+    plus the other profile columns.
 
     Replicate 0 has weight 1 for every profile (the measured sample); replicates
     1..R draw Poisson(1) from the hash of (client, build, rep, seed). One weight per
-    profile is shared by all its probes.
+    profile is shared by all its probes. ``w > 0`` is tested on the raw uniform so the
+    hash is evaluated once per row (the weight's CASE chain is not repeated in the filter).
     """
-    reps = profile.select("client_id", "app_build_id", *[c for c in profile.columns
-                                                          if c not in ("client_id", "app_build_id")],
-                          F.explode(F.sequence(F.lit(0), F.lit(cfg.num_reps))).alias("rep"))
-    w = replicate_weight("client_id", "app_build_id", "rep", cfg.seed, cfg.uniform)
-    return reps.withColumn("w", w).filter(F.col("w") > 0)
+    reps = profile.select("*", F.explode(F.sequence(F.lit(0), F.lit(cfg.num_reps))).alias("rep"))
+    u = uniform32("client_id", "app_build_id", "rep", cfg.seed, cfg.uniform)
+    kept = reps.withColumn("_u", u).filter(
+        (F.col("rep") == 0) | (F.col("_u") >= F.lit(poisson1_thresholds()[0])))
+    w = F.when(F.col("rep") == 0, F.lit(1)).otherwise(poisson1_from_uniform(F.col("_u")))
+    return kept.withColumn("w", w).drop("_u")
 
 
 def rep_cells(profile: DataFrame, cfg: RunConfig) -> DataFrame:
     """(rep, app_build_id, probe, metric, wsum) with wsum = sum(w * p) over
-    the profiles of the build; rows with probe NULL carry n = sum(w)."""
-    weighted = bootstrap_weights(profile.select("client_id", "app_build_id", "bins"), cfg)
-    cells = weighted.select("rep", "app_build_id", "w",
-                            F.inline(F.concat(_marker(), F.col("bins"))))
-    return cells.groupBy("rep", "app_build_id", "probe", "metric").agg(
-        F.sum(F.col("w") * F.col("measure")).alias("wsum"))
-
+    the profiles of the build; rows with probe NULL carry n = sum(w).
 
+    The hot aggregation is keyed by integers and one string: the probe is replaced by
+    its position in the configured list once per profile (not per replicate), and the
+    marker element is prepended once per profile as well.
+    """
+    probes = F.array(*[F.lit(p) for p in cfg.probes])
+    marker = F.array(F.struct(F.lit(None).cast("int").alias("pi"),
+                              F.lit(None).cast("int").alias("metric"),
+                              F.lit(1.0).alias("measure")))
+    coded = F.transform("bins", lambda b: F.struct(
+        F.array_position(probes, b["probe"]).cast("int").alias("pi"),
+        b["metric"].alias("metric"), b["measure"].alias("measure")))
+    prof = profile.select("client_id", "app_build_id", F.concat(marker, coded).alias("_cells"))
+    weighted = bootstrap_weights(prof, cfg)
+    cells = weighted.select("rep", "app_build_id", "w", F.inline("_cells"))
+    agg = cells.groupBy("rep", "app_build_id", "pi", "metric").agg(
+        F.sum(F.col("w") * F.col("measure")).alias("wsum"))
+    return agg.select("rep", "app_build_id",
+                      F.when(F.col("pi").isNotNull(), F.element_at(probes, F.col("pi"))).alias("probe"),
+                      "metric", "wsum")
 def rep_sizes(cells: DataFrame) -> DataFrame:
     """(rep, app_build_id, n): weighted number of profiles, bins or not (Q8)."""
     return cells.filter(F.col("probe").isNull()).select(

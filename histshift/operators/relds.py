@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histshift.config import RunConfig
-from histshift.functions.histograms import pair_totals, relds_of_pair
 from histshift.functions.naming import quantile_names
 
 # Upper bound of rows that may be broadcast; every broadcast in this module is sized by
@@ -63,23 +62,38 @@ def _roles(calendar: DataFrame) -> DataFrame:
 def relds(cells: DataFrame, calendar: DataFrame, cfg: RunConfig) -> DataFrame:
     """Long (rep, app_build_id, probe, relds) for every test build and replicate.
 
-    Groups whose comparison lacks one side in that replicate are dropped (Q11); a
-    probe with no bins on either side still gets a row (0.0, Q10).
+    Cells are routed to their comparisons through the broadcast calendar, then one
+    repartition by (rep, comparison, probe) serves the three steps that follow without
+    another shuffle: pairing control and test per bin, the per-histogram totals
+    (window), and the sum over control bins. Groups whose comparison lacks one side in
+    that replicate are dropped (Q11); a probe with no bins on either side gets 0.0 (Q10).
+    Only control bins contribute (Q9); zero-probability bins are kept for the zero rule.
     """
     roles = bounded_broadcast(_roles(calendar), 2 * cfg.max_builds)
     probes = F.array(*[F.lit(p) for p in cfg.probes])
     routed = cells.join(roles, "app_build_id").select(
         "rep", "test_build", "role", "metric", "wsum",
         F.explode(F.when(F.col("probe").isNull(), probes).otherwise(F.array("probe"))).alias("probe"))
+    routed = routed.repartition("rep", "test_build", "probe")
+    paired = routed.groupBy("rep", "test_build", "probe", "metric").agg(
+        F.sum(F.when(F.col("role") == "c", F.col("wsum"))).alias("vc"),
+        F.sum(F.when(F.col("role") == "t", F.col("wsum"))).alias("vt"))
     marker = F.col("metric").isNull()
-    g = routed.groupBy("rep", "test_build", "probe").agg(
-        F.count(F.when(marker, F.lit(1))).alias("_sides"),
-        F.collect_list(F.when(~marker, F.struct("role", "metric", "wsum"))).alias("_bins"))
-    g = g.filter(F.col("_sides") == 2)
-    for name, col in pair_totals("_bins").items():
-        g = g.withColumn(name, col)
-    return g.select("rep", F.col("test_build").alias("app_build_id"), "probe",
-                    relds_of_pair("_bins", cfg.zero_val).alias("relds"))
+    hist = Window.partitionBy("rep", "test_build", "probe")
+    tot = paired.select(
+        "*", F.sum(F.when(~marker, F.col("vc"))).over(hist).alias("tc"),
+        F.sum(F.when(~marker, F.col("vt"))).over(hist).alias("tt"))
+    p_c = F.try_divide(F.col("vc"), F.col("tc"))
+    p_t = F.coalesce(F.try_divide(F.col("vt"), F.col("tt")), F.lit(0.0))
+    zero = F.lit(float(cfg.zero_val))
+    term = F.when(~marker & F.col("vc").isNotNull(),
+                  F.when(p_c == 0, F.when(p_t == 0, F.lit(0.0)).otherwise(zero))
+                   .otherwise(F.abs(p_c - p_t)))
+    out = tot.groupBy("rep", "test_build", "probe").agg(
+        F.coalesce(F.sum(term), F.lit(0.0)).alias("relds"),
+        (F.count(F.when(marker, F.col("vc"))) + F.count(F.when(marker, F.col("vt")))).alias("_sides"))
+    return out.filter(F.col("_sides") == 2).select(
+        "rep", F.col("test_build").alias("app_build_id"), "probe", "relds")
 
 
 def measured(relds_long: DataFrame, cfg: RunConfig) -> DataFrame:
