@@ -38,6 +38,9 @@ class RunConfig:
     partitions    tasks that carry the profiles into the replicate expansion (None: the
                   session's spark.sql.shuffle.partitions); fixed, so AQE cannot coalesce
                   the small profile table into a few tasks right before a 600x blow-up
+    rep_block     replicates expanded per task: each task aggregates a block of
+                  replicates for a few (build, client shard) pairs, so its hash map
+                  holds rep_block x bins keys instead of R x builds x bins
     """
 
     probes: tuple[str, ...]
@@ -56,6 +59,7 @@ class RunConfig:
     inclusive_end: bool = False
     quantiles: tuple[float, ...] = field(default=RELDS_QUANTILES)
     partitions: int | None = None
+    rep_block: int = 64
 
     def __post_init__(self):
         if not self.probes:
@@ -68,6 +72,8 @@ class RunConfig:
             raise ValueError("measured_rep must lie in [0, num_reps]")
         if self.sample not in ("lexical", "numeric"):
             raise ValueError("sample must be 'lexical' or 'numeric'")
+        if self.rep_block < 1:
+            raise ValueError("rep_block must be >= 1")
         if self.uniform not in ("md5", "xxhash64"):
             raise ValueError("uniform must be 'md5' or 'xxhash64'")
 

@@ -1,11 +1,13 @@
 """Poisson bootstrap over client profiles.
 
-Physical shape: ``explode(sequence(0, R))`` on the profile rows (narrow, no shuffle),
-weight from a hash, ``w > 0`` right after the explode (about 37 % of rows never go
-further), ``inline`` of the bins, then a partial hash aggregation keyed
-(rep, build, probe, metric). Only the aggregated cells (R x builds x probes x bins,
-independent of the number of clients) cross the shuffle. One marker element per
-(profile, replicate) adds sum(w) per (rep, build) to the same aggregation.
+Physical shape: profiles are shipped once per block of replicates (a shuffle of a
+few copies of the small profile table) to tasks keyed by (block, build, client
+shard); each task expands its block with ``explode(sequence)``, takes the weight from
+a hash, drops ``w = 0`` right away (about 37 % of rows), ``inline``s the bins and
+pre-aggregates by (rep, build, probe, metric) in a hash map of block x bins keys.
+Only aggregated cells cross the second shuffle, a volume independent of the number
+of clients. One marker element per (profile, replicate) adds sum(w) per (rep, build)
+to the same aggregation.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ from histshift.config import RunConfig
 from histshift.functions.poisson import poisson1_from_uniform, poisson1_thresholds, uniform32
 
 
-def bootstrap_weights(profile: DataFrame, cfg: RunConfig) -> DataFrame:
+def _rep_range(lo, hi):
+    return F.explode(F.sequence(lo, hi)).alias("rep")
+
+
+def bootstrap_weights(profile: DataFrame, cfg: RunConfig, reps=None) -> DataFrame:
     """(client_id, app_build_id, rep, w) for every replicate with w > 0,
     plus the other profile columns.
 
@@ -26,7 +32,8 @@ def bootstrap_weights(profile: DataFrame, cfg: RunConfig) -> DataFrame:
     profile is shared by all its probes. ``w > 0`` is tested on the raw uniform so the
     hash is evaluated once per row (the weight's CASE chain is not repeated in the filter).
     """
-    reps = profile.select("*", F.explode(F.sequence(F.lit(0), F.lit(cfg.num_reps))).alias("rep"))
+    if reps is None:
+        reps = profile.select("*", _rep_range(F.lit(0), F.lit(cfg.num_reps)))
     u = uniform32("client_id", "app_build_id", "rep", cfg.seed, cfg.uniform)
     kept = reps.withColumn("_u", u).filter(
         (F.col("rep") == 0) | (F.col("_u") >= F.lit(poisson1_thresholds()[0])))
@@ -34,6 +41,29 @@ def bootstrap_weights(profile: DataFrame, cfg: RunConfig) -> DataFrame:
     return kept.withColumn("w", w).drop("_u")
 
 
+def _blocked_reps(prof: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Profiles x replicates, laid out by replicate block.
+
+    Each profile is sent once per block of ``rep_block`` replicates (a shuffle of
+    ceil((R+1)/rep_block) copies of the small profile table), partitioned by
+    (block, build, client shard); the replicates of the block are then expanded in
+    place. A task so meets a few (block, build, shard) triples and its partial
+    aggregation stays small enough for the CPU caches, while a build with a third of
+    all clients is spread over its shards.
+    """
+    from histshift.operators.profiles import profile_partitions
+    b = cfg.rep_block
+    nblocks = -(-(cfg.num_reps + 1) // b)
+    n = profile_partitions(prof, cfg)
+    shards = max(1, 2 * n // (nblocks * cfg.max_builds))
+    blocks = prof.select("*", F.explode(F.sequence(F.lit(0), F.lit(nblocks - 1))).alias("_blk"),
+                         F.pmod(F.xxhash64("client_id"), F.lit(shards)).alias("_shard"))
+    blocks = blocks.repartition(n, "_blk", "app_build_id", "_shard")
+    lo = F.col("_blk") * b
+    hi = F.least(lo + (b - 1), F.lit(cfg.num_reps))
+    return blocks.select(*prof.columns, _rep_range(lo, hi))
+
+
 def rep_cells(profile: DataFrame, cfg: RunConfig) -> DataFrame:
     """(rep, app_build_id, probe, metric, wsum) with wsum = sum(w * p) over
     the profiles of the build; rows with probe NULL carry n = sum(w).
@@ -50,13 +80,15 @@ def rep_cells(profile: DataFrame, cfg: RunConfig) -> DataFrame:
         F.array_position(probes, b["probe"]).cast("int").alias("pi"),
         b["metric"].alias("metric"), b["measure"].alias("measure")))
     prof = profile.select("client_id", "app_build_id", F.concat(marker, coded).alias("_cells"))
-    weighted = bootstrap_weights(prof, cfg)
+    weighted = bootstrap_weights(prof, cfg, _blocked_reps(prof, cfg))
     cells = weighted.select("rep", "app_build_id", "w", F.inline("_cells"))
     agg = cells.groupBy("rep", "app_build_id", "pi", "metric").agg(
         F.sum(F.col("w") * F.col("measure")).alias("wsum"))
     return agg.select("rep", "app_build_id",
                       F.when(F.col("pi").isNotNull(), F.element_at(probes, F.col("pi"))).alias("probe"),
                       "metric", "wsum")
+
+
 def rep_sizes(cells: DataFrame) -> DataFrame:
     """(rep, app_build_id, n): weighted number of profiles, bins or not (Q8)."""
     return cells.filter(F.col("probe").isNull()).select(

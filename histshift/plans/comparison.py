@@ -18,12 +18,23 @@ from histshift.config import RunConfig
 from histshift.operators import bootstrap as bs
 from histshift.operators import profiles as pr
 from histshift.operators import relds as rd
+from histshift.session import ensure_checkpoint_dir
 
 
 @dataclass
 class RunResult:
+    """Lazy outputs of one run.
+
+    With ``materialize`` the profile table is written once to the shared checkpoint
+    folder on first use: the cells, the build stats and the calendar all read it, so
+    the ping table is scanned once per run (without it each consumer prunes the
+    profile differently and the scan would be repeated), and a lost executor sends
+    the run back to the checkpoint, not to the ping scan.
+    """
+
     pings: DataFrame
     cfg: RunConfig
+    materialize: bool = True
 
     @cached_property
     def selected(self) -> DataFrame:
@@ -31,7 +42,11 @@ class RunResult:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return pr.profiles(self.pings, self.cfg)
+        prof = pr.profiles(self.pings, self.cfg)
+        if self.materialize:
+            ensure_checkpoint_dir(prof.sparkSession)
+            prof = prof.checkpoint(eager=True)
+        return prof
 
     @cached_property
     def build_stats(self) -> DataFrame:
@@ -82,7 +97,7 @@ class RunResult:
         return rd.comparison_pairs(self.rep_sizes, self.calendar, self.cfg)
 
 
-def run_comparison(pings: DataFrame, cfg: RunConfig) -> RunResult:
-    """Lazy outputs of one run: bootstrap and measured RelDS, build histograms, client
-    means, build stats and RelDS quantiles."""
-    return RunResult(pings, cfg)
+def run_comparison(pings: DataFrame, cfg: RunConfig, materialize: bool = True) -> RunResult:
+    """Outputs of one run: bootstrap and measured RelDS, build histograms, client
+    means, build stats and RelDS quantiles (see RunResult for ``materialize``)."""
+    return RunResult(pings, cfg, materialize)

@@ -24,8 +24,7 @@ OUTPUTS = ("relds_csv", "relds_measured", "probe_hists", "client_means")
 def materialize(run: RunResult) -> RunResult:
     """Cut the lineage of the shared intermediates with reliable checkpoints."""
     ensure_checkpoint_dir(run.pings.sparkSession)
-    run.__dict__["profile"] = run.profile.checkpoint(eager=True)
-    run.__dict__["cells"] = run.cells.checkpoint(eager=True)
+    run.__dict__["cells"] = run.cells.checkpoint(eager=True)   # the profile is checkpointed by the run
     return run
 
 

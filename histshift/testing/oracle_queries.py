@@ -16,7 +16,7 @@ SFX = ("_a", "_b", "_c")
 
 
 def R(expr: str, alias: str) -> str:
-    return f"ROUND({expr}, 6) AS {alias}"
+    return f"ROUND(({expr}) + {C.TIE_NUDGE!r}, 6) AS {alias}"
 
 
 def base(cfg=C.CFG, s="") -> str:
