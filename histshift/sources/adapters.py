@@ -21,24 +21,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _maps_by_probe(entries: str, probes_by_key: dict[str, str]) -> list:
-    """One map<int,bigint> column per probe out of an array of struct<key, bin, n>;
-    NULL when the ping has no entry for that probe."""
-    cols = []
-    def is_key(key):
-        return lambda x: x["key"] == F.lit(key)
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over the session's parallelism when the file layout gives fewer
+    splits (a small file of one or two row groups); large inputs keep their splits."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
+
+def _probe_maps(probes_by_key: dict[str, str]) -> list:
+    """Aggregates building one map<int,bigint> per probe from rows (key, bin, n) of a
+    ping; a ping without entries for a probe gets NULL. One pass, no lambdas."""
+    out = []
     for key, probe in probes_by_key.items():
-        sel = F.filter(F.col(entries), is_key(key))
-        m = F.map_from_entries(F.transform(sel, lambda x: F.struct(x["bin"], x["n"])))
-        cols.append(F.when(F.size(sel) > 0, m).alias(probe))
-    return cols
+        out.append(F.collect_list(F.when(F.col("key") == F.lit(key), F.struct("bin", "n"))).alias(probe))
+    return out
+
+
+def _as_maps(probes) -> list:
+    return [F.when(F.size(p) > 0, F.map_from_entries(p)).alias(p) for p in probes]
 
 
 def events_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter A: one ping = one user in one hour; ``hist_<event_type>`` maps
     floor(value/5)*5 to the number of events of that type in the ping."""
-    ev = table(spark, sf_dir, "events").select(
+    ev = spread(table(spark, sf_dir, "events")).select(
         "user_id",
         F.date_format(F.date_trunc("hour", "ts"), "yyyyMMddHHmmss").alias("app_build_id"),
         F.col("event_type").alias("key"),
@@ -49,8 +57,7 @@ def events_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_bin = ev.groupBy("user_id", "app_build_id", "key", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.max("k").alias("k"))
     pings = per_bin.groupBy("user_id", "app_build_id").agg(
-        F.max("k").alias("max_k"),
-        F.collect_list(F.struct("key", "bin", "n")).alias("entries"))
+        F.max("k").alias("max_k"), *_probe_maps(dict(zip(EVENT_TYPES, EVENT_PROBES))))
     uid = F.col("user_id")
     return pings.select(
         uid.cast("string").alias("client_id"),
@@ -59,14 +66,14 @@ def events_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("max_k") % 10 < 9, F.lit("nightly")).otherwise(F.lit("beta"))
          .alias("normalized_channel"),
         (uid % 100).cast("string").alias("sample_id"),
-        *_maps_by_probe("entries", {t: p for t, p in zip(EVENT_TYPES, EVENT_PROBES)}),
+        *_as_maps(EVENT_PROBES),
     )
 
 
 def lineitem_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter B (scale): one ping = one customer in one ship month."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"))
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(od, li.l_orderkey == od.o_orderkey)
     build = F.concat(F.date_format(F.trunc(F.col("l_shipdate").cast("date"), "month"), "yyyyMMdd"),
@@ -83,12 +90,12 @@ def lineitem_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     per_bin = long.groupBy("cust", "app_build_id", "key", "bin").agg(F.count(F.lit(1)).alias("n"))
     pings = per_bin.groupBy("cust", "app_build_id").agg(
-        F.collect_list(F.struct("key", "bin", "n")).alias("entries"))
+        *_probe_maps({p: p for p in LINEITEM_PROBES}))
     return pings.select(
         F.col("cust").cast("string").alias("client_id"),
         "app_build_id",
         F.lit("app").alias("app_name"),
         F.lit("nightly").alias("normalized_channel"),
         (F.col("cust") % 100).cast("string").alias("sample_id"),
-        *_maps_by_probe("entries", {p: p for p in LINEITEM_PROBES}),
+        *_as_maps(LINEITEM_PROBES),
     )
