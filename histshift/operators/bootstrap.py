@@ -61,16 +61,18 @@ def _blocked_reps(prof: DataFrame, cfg: RunConfig) -> DataFrame:
     blocks = blocks.repartition(n, "_blk", "app_build_id", "_shard")
     lo = F.col("_blk") * b
     hi = F.least(lo + (b - 1), F.lit(cfg.num_reps))
-    return blocks.select(*prof.columns, _rep_range(lo, hi))
+    return blocks.select(*prof.columns, "_blk", "_shard", _rep_range(lo, hi))
 
 
-def rep_cells(profile: DataFrame, cfg: RunConfig) -> DataFrame:
-    """(rep, app_build_id, probe, metric, wsum) with wsum = sum(w * p) over
-    the profiles of the build; rows with probe NULL carry n = sum(w).
+def rep_partials(profile: DataFrame, cfg: RunConfig) -> DataFrame:
+    """A5/B2/F4 per client shard: (rep, app_build_id, probe, metric, wsum) with
+    wsum = sum(w * p) over the profiles of one (build, client shard); rows with probe
+    NULL carry sum(w). Summing over shards gives the replicate histograms.
 
-    The hot aggregation is keyed by integers and one string: the probe is replaced by
-    its position in the configured list once per profile (not per replicate), and the
-    marker element is prepended once per profile as well.
+    Grouping by (block, build, shard) as well lets each task finish its aggregation
+    without a shuffle: the tasks are already keyed by those columns. The probe is
+    replaced by its position in the configured list and the marker element is
+    prepended once per profile (not per replicate).
     """
     probes = F.array(*[F.lit(p) for p in cfg.probes])
     marker = F.array(F.struct(F.lit(None).cast("int").alias("pi"),
@@ -81,14 +83,21 @@ def rep_cells(profile: DataFrame, cfg: RunConfig) -> DataFrame:
         b["metric"].alias("metric"), b["measure"].alias("measure")))
     prof = profile.select("client_id", "app_build_id", F.concat(marker, coded).alias("_cells"))
     weighted = bootstrap_weights(prof, cfg, _blocked_reps(prof, cfg))
-    cells = weighted.select("rep", "app_build_id", "w", F.inline("_cells"))
-    agg = cells.groupBy("rep", "app_build_id", "pi", "metric").agg(
+    cells = weighted.select("_blk", "_shard", "rep", "app_build_id", "w", F.inline("_cells"))
+    agg = cells.groupBy("_blk", "app_build_id", "_shard", "rep", "pi", "metric").agg(
         F.sum(F.col("w") * F.col("measure")).alias("wsum"))
     return agg.select("rep", "app_build_id",
                       F.when(F.col("pi").isNotNull(), F.element_at(probes, F.col("pi"))).alias("probe"),
                       "metric", "wsum")
 
 
+def rep_cells(partials: DataFrame) -> DataFrame:
+    """The replicate cells summed over client shards: one row per
+    (rep, app_build_id, probe, metric); probe NULL rows carry n = sum(w)."""
+    return partials.groupBy("rep", "app_build_id", "probe", "metric").agg(
+        F.sum("wsum").alias("wsum"))
+
+
 def rep_sizes(cells: DataFrame) -> DataFrame:
     """(rep, app_build_id, n): weighted number of profiles, bins or not (Q8)."""
     return cells.filter(F.col("probe").isNull()).select(

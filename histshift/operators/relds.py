@@ -62,6 +62,9 @@ def _roles(calendar: DataFrame) -> DataFrame:
 def relds(cells: DataFrame, calendar: DataFrame, cfg: RunConfig) -> DataFrame:
     """Long (rep, app_build_id, probe, relds) for every test build and replicate.
 
+    ``cells`` may hold several partial rows per (rep, build, probe, metric) (one per
+    client shard); the pairing aggregate sums them.
+
     Cells are routed to their comparisons through the broadcast calendar, then one
     repartition by (rep, comparison, probe) serves the three steps that follow without
     another shuffle: pairing control and test per bin, the per-histogram totals

@@ -60,9 +60,13 @@ class RunResult:
     def calendar(self) -> DataFrame:
         return rd.build_calendar(self.build_stats)
 
+    @cached_property
+    def partials(self) -> DataFrame:
+        return bs.rep_partials(self.profile, self.cfg)
+
     @cached_property
     def cells(self) -> DataFrame:
-        return bs.rep_cells(self.profile, self.cfg)
+        return bs.rep_cells(self.partials)
 
     @cached_property
     def rep_sizes(self) -> DataFrame:
@@ -74,7 +78,7 @@ class RunResult:
 
     @cached_property
     def relds(self) -> DataFrame:
-        return rd.relds(self.cells, self.calendar, self.cfg)
+        return rd.relds(self.partials, self.calendar, self.cfg)
 
     @cached_property
     def relds_measured(self) -> DataFrame:

@@ -24,7 +24,9 @@ OUTPUTS = ("relds_csv", "relds_measured", "probe_hists", "client_means")
 def materialize(run: RunResult) -> RunResult:
     """Cut the lineage of the shared intermediates with reliable checkpoints."""
     ensure_checkpoint_dir(run.pings.sparkSession)
-    run.__dict__["cells"] = run.cells.checkpoint(eager=True)   # the profile is checkpointed by the run
+    # the profile is checkpointed by the run; the replicate partials feed RelDS and the
+    # build histograms
+    run.__dict__["partials"] = run.partials.checkpoint(eager=True)
     return run
 
 
