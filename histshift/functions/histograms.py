@@ -53,3 +53,13 @@ def probe_mean(bins: str, probe: str) -> Column:
     num = f"aggregate({sel}, 0D, (a, b) -> a + b.metric * b.measure)"
     den = f"aggregate({sel}, 0D, (a, b) -> a + b.measure)"
     return F.expr(f"try_divide({num}, {den})")
+
+
+def merge_hist_maps(a: str | Column, b: str | Column) -> Column:
+    """F5 on map columns: key-union sum of two histograms (a missing side counts 0;
+    a NULL map is an empty histogram)."""
+    ca = F.col(a) if isinstance(a, str) else a
+    cb = F.col(b) if isinstance(b, str) else b
+    ca = F.coalesce(ca, F.create_map().cast("map<int,double>"))
+    cb = F.coalesce(cb, F.create_map().cast("map<int,double>"))
+    return F.map_zip_with(ca, cb, lambda k, x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
