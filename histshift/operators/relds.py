@@ -51,12 +51,14 @@ def comparison_pairs(sizes: DataFrame, calendar: DataFrame, cfg: RunConfig) -> D
 
 
 def _roles(calendar: DataFrame) -> DataFrame:
-    """(app_build_id, role, test_build): where each build's cells are needed."""
-    as_control = calendar.select(F.col("control_build").alias("app_build_id"),
-                                 F.lit("c").alias("role"), F.col("app_build_id").alias("test_build"))
-    as_test = calendar.select("app_build_id", F.lit("t").alias("role"),
-                              F.col("app_build_id").alias("test_build"))
-    return as_control.unionByName(as_test)
+    """(app_build_id, role, test_build): where each build's cells are needed
+    (one pass over the calendar)."""
+    both = F.array(
+        F.struct(F.col("control_build").alias("app_build_id"), F.lit("c").alias("role"),
+                 F.col("app_build_id").alias("test_build")),
+        F.struct(F.col("app_build_id").alias("app_build_id"), F.lit("t").alias("role"),
+                 F.col("app_build_id").alias("test_build")))
+    return calendar.select(F.inline(both))
 
 
 def relds(cells: DataFrame, calendar: DataFrame, cfg: RunConfig) -> DataFrame:

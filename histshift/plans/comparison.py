@@ -50,7 +50,11 @@ class RunResult:
 
     @cached_property
     def build_stats(self) -> DataFrame:
-        return pr.build_stats(self.profile)
+        """One row per build (at most num_days + 1): materialised with the profile so
+        the calendar, the quantile join and the pairs read it instead of rescanning
+        the profile table."""
+        stats = pr.build_stats(self.profile)
+        return stats.checkpoint(eager=True) if self.materialize else stats
 
     @cached_property
     def client_means(self) -> DataFrame:
