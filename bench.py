@@ -27,7 +27,7 @@ def main() -> None:
     from histshift.plans.comparison import run_comparison
     from histshift.plans.daily_job import daily_job
     from histshift.plans.snapshots import build_snapshots
-    from histshift.session import local_session
+    from histshift.session import fresh_path, local_session
     from histshift.sources.adapters import events_pings, lineitem_pings
 
     spark = local_session(CPUS, shuffle_partitions=2 * CPUS, app="histshift-bench")
@@ -61,7 +61,7 @@ def main() -> None:
     run("lineitem_relds_quantiles_r100", lambda: noop(run_comparison(li, li_cfg).relds_quantiles))
     run("lineitem_client_means", lambda: noop(run_comparison(li, li_cfg).client_means))
 
-    out_dir = tempfile.mkdtemp(prefix="histshift-bench-out-")
+    out_dir = fresh_path(spark, "bench-out")
     hist_cfg = prod.with_(num_reps=200)
 
     def history():
