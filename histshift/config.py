@@ -27,7 +27,7 @@ class RunConfig:
     num_days      days recomputed per run (7 in the daily job)
     num_reps      Poisson bootstrap replicates (1000 in the daily job)
     seed          mixed into the hash of every weight; 0 keeps the hashed text short
-    app, channel  constant equality predicates on the ping table
+    app, channel  constant equality predicates on the ping table (app is required)
     sample        'lexical' (string compare, as written) or 'numeric'
     debug         restrict to one sample id
     estimator     add 0.5 to every present bin before normalising
@@ -45,10 +45,10 @@ class RunConfig:
 
     probes: tuple[str, ...]
     final_date: dt.date
+    app: str
     num_days: int = 7
     num_reps: int = 1000
     seed: int = 0
-    app: str = "Firefox"
     channel: str = "nightly"
     sample: str = "lexical"
     debug: bool = False

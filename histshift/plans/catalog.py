@@ -395,12 +395,16 @@ def q_build_hists(spark, sf):
     return out(run(spark, sf).build_hists)
 
 
+def hist_json(metric: str, measure: str):
+    """F8: one histogram as a JSON object text, bins in ascending order (deterministic)."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(metric), F.round(measure, 6).alias("v"))))
+    return F.to_json(F.map_from_entries(F.transform(
+        entries, lambda e: F.struct(e[metric].cast("string"), e["v"]))))
+
+
 def q_hist_json_export(spark, sf):
     h = run(spark, sf).build_hists
-    recs = h.groupBy("app_build_id", "probe").agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("metric").cast("string"),
-                                                             F.round("measure", 6))))).alias("hist_json"))
-    return recs
+    return h.groupBy("app_build_id", "probe").agg(hist_json("metric", "measure").alias("hist_json"))
 
 
 def q_relds_wide(spark, sf):

@@ -6,18 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The probe dictionary of the dashboard (label -> histogram column).
-PAGE_LOAD_PROBES = {
-    "TIME_TO_DOM_COMPLETE_MS": "histogram_content_time_to_dom_complete_ms",
-    "TIME_TO_DOM_CONTENT_LOADED_END_MS": "histogram_content_time_to_dom_content_loaded_end_ms",
-    "TIME_TO_LOAD_EVENT_END_MS": "histogram_content_time_to_load_event_end_ms",
-    "TIME_TO_NON_BLANK_PAINT_MS": "histogram_content_time_to_non_blank_paint_ms",
-    "TIME_TO_NON_BLANK_PAINT_MS_PARENT": "histogram_parent_time_to_non_blank_paint_ms",
-    "FX_PAGE_LOAD_MS_2": "histogram_content_fx_page_load_ms_2",
-    "FX_PAGE_LOAD_MS_2_PARENT": "histogram_parent_fx_page_load_ms_2",
-}
-
-
 def read_pings(spark: SparkSession, source: str) -> DataFrame:
     """A catalog table name or a parquet path holding T1."""
     if "/" in source or source.endswith(".parquet"):

@@ -15,7 +15,7 @@ CELLS = "rep int, app_build_id string, probe string, metric int, wsum double"
 
 def relds_of(spark, control, test, zero_val=0.10):
     """RelDS of one comparison at rep 0 from hand-made (unnormalised) histograms."""
-    cfg = RunConfig(probes=("p",), final_date=dt.date(2024, 1, 3), num_reps=1, zero_val=zero_val)
+    cfg = RunConfig(probes=("p",), final_date=dt.date(2024, 1, 3), app="app", num_reps=1, zero_val=zero_val)
     rows = []
     for build, hist in (("20240101", control), ("20240102", test)):
         rows.append((0, build, None, None, 1.0))          # the build has a profile in rep 0
@@ -81,7 +81,7 @@ def test_measured_rep_one_reproduces_the_written_behaviour(spark, cfg):
 
 
 def test_quantiles_are_linear_interpolation(spark):
-    cfg = RunConfig(probes=("p",), final_date=dt.date(2024, 1, 3))
+    cfg = RunConfig(probes=("p",), final_date=dt.date(2024, 1, 3), app="app")
     vals = [1.0, 2.5, 7.0, 9.0, None, 11.5]
     boot = spark.createDataFrame([(i + 1, "b", "p", v) for i, v in enumerate(vals)],
                                  "rep int, app_build_id string, probe string, relds double")
