@@ -91,12 +91,25 @@ def exact_quantiles(df: DataFrame, keys, value: str, qs, names,
     return agg.select(*keys, *outs)
 
 
+def approx_quantiles(df: DataFrame, keys, value: str, qs, names,
+                     accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """One-pass approximate quantiles (rank error <= n/accuracy), for very large groups
+    when the exact two-pass method is not worth its second pass."""
+    keys = _join_keys(keys)
+    arr = ", ".join(repr(float(q)) for q in qs)
+    q = df.groupBy(*keys).agg(
+        F.expr(f"approx_percentile(`{value}`, array({arr}), {int(accuracy)})").alias("_a"))
+    return q.select(*keys, *[F.col("_a")[i].alias(n) for i, n in enumerate(names)])
+
+
 def group_quantiles(df: DataFrame, keys, value: str, qs, names,
-                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """Exact quantiles plus ``num_clients`` = all rows of the group (NULL values included)."""
+                    accuracy: int = DEFAULT_ACCURACY, approx: bool = False) -> DataFrame:
+    """Quantiles (exact by default) plus ``num_clients`` = all rows of the group
+    (NULL values included)."""
     keys = _join_keys(keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_clients"))
-    q = exact_quantiles(df, keys, value, qs, names, accuracy)
+    fn = approx_quantiles if approx else exact_quantiles
+    q = fn(df, keys, value, qs, names, accuracy)
     return counts.join(q, keys, "left")
 
 

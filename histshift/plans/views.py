@@ -78,11 +78,12 @@ def _means_of(means: DataFrame, probe: str, x_range=None, y_range=None, log10=Fa
 
 
 def means_quantiles(means: DataFrame, probe: str, at_date: dt.date | str,
-                    qs=CLIENT_MEAN_QUANTILES) -> DataFrame:
-    """Client-mean quantiles on one build date and the number of clients."""
+                    qs=CLIENT_MEAN_QUANTILES, approx: bool = False) -> DataFrame:
+    """Client-mean quantiles on one build date and the number of clients
+    (exact unless ``approx``)."""
     d = means.filter(build_date("app_build_id") == F.lit(at_date).cast("date"))
     d = d.select("app_build_id", F.col(probe).alias("value"))
-    return st.group_quantiles(d, ["app_build_id"], "value", qs, percent_names(qs))
+    return st.group_quantiles(d, ["app_build_id"], "value", qs, percent_names(qs), approx=approx)
 
 
 def box_view(means: DataFrame, probe: str, x_range=None, y_range=None, log10=False) -> DataFrame:

@@ -69,3 +69,9 @@ def test_linear_trend_matches_polyfit(spark):
 def test_log10_drops_non_positive(spark):
     df = spark.createDataFrame([(100.0,), (0.0,), (-1.0,)], "v double")
     assert [r.v for r in st.log10_positive(df, "v").collect()] == [2.0]
+
+
+def test_approx_quantiles_option(spark):
+    df = spark.range(1000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
+    r = st.group_quantiles(df, ["g"], "v", (0.5,), ("m",), approx=True).collect()[0]
+    assert r.num_clients == 1000 and abs(r.m - 499.5) <= 1.0
