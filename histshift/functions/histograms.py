@@ -10,37 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BIN_TYPE = "struct<probe:string,metric:int,measure:double>"
-RAW_BIN_TYPE = "struct<probe:string,metric:int,value:bigint>"
 
 
 def _q(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def ping_entries(probes: tuple[str, ...]) -> Column:
-    """All bins of one ping as an array, led by one marker element (probe NULL, value 1).
-
-    Summing the marker per (client, build) counts pings, so one scan and one
-    aggregation produce both the bins and ``num_client_pings`` (pings whose maps are
-    all null still count, A1). A null map contributes no element (A2); a null count
-    inside a map is kept as a NULL value so the caller can poison that histogram (Q6).
-    """
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("probe"),
-                              F.lit(None).cast("int").alias("metric"),
-                              F.lit(1).cast("bigint").alias("value")))
-    empty = F.array().cast(f"array<{RAW_BIN_TYPE}>")
-    parts = [marker]
-    def as_bin(probe):
-        return lambda e: F.struct(F.lit(probe).alias("probe"),
-                                  e["key"].cast("int").alias("metric"),
-                                  e["value"].cast("bigint").alias("value"))
-
-    for p in probes:
-        entries = F.transform(F.map_entries(F.col(p)), as_bin(p))
-        parts.append(F.coalesce(entries, empty))
-    return F.concat(*parts)
-
-
 def estimated(count: Column, estimator: bool) -> Column:
     """F2: +0.5 on every bin present (missing bins stay missing)."""
     c = count.cast("double")

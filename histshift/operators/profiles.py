@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from histshift.config import RunConfig
 from histshift.functions.dates import build_day, window_predicate
-from histshift.functions.histograms import estimated, ping_entries, probe_mean
+from histshift.functions.histograms import estimated, probe_mean
 
 
 def check_probes(pings: DataFrame, probes) -> None:
@@ -59,14 +59,39 @@ def shards_per_build(cfg: RunConfig, partitions: int) -> int:
     return max(1, 2 * partitions // cfg.max_builds)
 
 
+PING_MARKER = "__ping__"
+
+
+def ping_bins(pings: DataFrame, probes, keys) -> DataFrame:
+    """Long form of the ping table: (keys…, probe, metric, value), one row per bin of
+    every non-null map, plus one marker row per ping (probe and metric NULL, value 1).
+
+    An ``unpivot`` of the probe maps (with a constant one-entry map standing for the
+    marker) followed by ``explode``: both are code-generated, so no per-element lambda
+    runs over the ping table. A null map yields no row (A2); a null count inside a map
+    is kept as a NULL value so the caller can poison that histogram (Q6).
+    """
+    if PING_MARKER in probes:
+        raise ValueError(f"{PING_MARKER} is reserved")
+    hist = "map<int,bigint>"   # values nullable: a NULL count must stay NULL
+    cols = [F.col(p).cast(hist).alias(p) for p in probes]
+    cols += [F.create_map(F.lit(0), F.lit(1).cast("bigint")).cast(hist).alias(PING_MARKER)]
+    wide = pings.select(*keys, *cols)
+    long = wide.unpivot(list(keys), [*probes, PING_MARKER], "probe", "_hist")
+    ex = long.select(*keys, "probe", F.explode("_hist").alias("metric", "value"))
+    data = F.col("probe") != F.lit(PING_MARKER)
+    return ex.select(*keys, F.when(data, F.col("probe")).alias("probe"),
+                     F.when(data, F.col("metric")).alias("metric"), "value")
+
+
 def _client_bins(pings: DataFrame, cfg: RunConfig, shards: int) -> DataFrame:
     """Per (client, build, probe, metric): summed count and a poison flag; marker rows
     (probe NULL) carry the ping count of the (client, build). ``_shard`` is a hash of
     the client, so it refines the grouping without changing it."""
-    exploded = select_pings(pings, cfg).select(
+    sel = select_pings(pings, cfg).select(
         "client_id", build_day().alias("app_build_id"),
-        F.pmod(F.xxhash64("client_id"), F.lit(shards)).cast("int").alias("_shard"),
-        F.inline(ping_entries(cfg.probes)))
+        F.pmod(F.xxhash64("client_id"), F.lit(shards)).cast("int").alias("_shard"), *cfg.probes)
+    exploded = ping_bins(sel, cfg.probes, ["client_id", "app_build_id", "_shard"])
     return exploded.groupBy("client_id", "app_build_id", "_shard", "probe", "metric").agg(
         F.sum("value").alias("cnt"),
         F.bool_or(F.col("value").isNull()).alias("poisoned"))

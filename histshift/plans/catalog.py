@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from histshift.config import RunConfig
 from histshift.functions.dates import build_date, build_day, window_predicate
-from histshift.functions.histograms import ping_entries
 from histshift.functions.naming import quantile_names
 from histshift.operators import bootstrap as bs
 from histshift.operators import profiles as pr
@@ -99,9 +98,8 @@ def means_table(spark, sf) -> DataFrame:
 
 # ---------------------------------------------------------------- sources / sinks
 def q_scan_pings(spark, sf):
-    p = pings(spark, sf)
-    return out(p.select("client_id", "app_build_id", "app_name", "normalized_channel", "sample_id",
-                        F.inline(ping_entries(EVENT_PROBES))).filter(F.col("probe").isNotNull()))
+    keys = ["client_id", "app_build_id", "app_name", "normalized_channel", "sample_id"]
+    return out(pr.ping_bins(pings(spark, sf), EVENT_PROBES, keys).filter(F.col("probe").isNotNull()))
 
 
 def q_client_build_pings(spark, sf):
