@@ -18,18 +18,18 @@ from histshift.config import RunConfig
 from histshift.operators import bootstrap as bs
 from histshift.operators import profiles as pr
 from histshift.operators import relds as rd
-from histshift.session import ensure_checkpoint_dir
+from histshift.session import write_table
 
 
 @dataclass
 class RunResult:
     """Lazy outputs of one run.
 
-    With ``materialize`` the profile table is written once to the shared checkpoint
-    folder on first use: the cells, the build stats and the calendar all read it, so
-    the ping table is scanned once per run (without it each consumer prunes the
-    profile differently and the scan would be repeated), and a lost executor sends
-    the run back to the checkpoint, not to the ping scan.
+    With ``materialize`` the profile table is written once, as parquet under the shared
+    folder (``spark.checkpoint.dir``), on first use: the replicate expansion, the build
+    stats and the client means all read it, so the ping table is scanned once per run
+    (without it each consumer prunes the profile differently and the scan would be
+    repeated), and a lost executor sends the run back to that table, not to the scan.
     """
 
     pings: DataFrame
@@ -43,10 +43,7 @@ class RunResult:
     @cached_property
     def profile(self) -> DataFrame:
         prof = pr.profiles(self.pings, self.cfg)
-        if self.materialize:
-            ensure_checkpoint_dir(prof.sparkSession)
-            prof = prof.checkpoint(eager=True)
-        return prof
+        return write_table(prof, "profile") if self.materialize else prof
 
     @cached_property
     def build_stats(self) -> DataFrame:
@@ -54,7 +51,7 @@ class RunResult:
         the calendar, the quantile join and the pairs read it instead of rescanning
         the profile table."""
         stats = pr.build_stats(self.profile)
-        return stats.checkpoint(eager=True) if self.materialize else stats
+        return write_table(stats, "build_stats") if self.materialize else stats
 
     @cached_property
     def client_means(self) -> DataFrame:

@@ -1,7 +1,7 @@
 """The daily job: one comparison run, its summaries, and the four sinks.
 
-The profile table and the aggregated replicate cells feed several outputs; both are
-checkpointed to the shared folder (``spark.checkpoint.dir``) so each sink reads them
+The profile table and the replicate partials feed several outputs; both are written
+as tables under the shared folder (``spark.checkpoint.dir``) so each sink reads them
 instead of recomputing the replicate expansion, and a lost executor does not send
 the job back to the ping scan.
 """
@@ -15,18 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from histshift.config import RunConfig
 from histshift.operators import relds as rd
 from histshift.plans.comparison import RunResult, run_comparison
-from histshift.session import ensure_checkpoint_dir
+from histshift.session import write_table
 from histshift.sources.sinks import with_run_date, write_run
 
 OUTPUTS = ("relds_csv", "relds_measured", "probe_hists", "client_means")
 
 
 def materialize(run: RunResult) -> RunResult:
-    """Cut the lineage of the shared intermediates with reliable checkpoints."""
-    ensure_checkpoint_dir(run.pings.sparkSession)
-    # the profile is checkpointed by the run; the replicate partials feed RelDS and the
-    # build histograms
-    run.__dict__["partials"] = run.partials.checkpoint(eager=True)
+    """Cut the lineage of the shared intermediates (the run materialises its profile;
+    the replicate partials feed RelDS, the measured RelDS and the build histograms)."""
+    run.__dict__["partials"] = write_table(run.partials, "replicate_partials")
     return run
 
 

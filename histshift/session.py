@@ -44,3 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def write_table(df, name: str):
+    """Cut lineage: write ``df`` as a parquet table under the shared folder and read it
+    back. Consumers get compression and column pruning; a lost executor restarts from
+    the table instead of recomputing the lineage."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)

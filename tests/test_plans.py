@@ -47,7 +47,8 @@ def test_ping_scan_pushdown_and_pruning(spark, tmp_path, cfg):
     assert "extra" not in schema and "h1" not in schema
 
 
-def test_profile_is_scanned_once_per_run(spark):
+def test_ping_source_is_not_rescanned_after_materialisation(spark):
     r = C.run(spark, SF001)
     p = plan(r.relds_quantiles)
-    assert "Scan parquet" not in p and "FileScan" not in p   # all branches read the checkpoint
+    assert "events.parquet" not in p          # every branch reads the materialised profile
+    assert "profile-" in p and "build_stats-" in p
