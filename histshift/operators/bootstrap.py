@@ -41,7 +41,7 @@ def bootstrap_weights(profile: DataFrame, cfg: RunConfig, reps=None) -> DataFram
     return kept.withColumn("w", w).drop("_u")
 
 
-def _blocked_reps(prof: DataFrame, cfg: RunConfig) -> DataFrame:
+def _blocked_reps(prof: DataFrame, cfg: RunConfig, n_builds: int | None = None) -> DataFrame:
     """Profiles x replicates, laid out by replicate block.
 
     Each profile is sent once per block of ``rep_block`` replicates (a shuffle of
@@ -55,7 +55,8 @@ def _blocked_reps(prof: DataFrame, cfg: RunConfig) -> DataFrame:
     b = cfg.rep_block
     nblocks = -(-(cfg.num_reps + 1) // b)
     n = profile_partitions(prof, cfg)
-    shards = max(1, 2 * n // (nblocks * cfg.max_builds))
+    builds = max(1, min(n_builds or cfg.max_builds, cfg.max_builds))
+    shards = max(1, 2 * n // (nblocks * builds))
     blocks = prof.select("*", F.explode(F.sequence(F.lit(0), F.lit(nblocks - 1))).alias("_blk"),
                          F.pmod(F.xxhash64("client_id"), F.lit(shards)).alias("_shard"))
     blocks = blocks.repartition(n, "_blk", "app_build_id", "_shard")
@@ -64,7 +65,7 @@ def _blocked_reps(prof: DataFrame, cfg: RunConfig) -> DataFrame:
     return blocks.select(*prof.columns, "_blk", "_shard", _rep_range(lo, hi))
 
 
-def rep_partials(profile: DataFrame, cfg: RunConfig) -> DataFrame:
+def rep_partials(profile: DataFrame, cfg: RunConfig, n_builds: int | None = None) -> DataFrame:
     """A5/B2/F4 per client shard: (rep, app_build_id, probe, metric, wsum) with
     wsum = sum(w * p) over the profiles of one (build, client shard); rows with probe
     NULL carry sum(w). Summing over shards gives the replicate histograms.
@@ -72,7 +73,9 @@ def rep_partials(profile: DataFrame, cfg: RunConfig) -> DataFrame:
     Grouping by (block, build, shard) as well lets each task finish its aggregation
     without a shuffle: the tasks are already keyed by those columns. The probe is
     replaced by its position in the configured list and the marker element is
-    prepended once per profile (not per replicate).
+    prepended once per profile (not per replicate). ``n_builds`` (the actual number of
+    builds, when known) sizes the client shards so that (block, build, shard) triples
+    cover about twice the number of tasks; otherwise the window's bound is used.
     """
     probes = F.array(*[F.lit(p) for p in cfg.probes])
     marker = F.array(F.struct(F.lit(None).cast("int").alias("pi"),
@@ -82,7 +85,7 @@ def rep_partials(profile: DataFrame, cfg: RunConfig) -> DataFrame:
         F.array_position(probes, b["probe"]).cast("int").alias("pi"),
         b["metric"].alias("metric"), b["measure"].alias("measure")))
     prof = profile.select("client_id", "app_build_id", F.concat(marker, coded).alias("_cells"))
-    weighted = bootstrap_weights(prof, cfg, _blocked_reps(prof, cfg))
+    weighted = bootstrap_weights(prof, cfg, _blocked_reps(prof, cfg, n_builds))
     cells = weighted.select("_blk", "_shard", "rep", "app_build_id", "w", F.inline("_cells"))
     agg = cells.groupBy("_blk", "app_build_id", "_shard", "rep", "pi", "metric").agg(
         F.sum(F.col("w") * F.col("measure")).alias("wsum"))
