@@ -41,31 +41,45 @@ def bootstrap_weights(profile: DataFrame, cfg: RunConfig, reps=None) -> DataFram
     return kept.withColumn("w", w).drop("_u")
 
 
-def _blocked_reps(prof: DataFrame, cfg: RunConfig, n_builds: int | None = None) -> DataFrame:
+def _blocked_reps(prof: DataFrame, cfg: RunConfig, sizes: DataFrame | None = None) -> DataFrame:
     """Profiles x replicates, laid out by replicate block.
 
     Each profile is sent once per block of ``rep_block`` replicates (a shuffle of
     ceil((R+1)/rep_block) copies of the small profile table), partitioned by
     (block, build, client shard); the replicates of the block are then expanded in
     place. A task so meets a few (block, build, shard) triples and its partial
-    aggregation stays small enough for the CPU caches, while a build with a third of
-    all clients is spread over its shards.
+    aggregation stays small enough for the CPU caches.
+
+    ``sizes`` (app_build_id, num_profiles), one row per build, salts hot builds: each
+    build gets client shards in proportion to its profiles, so the triples number about
+    twice the tasks and a build holding a third of all profiles is spread over about a
+    third of them. Without it every build gets the same number of shards.
     """
     from histshift.operators.profiles import profile_partitions
+    from histshift.operators.relds import bounded_broadcast
     b = cfg.rep_block
     nblocks = -(-(cfg.num_reps + 1) // b)
     n = profile_partitions(prof, cfg)
-    builds = max(1, min(n_builds or cfg.max_builds, cfg.max_builds))
-    shards = max(1, 2 * n // (nblocks * builds))
-    blocks = prof.select("*", F.explode(F.sequence(F.lit(0), F.lit(nblocks - 1))).alias("_blk"),
-                         F.pmod(F.xxhash64("client_id"), F.lit(shards)).alias("_shard"))
+    if sizes is None:
+        shards = F.lit(max(1, 2 * n // (nblocks * cfg.max_builds)))
+    else:
+        total = F.sum("num_profiles").over(Window.partitionBy())      # <= num_days + 1 rows
+        per_build = sizes.select(
+            "app_build_id",
+            F.greatest(F.lit(1), F.ceil(F.col("num_profiles") * (2.0 * n / nblocks) / total))
+             .cast("long").alias("_shards"))
+        prof = prof.join(bounded_broadcast(per_build, cfg.max_builds), "app_build_id")
+        shards = F.col("_shards")
+    cols = [c for c in prof.columns if c != "_shards"]
+    blocks = prof.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(nblocks - 1))).alias("_blk"),
+                         F.pmod(F.xxhash64("client_id"), shards).alias("_shard"))
     blocks = blocks.repartition(n, "_blk", "app_build_id", "_shard")
     lo = F.col("_blk") * b
     hi = F.least(lo + (b - 1), F.lit(cfg.num_reps))
-    return blocks.select(*prof.columns, "_blk", "_shard", _rep_range(lo, hi))
+    return blocks.select(*cols, "_blk", "_shard", _rep_range(lo, hi))
 
 
-def rep_partials(profile: DataFrame, cfg: RunConfig, n_builds: int | None = None) -> DataFrame:
+def rep_partials(profile: DataFrame, cfg: RunConfig, sizes: DataFrame | None = None) -> DataFrame:
     """A5/B2/F4 per client shard: (rep, app_build_id, probe, metric, wsum) with
     wsum = sum(w * p) over the profiles of one (build, client shard); rows with probe
     NULL carry sum(w). Summing over shards gives the replicate histograms.
@@ -73,9 +87,8 @@ def rep_partials(profile: DataFrame, cfg: RunConfig, n_builds: int | None = None
     Grouping by (block, build, shard) as well lets each task finish its aggregation
     without a shuffle: the tasks are already keyed by those columns. The probe is
     replaced by its position in the configured list and the marker element is
-    prepended once per profile (not per replicate). ``n_builds`` (the actual number of
-    builds, when known) sizes the client shards so that (block, build, shard) triples
-    cover about twice the number of tasks; otherwise the window's bound is used.
+    prepended once per profile (not per replicate). ``sizes`` (profiles per build)
+    salts hot builds in the layout (see _blocked_reps).
     """
     probes = F.array(*[F.lit(p) for p in cfg.probes])
     marker = F.array(F.struct(F.lit(None).cast("int").alias("pi"),
@@ -85,7 +98,7 @@ def rep_partials(profile: DataFrame, cfg: RunConfig, n_builds: int | None = None
         F.array_position(probes, b["probe"]).cast("int").alias("pi"),
         b["metric"].alias("metric"), b["measure"].alias("measure")))
     prof = profile.select("client_id", "app_build_id", F.concat(marker, coded).alias("_cells"))
-    weighted = bootstrap_weights(prof, cfg, _blocked_reps(prof, cfg, n_builds))
+    weighted = bootstrap_weights(prof, cfg, _blocked_reps(prof, cfg, sizes))
     cells = weighted.select("_blk", "_shard", "rep", "app_build_id", "w", F.inline("_cells"))
     agg = cells.groupBy("_blk", "app_build_id", "_shard", "rep", "pi", "metric").agg(
         F.sum(F.col("w") * F.col("measure")).alias("wsum"))

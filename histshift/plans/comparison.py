@@ -63,10 +63,8 @@ class RunResult:
 
     @cached_property
     def partials(self) -> DataFrame:
-        # the materialised build stats hold at most num_days + 1 rows: counting them is
-        # a metadata-sized action that sizes the client shards of the replicate layout
-        n_builds = self.build_stats.count() if self.materialize else None
-        return bs.rep_partials(self.profile, self.cfg, n_builds)
+        # profiles per build (at most num_days + 1 rows) salt hot builds in the layout
+        return bs.rep_partials(self.profile, self.cfg, self.build_stats)
 
     @cached_property
     def cells(self) -> DataFrame:
