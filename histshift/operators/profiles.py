@@ -54,11 +54,6 @@ def client_build_pings(pings: DataFrame, cfg: RunConfig) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("num_client_pings")))
 
 
-def shards_per_build(cfg: RunConfig, partitions: int) -> int:
-    """Client shards per build: about two (build, shard) pairs per task."""
-    return max(1, 2 * partitions // cfg.max_builds)
-
-
 PING_MARKER = "__ping__"
 
 
@@ -84,15 +79,13 @@ def ping_bins(pings: DataFrame, probes, keys) -> DataFrame:
                      F.when(data, F.col("metric")).alias("metric"), "value")
 
 
-def _client_bins(pings: DataFrame, cfg: RunConfig, shards: int) -> DataFrame:
+def _client_bins(pings: DataFrame, cfg: RunConfig) -> DataFrame:
     """Per (client, build, probe, metric): summed count and a poison flag; marker rows
-    (probe NULL) carry the ping count of the (client, build). ``_shard`` is a hash of
-    the client, so it refines the grouping without changing it."""
+    (probe NULL) carry the ping count of the (client, build)."""
     sel = select_pings(pings, cfg).select(
-        "client_id", build_day().alias("app_build_id"),
-        F.pmod(F.xxhash64("client_id"), F.lit(shards)).cast("int").alias("_shard"), *cfg.probes)
-    exploded = ping_bins(sel, cfg.probes, ["client_id", "app_build_id", "_shard"])
-    return exploded.groupBy("client_id", "app_build_id", "_shard", "probe", "metric").agg(
+        "client_id", build_day().alias("app_build_id"), *cfg.probes)
+    exploded = ping_bins(sel, cfg.probes, ["client_id", "app_build_id"])
+    return exploded.groupBy("client_id", "app_build_id", "probe", "metric").agg(
         F.sum("value").alias("cnt"),
         F.bool_or(F.col("value").isNull()).alias("poisoned"))
 
@@ -112,27 +105,24 @@ def profiles(pings: DataFrame, cfg: RunConfig) -> DataFrame:
     without any bin keep an empty array and still count (Q8).
     """
     n = profile_partitions(pings, cfg)
-    agg = _client_bins(pings, cfg, shards_per_build(cfg, n))
-    # Profiles leave this stage clustered by (build, client shard): the replicate
-    # expansion that follows then meets few builds per task, so its partial aggregation
-    # (keyed by rep, build, probe, bin) stays small; a build holding a third of all
-    # clients is still spread over its shards. The window and the collection below
-    # reuse this partitioning (their keys contain build and shard): one shuffle.
-    agg = agg.repartition(n, "app_build_id", "_shard")
-    w = Window.partitionBy("client_id", "app_build_id", "_shard", "probe")
+    agg = _client_bins(pings, cfg)
+    # One repartition by (client, build) serves both the normalising window and the
+    # per-profile collection below (their keys contain it): one shuffle after the
+    # partial aggregation, and a hot build spreads over all tasks with its clients.
+    agg = agg.repartition(n, "client_id", "app_build_id")
+    w = Window.partitionBy("client_id", "app_build_id", "probe")
     est = estimated(F.col("cnt"), cfg.estimator)
     dens = agg.select(
-        "client_id", "app_build_id", "_shard", "probe", "metric", "cnt",
+        "client_id", "app_build_id", "probe", "metric", "cnt",
         F.try_divide(est, F.sum(est).over(w)).alias("measure"),
         F.bool_or("poisoned").over(w).alias("bad"),
     )
     keep = F.col("probe").isNotNull() & ~F.col("bad") & F.col("measure").isNotNull()
-    prof = dens.groupBy("client_id", "app_build_id", "_shard").agg(
+    return dens.groupBy("client_id", "app_build_id").agg(
         F.coalesce(F.sum(F.when(F.col("probe").isNull(), F.col("cnt"))), F.lit(0))
          .cast("bigint").alias("num_client_pings"),
         F.collect_list(F.when(keep, F.struct("probe", "metric", "measure"))).alias("bins"),
     )
-    return prof.drop("_shard")
 
 
 def client_hists(profile: DataFrame) -> DataFrame:
