@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BIN_TYPE = "struct<probe:string,metric:int,measure:double>"
 
 
 def _q(s: str) -> str:

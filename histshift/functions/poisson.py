@@ -73,14 +73,6 @@ def poisson1_from_uniform(u: Column) -> Column:
     return expr.otherwise(F.lit(len(ts)))
 
 
-def replicate_weight(client: str | Column, build: str | Column, rep: str | Column,
-                     seed: int = 0, method: str = "md5") -> Column:
-    """Weight of a profile in a replicate: 1 in replicate 0 (the measured sample)."""
-    r = F.col(rep) if isinstance(rep, str) else rep
-    return F.when(r == 0, F.lit(1)).otherwise(
-        poisson1_from_uniform(uniform32(client, build, r, seed, method)))
-
-
 def sql_uniform32_md5(client: str, build: str, rep: str, seed: int = 0) -> str:
     """The md5 uniform as DuckDB SQL text (used by the oracle)."""
     parts = [client, "'|'", build, "'|'", f"CAST({rep} AS VARCHAR)"]

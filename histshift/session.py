@@ -39,13 +39,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{base}/histshift/{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    d = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
 def write_table(df, name: str):
     """Cut lineage: write ``df`` as a parquet table under the shared folder and read it
     back. Consumers get compression and column pruning; a lost executor restarts from

@@ -38,7 +38,8 @@ def test_ping_scan_pushdown_and_pruning(spark, tmp_path, cfg):
     path = str(tmp_path / "pings")
     make_pings(spark, rows).withColumn("extra", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("x")) \
         .write.parquet(path)
-    pings = spark.read.parquet(path)
+    from histshift.sources.readers import read_pings
+    pings = read_pings(spark, path)
     text = plan(pr.client_build_pings(pings, cfg))
     pushed = text.split("PushedFilters: ")[1].split("\n")[0]
     schema = text.split("ReadSchema: ")[1].split("\n")[0]

@@ -96,3 +96,13 @@ def test_densities_sum_to_one(spark, cfg):
 def test_missing_probe_is_rejected(spark, cfg):
     with pytest.raises(ValueError):
         pr.select_pings(make_pings(spark, [("c", B, {})], probes=("h1",)), cfg)
+
+
+def test_profile_and_stats_follow_the_declared_schemas(spark, cfg):
+    from histshift.sources import schemas
+    prof = pr.profiles(make_pings(spark, [("c", B, {"h1": {1: 1}})]), cfg)
+
+    def shape(schema):
+        return [(f.name, f.dataType.simpleString()) for f in schema.fields]
+    assert shape(prof.schema) == shape(schemas.PROFILE)
+    assert shape(pr.build_stats(prof).schema) == shape(schemas.BUILD_STATS)
