@@ -26,10 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir); only when the
     session names none (local tests) a fresh folder is created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        return d
+    try:
+        sc = spark.sparkContext
+    except Exception as e:     # no local context (e.g. Spark Connect): the conf must name it
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster") from e
+    d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="histshift-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
+        sc.setCheckpointDir(d)
     return d
 
 

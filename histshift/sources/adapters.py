@@ -24,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows over the session's parallelism when the file layout gives fewer
     splits (a small file of one or two row groups); large inputs keep their splits."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:          # sessions without a local context (e.g. Spark Connect)
+        return df
+    return df.repartition(par) if splits < par else df
 
 
 def _probe_maps(probes_by_key: dict[str, str]) -> list:
