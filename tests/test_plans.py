@@ -53,3 +53,21 @@ def test_ping_source_is_not_rescanned_after_materialisation(spark):
     p = plan(r.relds_quantiles)
     assert "events.parquet" not in p          # every branch reads the materialised profile
     assert "profile-" in p and "build_stats-" in p
+
+
+def test_replicate_aggregation_needs_one_shuffle(spark):
+    """Profiles -> block shuffle -> expansion -> aggregation finished in the same tasks."""
+    r = C.run(spark, SF001)
+    p = plan(r.partials, "simple")
+    assert p.count("Exchange hashpartitioning") == 1
+    assert "REPARTITION_BY_NUM" in p
+
+
+def test_bounded_broadcast_only_below_the_limit(spark):
+    from histshift.operators.relds import MAX_BROADCAST_ROWS, bounded_broadcast
+    df = spark.range(3).withColumnRenamed("id", "k")
+    big = spark.range(100).withColumnRenamed("id", "k")
+    with_hint = plan(big.join(bounded_broadcast(df, 10), "k"), "extended")
+    without = plan(big.join(bounded_broadcast(df, MAX_BROADCAST_ROWS + 1), "k"), "extended")
+    assert "broadcast" in with_hint.split("== Analyzed Logical Plan ==")[0].lower()
+    assert "broadcast" not in without.split("== Analyzed Logical Plan ==")[0].lower()
