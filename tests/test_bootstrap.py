@@ -72,3 +72,17 @@ def test_relds_bounds(spark):
     r = C.run(spark, SF01)
     lo, hi = r.relds.agg(F.min("relds"), F.max("relds")).collect()[0]
     assert lo >= 0.0 and hi <= 2.0 + 0.10 * 200
+
+
+def test_same_results_for_1_and_64_shuffle_partitions(spark):
+    import __spark_entry__ as E
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    out = {}
+    try:
+        for n in ("1", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out[n] = {k: sorted(tuple(r) for r in E.queries()[k](spark, SF001).collect())
+                      for k in ("relds_quantiles", "box_stats", "latest_hists")}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    assert out["1"] == out["64"]
