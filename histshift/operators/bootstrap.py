@@ -41,7 +41,33 @@ def bootstrap_weights(profile: DataFrame, cfg: RunConfig, reps=None) -> DataFram
     return kept.withColumn("w", w).drop("_u")
 
 
-def _blocked_reps(prof: DataFrame, cfg: RunConfig, sizes: DataFrame | None = None) -> DataFrame:
+# Profile-replicates expanded per task when the block stage is sized from the data.
+ROWS_PER_TASK = 1_000_000
+
+
+def block_tasks(spark, cfg: RunConfig, profiles: int | None) -> int:
+    """Tasks of the replicate expansion: ``cfg.partitions`` when set; otherwise
+    profiles x (R+1) / ROWS_PER_TASK, at least the default parallelism and at most the
+    session's shuffle partitions (when larger than the parallelism)."""
+    if cfg.partitions or profiles is None:
+        return profile_partitions_for(spark, cfg)
+    try:
+        par = spark.sparkContext.defaultParallelism
+    except Exception:
+        par = 1
+    cap = max(int(spark.conf.get("spark.sql.shuffle.partitions")), par)
+    need = -(-profiles * (cfg.num_reps + 1) // ROWS_PER_TASK)
+    return int(max(par, min(need, cap)))
+
+
+def profile_partitions_for(spark, cfg: RunConfig) -> int:
+    if cfg.partitions:
+        return int(cfg.partitions)
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _blocked_reps(prof: DataFrame, cfg: RunConfig, sizes: DataFrame | None = None,
+                  tasks: int | None = None) -> DataFrame:
     """Profiles x replicates, laid out by replicate block.
 
     Each profile is sent once per block of ``rep_block`` replicates (a shuffle of
@@ -55,11 +81,10 @@ def _blocked_reps(prof: DataFrame, cfg: RunConfig, sizes: DataFrame | None = Non
     twice the tasks and a build holding a third of all profiles is spread over about a
     third of them. Without it every build gets the same number of shards.
     """
-    from histshift.operators.profiles import profile_partitions
     from histshift.operators.relds import bounded_broadcast
     b = cfg.rep_block
     nblocks = -(-(cfg.num_reps + 1) // b)
-    n = profile_partitions(prof, cfg)
+    n = tasks or profile_partitions_for(prof.sparkSession, cfg)
     if sizes is None:
         shards = F.lit(max(1, 2 * n // (nblocks * cfg.max_builds)))
     else:
@@ -79,7 +104,8 @@ def _blocked_reps(prof: DataFrame, cfg: RunConfig, sizes: DataFrame | None = Non
     return blocks.select(*cols, "_blk", "_shard", _rep_range(lo, hi))
 
 
-def rep_partials(profile: DataFrame, cfg: RunConfig, sizes: DataFrame | None = None) -> DataFrame:
+def rep_partials(profile: DataFrame, cfg: RunConfig, sizes: DataFrame | None = None,
+                 tasks: int | None = None) -> DataFrame:
     """A5/B2/F4 per client shard: (rep, app_build_id, probe, metric, wsum) with
     wsum = sum(w * p) over the profiles of one (build, client shard); rows with probe
     NULL carry sum(w). Summing over shards gives the replicate histograms.
@@ -98,7 +124,7 @@ def rep_partials(profile: DataFrame, cfg: RunConfig, sizes: DataFrame | None = N
         F.array_position(probes, b["probe"]).cast("int").alias("pi"),
         b["metric"].alias("metric"), b["measure"].alias("measure")))
     prof = profile.select("client_id", "app_build_id", F.concat(marker, coded).alias("_cells"))
-    weighted = bootstrap_weights(prof, cfg, _blocked_reps(prof, cfg, sizes))
+    weighted = bootstrap_weights(prof, cfg, _blocked_reps(prof, cfg, sizes, tasks))
     cells = weighted.select("_blk", "_shard", "rep", "app_build_id", "w", F.inline("_cells"))
     agg = cells.groupBy("_blk", "app_build_id", "_shard", "rep", "pi", "metric").agg(
         F.sum(F.col("w") * F.col("measure")).alias("wsum"))

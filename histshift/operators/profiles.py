@@ -90,12 +90,6 @@ def _client_bins(pings: DataFrame, cfg: RunConfig) -> DataFrame:
         F.bool_or(F.col("value").isNull()).alias("poisoned"))
 
 
-def profile_partitions(df: DataFrame, cfg: RunConfig) -> int:
-    if cfg.partitions:
-        return int(cfg.partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def profiles(pings: DataFrame, cfg: RunConfig) -> DataFrame:
     """(client_id, app_build_id, num_client_pings, bins array<struct<probe,metric,measure>>).
 
@@ -104,12 +98,16 @@ def profiles(pings: DataFrame, cfg: RunConfig) -> DataFrame:
     counts are all zero without estimator is empty instead of failing (Q7). Profiles
     without any bin keep an empty array and still count (Q8).
     """
-    n = profile_partitions(pings, cfg)
     agg = _client_bins(pings, cfg)
     # One repartition by (client, build) serves both the normalising window and the
     # per-profile collection below (their keys contain it): one shuffle after the
     # partial aggregation, and a hot build spreads over all tasks with its clients.
-    agg = agg.repartition(n, "client_id", "app_build_id")
+    # Without an explicit count AQE may merge small partitions (the replicate
+    # expansion sizes its own tasks later).
+    if cfg.partitions:
+        agg = agg.repartition(int(cfg.partitions), "client_id", "app_build_id")
+    else:
+        agg = agg.repartition("client_id", "app_build_id")
     w = Window.partitionBy("client_id", "app_build_id", "probe")
     est = estimated(F.col("cnt"), cfg.estimator)
     dens = agg.select(

@@ -63,8 +63,13 @@ class RunResult:
 
     @cached_property
     def partials(self) -> DataFrame:
-        # profiles per build (at most num_days + 1 rows) salt hot builds in the layout
-        return bs.rep_partials(self.profile, self.cfg, self.build_stats)
+        # profiles per build (at most num_days + 1 rows) salt hot builds in the layout;
+        # their total (one scalar from that bounded table) sizes the expansion's tasks
+        total = None
+        if self.materialize:
+            total = self.build_stats.agg(F.sum("num_profiles")).first()[0] or 0
+        tasks = bs.block_tasks(self.profile.sparkSession, self.cfg, total)
+        return bs.rep_partials(self.profile, self.cfg, self.build_stats, tasks)
 
     @cached_property
     def cells(self) -> DataFrame:
