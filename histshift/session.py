@@ -23,8 +23,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares for lineage cuts and sink round trips.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir); only when the
-    session names none (local tests) a fresh folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Where neither is
+    set, a session on a ``local`` master gets a folder of its own; any other master raises,
+    since a folder of the driver's machine is not visible to its executors.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster") from e
     d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="histshift-ckpt-")
         sc.setCheckpointDir(d)
     return d
