@@ -12,5 +12,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op10_jaccard_join": op10_jaccard_join}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from histshift.llm.substring_dedup import dedup_digest
+    return dedup_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 ORACLE: dict[str, str] = {}
