@@ -17,5 +17,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from histshift.llm.packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from histshift.llm.secrets import secret_digest
+    return secret_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 ORACLE: dict[str, str] = {}
