@@ -211,12 +211,10 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, name: str) -> D
 
 def _across(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs of different components within groups (key, doc, component, members)."""
-    g = groups.select("key", "doc", "component")
     small = groups.where(F.col("members") <= SMALL_GROUP).select("key", "doc", "component")
     x, y = small.alias("x"), small.alias("y")
     pairs = (x.join(y, "key").where("x.doc < y.doc and x.component <> y.component")
              .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())
-    del g
     large = (groups.where(F.col("members") > SMALL_GROUP)
              .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
              .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
@@ -291,6 +289,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
             .select("doc_id").distinct())
     left = docs.join(gone, "doc_id", "left_anti")
     known = left.where("doc_id is not null")
-    once = known.withColumn("_nth", F.row_number().over(
-        Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_nth = 1").drop("_nth")
+    nth = "_" * (1 + max(map(len, docs.columns)))       # a name that no column has
+    once = known.withColumn(nth, F.row_number().over(
+        Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(nth) == 1).drop(nth)
     return once.unionByName(left.where("doc_id is null")).select(docs.columns)

@@ -27,5 +27,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from histshift.llm.quality import classify
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op4_quality_classifier": op4_quality_classifier, "op2_best_fit_packing": op2_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 ORACLE: dict[str, str] = {}
