@@ -32,5 +32,41 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op4_quality_classifier": op4_quality_classifier, "op2_best_fit_packing": op2_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
-ORACLE: dict[str, str] = {}
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from histshift.llm.chat import chat_digest
+    rows = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role",
+                                     "'</s>[INST] ok [/INST]' AS text")
+    return chat_digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(rows))
+
+
+QUERIES = {"op8_chat_format": op8_chat_format, "op4_quality_classifier": op4_quality_classifier, "op2_best_fit_packing": op2_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
+
+#: Turn marks of the template, by length, as the formatter escapes them.
+_MARKS = ("<</SYS>>", "[/INST]", "[/ROLE]", "<<SYS>>", "[INST]", "[ROLE]", "[TEXT]", "</s>", "<s>")
+
+
+def _escaped(x: str) -> str:
+    out = f"replace({x}, '\\', '\\\\')"
+    for m in _MARKS:
+        out = f"replace({out}, '{m}', '{m[0]}\\{m[1:]}')"
+    return out
+
+
+ORACLE: dict[str, str] = {"op8_chat_format": f"""
+WITH c AS (
+  SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'),
+s AS (
+  SELECT *, coalesce(lag(r) OVER w, 'START') AS state, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY place)) AS turns_sha256,
+  sum(CASE WHEN r = 'assistant' THEN length(x) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN x ELSE '' END, '' ORDER BY place), '')) AS loss_sha256,
+  sum(length({_escaped('x')}) + CASE r WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+      ELSE 19 + length({_escaped('r')}) END)::BIGINT AS formatted_chars,
+  bool_and(CASE state WHEN 'START' THEN r IN ('system', 'user') WHEN 'system' THEN r = 'user'
+      WHEN 'user' THEN r = 'assistant' WHEN 'assistant' THEN r = 'user' ELSE false END
+      AND (place < n OR r = 'assistant')) AS valid
+FROM s GROUP BY conv_id"""}
