@@ -14,7 +14,7 @@ from histshift.session import write_table
 __all__ = ["table", "write_table", "arrow_rows", "text_bytes", "buffers", "int64_of", "slices"]
 
 #: Texts are worked on in slices of about so many bytes, so that a task's arrays stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,8 @@ def text_bytes(df: DataFrame, *cols: str, text: str = "text") -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches sent to Python by rows and bytes (long texts, wide vectors)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch],

@@ -39,7 +39,22 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(rows))
 
 
-QUERIES = {"op8_chat_format": op8_chat_format, "op4_quality_classifier": op4_quality_classifier, "op2_best_fit_packing": op2_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from histshift.llm.topk import top_k
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op3_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from histshift.llm.ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from histshift.llm.warc import archive_digest
+    return archive_digest(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {"op6_warc": op6_warc, "op1_exact_topk": op1_exact_topk, "op3_one_bit_ann": op3_one_bit_ann, "op8_chat_format": op8_chat_format, "op4_quality_classifier": op4_quality_classifier, "op2_best_fit_packing": op2_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 
 #: Turn marks of the template, by length, as the formatter escapes them.
 _MARKS = ("<</SYS>>", "[/INST]", "[/ROLE]", "<<SYS>>", "[INST]", "[ROLE]", "[TEXT]", "</s>", "<s>")
@@ -69,4 +84,24 @@ SELECT conv_id, count(*) AS n_turns,
   bool_and(CASE state WHEN 'START' THEN r IN ('system', 'user') WHEN 'system' THEN r = 'user'
       WHEN 'user' THEN r = 'assistant' WHEN 'assistant' THEN r = 'user' ELSE false END
       AND (place < n OR r = 'assistant')) AS valid
-FROM s GROUP BY conv_id"""}
+FROM s GROUP BY conv_id""", "op1_exact_topk": """
+WITH v AS (
+  SELECT vec_id, min(embedding) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+i AS (SELECT vec_id, list_transform(e, lambda x: floor(64 * x::DOUBLE)) AS e FROM v),
+r AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id) AS rank
+  FROM i q JOIN i c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""", "op6_warc": f"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
+d AS (
+  SELECT page_id, max({{'d': sha1(b), 'n': octet_length(b)}}) AS x FROM p GROUP BY page_id),
+r AS (
+  SELECT page_id, x.n::BIGINT AS payload_bytes, x.d AS payload_digest,
+    max(page_id) OVER (PARTITION BY x.d, x.n) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to, true AS ok FROM r"""}

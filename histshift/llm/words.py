@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 
 LONG = 512
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 _B = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240607)
 _VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
