@@ -54,7 +54,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digest(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op6_warc": op6_warc, "op1_exact_topk": op1_exact_topk, "op3_one_bit_ann": op3_one_bit_ann, "op8_chat_format": op8_chat_format, "op4_quality_classifier": op4_quality_classifier, "op2_best_fit_packing": op2_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
+def op5_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from histshift.llm.pieces import encode_digest
+    return encode_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op5_piece_nbest": op5_piece_nbest, "op6_warc": op6_warc, "op1_exact_topk": op1_exact_topk, "op3_one_bit_ann": op3_one_bit_ann, "op8_chat_format": op8_chat_format, "op4_quality_classifier": op4_quality_classifier, "op2_best_fit_packing": op2_best_fit_packing, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 
 #: Turn marks of the template, by length, as the formatter escapes them.
 _MARKS = ("<</SYS>>", "[/INST]", "[/ROLE]", "<<SYS>>", "[INST]", "[ROLE]", "[TEXT]", "</s>", "<s>")
