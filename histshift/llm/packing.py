@@ -38,7 +38,7 @@ NODES = 4_000
 FILLINGS = 64
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids per worker, and the longest word kept (a saving only).
-CACHE, CACHED_BYTES = 300_000, 64
+CACHE, CACHED_BYTES = 500_000, 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -51,53 +51,55 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The byte-level alphabet: bytes that print stand for themselves, others for U+0100 and up.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+
+
 class WordEncoder:
     """Token ids of whole texts from the ids of their words.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its
-    words' ids in a row. Words are encoded once while the cache holds them; ASCII words are
-    looked up by their letter runs, digits and signs, as the tokenizer splits them. Added
-    tokens such as ``<|endoftext|>`` inside a word keep their own ids.
+    words' ids in a row. Words are encoded once while the cache holds them; words in ASCII and
+    Latin-1 letters are looked up by their letter runs, digits and signs, as the tokenizer
+    splits them. Added tokens such as ``<|endoftext|>`` inside a word keep their own ids.
     """
 
-    SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    # printable ASCII and the letters U+00C0 to U+00FF, in UTF-8
+    PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+    SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x80-\xbf])+|[0-9]|[!-/:-`{-~]+").findall
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[bytes]) -> None:
-        """Many parts in one call, told apart by the ids that end a word."""
-        for i in range(0, len(parts), 256):
-            group = parts[i:i + 256]
-            ids = np.frombuffer(self._encode([b" ".join(group).decode()])[0], "<u4")
-            stops = np.flatnonzero(self.last[ids]) + 1
-            if len(stops) == len(group) and stops[-1] == len(ids):
-                for p, a, b in zip(group, np.r_[0, stops[:-1]], stops):
-                    self.parts[p] = ids[a:b].tobytes()
-            else:
-                self.parts.update(zip(group, self._encode([p.decode() for p in group])))
+    def _part(self, part: bytes) -> bytes:
+        """Ids of a lower-case letter run, a digit or a run of signs: nothing is left for the
+        normaliser and the splitter, so the merges alone are run."""
+        spelt = part.decode("latin-1").translate(_ALPHABET)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelt)])
 
     def learn(self, missing: list[bytes]) -> None:
-        plain = [w for w in missing if w.isascii() and len(w) <= CACHED_BYTES and b"<|" not in w]
         if len(self.parts) > CACHE:
             self.parts.clear()
-        split = [self.SPLIT.findall(w.lower()) for w in plain]
-        self._encode_parts(list({p for ps in split for p in ps}.difference(self.parts)))
-        for w, ps in zip(plain, split):
-            self.words[w] = b"".join([self.parts[p] for p in ps])
-        others = list(set(missing).difference(plain))
-        self.words.update(zip(others, self._encode([w.decode() for w in others])))
+        words, parts, split, others = self.words, self.parts, self.SPLIT, []
+        for w in missing:
+            if len(w) > CACHED_BYTES or not self.PLAIN(w) or b"<|" in w:
+                others.append(w)
+                continue
+            found = split(w.lower() if w.isascii() else w.decode().lower().encode())
+            for p in found:
+                if p not in parts:
+                    parts[p] = self._part(p)
+            words[w] = parts[found[0]] if len(found) == 1 else b"".join([parts[p] for p in found])
+        words.update(zip(others, self._encode([w.decode() for w in others])))
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a text in UTF-8."""
