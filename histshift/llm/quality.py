@@ -14,8 +14,8 @@ in one task and the model (a few MB, whatever the input) is the only thing that
 driver. Scoring reads every whole text and shuffles nothing.
 
 Labels come only from rows whose ``crc32(doc_id as text) mod 5`` is not 0. Defined cases: null
-texts count as empty and are scored by the sigmoid's constant; labels that are null, or whose
-``doc_id`` is null or without a text, teach nothing; of several labels of one ``doc_id`` the
+texts count as empty; labels that are null, or whose ``doc_id`` is null, teach nothing, and
+those without a text only count in the class shares; of several labels of one ``doc_id`` the
 larger counts, and of several texts each teaches; where a class has no labels the score is
 the share of the other class (0.5 without labels); ``held_out`` of a null ``doc_id`` is false;
 equal rows get equal scores; further columns are kept by ``keep_good``.
