@@ -28,19 +28,18 @@ class RunConfig:
     num_reps      Poisson bootstrap replicates (1000 in the daily job)
     seed          mixed into the hash of every weight; 0 keeps the hashed text short
     app, channel  constant equality predicates on the ping table (app is required)
-    sample        'lexical' (string compare, as written) or 'numeric'
+    sample        'all' clients, or the cut sample: 'lexical' (string compare, as written)
+                  or 'numeric'
+    sample_cut    sample ids below this value are kept (None: the channel's usual cut)
     debug         restrict to one sample id
     estimator     add 0.5 to every present bin before normalising
     measured_rep  replicate reported as "measured" (0 = all profiles with weight 1)
     zero_val      RelDS penalty for a control bin of probability 0 that the test has
     uniform       'md5' (portable to SQL engines) or 'xxhash64' (fast)
     inclusive_end compare the day prefix with the upper bound instead of the raw id
-    partitions    tasks that carry the profiles into the replicate expansion (None: the
-                  session's spark.sql.shuffle.partitions); fixed, so AQE cannot coalesce
-                  the small profile table into a few tasks right before a 600x blow-up
-    rep_block     replicates expanded per task: each task aggregates a block of
-                  replicates for a few (build, client shard) pairs, so its hash map
-                  holds rep_block x bins keys instead of R x builds x bins
+    partitions    fixed task count of the profile stage (None: sized by AQE)
+    rep_block     replicates expanded together: each block of them reads the profile
+                  table and aggregates by itself, so this bounds a task's hash map
     """
 
     probes: tuple[str, ...]
@@ -50,7 +49,8 @@ class RunConfig:
     num_reps: int = 1000
     seed: int = 0
     channel: str = "nightly"
-    sample: str = "lexical"
+    sample: str = "all"
+    sample_cut: str | None = None
     debug: bool = False
     estimator: bool = False
     measured_rep: int = 0
@@ -70,8 +70,8 @@ class RunConfig:
             raise ValueError("num_reps must be >= 1")
         if not 0 <= self.measured_rep <= self.num_reps:
             raise ValueError("measured_rep must lie in [0, num_reps]")
-        if self.sample not in ("lexical", "numeric"):
-            raise ValueError("sample must be 'lexical' or 'numeric'")
+        if self.sample not in ("all", "lexical", "numeric"):
+            raise ValueError("sample must be 'all', 'lexical' or 'numeric'")
         if self.rep_block < 1:
             raise ValueError("rep_block must be >= 1")
         if self.uniform not in ("md5", "xxhash64"):
@@ -81,12 +81,9 @@ class RunConfig:
         return replace(self, **kw)
 
     @property
-    def sample_cut(self) -> str:
+    def cut(self) -> str:
         if self.debug:
             return SAMPLE_DEBUG
+        if self.sample_cut is not None:
+            return self.sample_cut
         return SAMPLE_NIGHTLY if self.channel == "nightly" else SAMPLE_OTHER
-
-    @property
-    def max_builds(self) -> int:
-        """Proven upper bound on distinct build days inside the window."""
-        return self.num_days + 1

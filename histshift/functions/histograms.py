@@ -1,4 +1,4 @@
-"""Expressions over histogram bins.
+"""Expressions over histogram bins.
 
 A histogram lives in long form, one row or one array element per bin:
 ``struct<probe string, metric int, measure double>``.
@@ -10,25 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
-def _q(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def estimated(count: Column, estimator: bool) -> Column:
     """F2: +0.5 on every bin present (missing bins stay missing)."""
     c = count.cast("double")
     return c + F.lit(0.5) if estimator else c
 
 
-def probe_mean(bins: str, probe: str) -> Column:
-    """sum(metric * p) / sum(p) over the bins of one probe; NULL when empty or zero."""
-    sel = f"filter({bins}, b -> b.probe = {_q(probe)})"
-    num = f"aggregate({sel}, 0D, (a, b) -> a + b.metric * b.measure)"
-    den = f"aggregate({sel}, 0D, (a, b) -> a + b.measure)"
-    return F.expr(f"try_divide({num}, {den})")
-
-
 def merge_hist_maps(a: str | Column, b: str | Column) -> Column:
     """F5 on map columns: key-union sum of two histograms (a missing side counts 0;
     a NULL map is an empty histogram)."""

@@ -71,17 +71,3 @@ def poisson1_from_uniform(u: Column) -> Column:
     for k, t in enumerate(ts[1:], start=1):
         expr = expr.when(u < F.lit(t), F.lit(k))
     return expr.otherwise(F.lit(len(ts)))
-
-
-def sql_uniform32_md5(client: str, build: str, rep: str, seed: int = 0) -> str:
-    """The md5 uniform as DuckDB SQL text (used by the oracle)."""
-    parts = [client, "'|'", build, "'|'", f"CAST({rep} AS VARCHAR)"]
-    if seed:
-        parts += ["'|'", f"'{seed}'"]
-    return f"('0x' || substr(md5({' || '.join(parts)}), 1, 8))::BIGINT"
-
-
-def sql_poisson1(u: str) -> str:
-    ts = poisson1_thresholds()
-    whens = " ".join(f"WHEN {u} < {t} THEN {k}" for k, t in enumerate(ts))
-    return f"CASE {whens} ELSE {len(ts)} END"

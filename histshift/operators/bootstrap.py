@@ -1,17 +1,19 @@
 """Poisson bootstrap over client profiles.
 
-Physical shape: profiles are shipped once per block of replicates (a shuffle of a
-few copies of the small profile table) to tasks keyed by (block, build, client
-shard); each task expands its block with ``explode(sequence)``, takes the weight from
-a hash, drops ``w = 0`` right away (about 37 % of rows), ``inline``s the bins and
-pre-aggregates by (rep, build, probe, metric) in a hash map of block x bins keys.
-Only aggregated cells cross the second shuffle, a volume independent of the number
-of clients. One marker element per (profile, replicate) adds sum(w) per (rep, build)
-to the same aggregation.
+Physical shape: replicates are expanded block by block. Every block of ``rep_block``
+replicates reads the materialised profile table (two columns) and, in the same stage,
+takes each weight from a hash, drops ``w = 0`` at once (about 37 % of rows), ``inline``s
+the bins and pre-aggregates by (rep, build, probe, metric). No profile crosses a shuffle:
+only summed cells do, once, a volume set by tasks x cells and independent of the number
+of clients; a build holding a third of all profiles is spread over the tasks that read
+it. One marker element per (profile, replicate) adds sum(w) per (rep, build) to the same
+aggregation.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,80 +43,25 @@ def bootstrap_weights(profile: DataFrame, cfg: RunConfig, reps=None) -> DataFram
     return kept.withColumn("w", w).drop("_u")
 
 
-# Profile-replicates expanded per task when the block stage is sized from the data.
-ROWS_PER_TASK = 1_000_000
-
-
-def block_tasks(spark, cfg: RunConfig, profiles: int | None) -> int:
-    """Tasks of the replicate expansion: ``cfg.partitions`` when set; otherwise
-    profiles x (R+1) / ROWS_PER_TASK, at least the default parallelism and at most the
-    session's shuffle partitions (when larger than the parallelism)."""
-    if cfg.partitions or profiles is None:
-        return profile_partitions_for(spark, cfg)
-    try:
-        par = spark.sparkContext.defaultParallelism
-    except Exception:
-        par = 1
-    cap = max(int(spark.conf.get("spark.sql.shuffle.partitions")), par)
-    need = -(-profiles * (cfg.num_reps + 1) // ROWS_PER_TASK)
-    return int(max(par, min(need, cap)))
-
-
-def profile_partitions_for(spark, cfg: RunConfig) -> int:
-    if cfg.partitions:
-        return int(cfg.partitions)
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def replicate_blocks(cfg: RunConfig, reps=None) -> list[tuple[int, int]]:
+    """Ranges (first, last) of at most ``rep_block`` consecutive replicates."""
+    wanted = sorted(set(range(cfg.num_reps + 1) if reps is None else reps))
+    out: list[tuple[int, int]] = []
+    for r in wanted:
+        if out and r == out[-1][1] + 1 and r - out[-1][0] < cfg.rep_block:
+            out[-1] = (out[-1][0], r)
+        else:
+            out.append((r, r))
+    return out
 
 
-def _blocked_reps(prof: DataFrame, cfg: RunConfig, sizes: DataFrame | None = None,
-                  tasks: int | None = None) -> DataFrame:
-    """Profiles x replicates, laid out by replicate block.
+def rep_cells(profile: DataFrame, cfg: RunConfig, reps=None) -> DataFrame:
+    """The replicate cells, one row per (rep, app_build_id, probe, metric) with
+    wsum = sum(w * p) over the build's profiles; rows with probe NULL carry n = sum(w).
 
-    Each profile is sent once per block of ``rep_block`` replicates (a shuffle of
-    ceil((R+1)/rep_block) copies of the small profile table), partitioned by
-    (block, build, client shard); the replicates of the block are then expanded in
-    place. A task so meets a few (block, build, shard) triples and its partial
-    aggregation stays small enough for the CPU caches.
-
-    ``sizes`` (app_build_id, num_profiles), one row per build, salts hot builds: each
-    build gets client shards in proportion to its profiles, so the triples number about
-    twice the tasks and a build holding a third of all profiles is spread over about a
-    third of them. Without it every build gets the same number of shards.
-    """
-    from histshift.operators.relds import bounded_broadcast
-    b = cfg.rep_block
-    nblocks = -(-(cfg.num_reps + 1) // b)
-    n = tasks or profile_partitions_for(prof.sparkSession, cfg)
-    if sizes is None:
-        shards = F.lit(max(1, 2 * n // (nblocks * cfg.max_builds)))
-    else:
-        total = F.sum("num_profiles").over(Window.partitionBy())      # <= num_days + 1 rows
-        per_build = sizes.select(
-            "app_build_id",
-            F.greatest(F.lit(1), F.ceil(F.col("num_profiles") * (2.0 * n / nblocks) / total))
-             .cast("long").alias("_shards"))
-        prof = prof.join(bounded_broadcast(per_build, cfg.max_builds), "app_build_id")
-        shards = F.col("_shards")
-    cols = [c for c in prof.columns if c != "_shards"]
-    blocks = prof.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(nblocks - 1))).alias("_blk"),
-                         F.pmod(F.xxhash64("client_id"), shards).alias("_shard"))
-    blocks = blocks.repartition(n, "_blk", "app_build_id", "_shard")
-    lo = F.col("_blk") * b
-    hi = F.least(lo + (b - 1), F.lit(cfg.num_reps))
-    return blocks.select(*cols, "_blk", "_shard", _rep_range(lo, hi))
-
-
-def rep_partials(profile: DataFrame, cfg: RunConfig, sizes: DataFrame | None = None,
-                 tasks: int | None = None) -> DataFrame:
-    """A5/B2/F4 per client shard: (rep, app_build_id, probe, metric, wsum) with
-    wsum = sum(w * p) over the profiles of one (build, client shard); rows with probe
-    NULL carry sum(w). Summing over shards gives the replicate histograms.
-
-    Grouping by (block, build, shard) as well lets each task finish its aggregation
-    without a shuffle: the tasks are already keyed by those columns. The probe is
-    replaced by its position in the configured list and the marker element is
-    prepended once per profile (not per replicate). ``sizes`` (profiles per build)
-    salts hot builds in the layout (see _blocked_reps).
+    ``reps`` restricts the replicates (the measured sample expands one). The probe is
+    replaced by its position in the configured list while it is aggregated and the marker
+    element is prepended once per profile (not per replicate).
     """
     probes = F.array(*[F.lit(p) for p in cfg.probes])
     marker = F.array(F.struct(F.lit(None).cast("int").alias("pi"),
@@ -124,22 +71,16 @@ def rep_partials(profile: DataFrame, cfg: RunConfig, sizes: DataFrame | None = N
         F.array_position(probes, b["probe"]).cast("int").alias("pi"),
         b["metric"].alias("metric"), b["measure"].alias("measure")))
     prof = profile.select("client_id", "app_build_id", F.concat(marker, coded).alias("_cells"))
-    weighted = bootstrap_weights(prof, cfg, _blocked_reps(prof, cfg, sizes, tasks))
-    cells = weighted.select("_blk", "_shard", "rep", "app_build_id", "w", F.inline("_cells"))
-    agg = cells.groupBy("_blk", "app_build_id", "_shard", "rep", "pi", "metric").agg(
+    parts = [bootstrap_weights(prof, cfg, prof.select("*", _rep_range(F.lit(lo), F.lit(hi))))
+             .select("rep", "app_build_id", "w", F.inline("_cells")) for lo, hi in replicate_blocks(cfg, reps)]
+    cells = reduce(lambda a, b: a.union(b), parts)
+    agg = cells.groupBy("rep", "app_build_id", "pi", "metric").agg(
         F.sum(F.col("w") * F.col("measure")).alias("wsum"))
     return agg.select("rep", "app_build_id",
                       F.when(F.col("pi").isNotNull(), F.element_at(probes, F.col("pi"))).alias("probe"),
                       "metric", "wsum")
 
 
-def rep_cells(partials: DataFrame) -> DataFrame:
-    """The replicate cells summed over client shards: one row per
-    (rep, app_build_id, probe, metric); probe NULL rows carry n = sum(w)."""
-    return partials.groupBy("rep", "app_build_id", "probe", "metric").agg(
-        F.sum("wsum").alias("wsum"))
-
-
 def rep_sizes(cells: DataFrame) -> DataFrame:
     """(rep, app_build_id, n): weighted number of profiles, bins or not (Q8)."""
     return cells.filter(F.col("probe").isNull()).select(

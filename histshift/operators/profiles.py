@@ -2,9 +2,10 @@
 
 Physical shape: one scan of the ping table with the window, app, channel and sample
 predicates pushed to the reader; bins exploded in the same stage; a partial + final
-hash aggregation by (client, build, probe, bin) (map-side combine absorbs clients with
-very many pings); one repartition by (client, build) that both the normalising window
-and the per-profile collection reuse. A profile holds at most
+hash aggregation by (client, build, probe, bin), whose map-side combine absorbs clients
+with very many pings before the first shuffle; then one shuffle of the summed bins by
+(client, build), which the normalising window and the per-profile aggregation share.
+Probe means are sums of that same aggregation. A profile holds at most
 ``probes x distinct bins`` elements, a bound set by the histogram layout, not the data.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from histshift.config import RunConfig
 from histshift.functions.dates import build_day, window_predicate
-from histshift.functions.histograms import estimated, probe_mean
+from histshift.functions.histograms import estimated
 
 
 def check_probes(pings: DataFrame, probes) -> None:
@@ -25,14 +26,17 @@ def check_probes(pings: DataFrame, probes) -> None:
 
 
 def sample_predicate(cfg: RunConfig, col: str = "sample_id") -> Column:
-    """Client sampling. 'lexical' compares strings as the reference does (Q2:
-    unpadded ids 0..99 keep 68 values for '70'); 'numeric' compares integers."""
+    """Client sampling. 'all' keeps every client; 'lexical' compares strings as the
+    reference does (Q2: unpadded ids 0..99 keep 68 values for '70'); 'numeric' compares
+    integers."""
     c = F.col(col)
     if cfg.debug:
-        return c == F.lit(cfg.sample_cut)
+        return c == F.lit(cfg.cut)
+    if cfg.sample == "all":
+        return F.lit(True)
     if cfg.sample == "numeric":
-        return F.expr(f"try_cast({col} AS INT)") < F.lit(int(cfg.sample_cut))
-    return c < F.lit(cfg.sample_cut)
+        return F.expr(f"try_cast({col} AS INT)") < F.lit(int(cfg.cut))
+    return c < F.lit(cfg.cut)
 
 
 def channel_predicate(cfg: RunConfig) -> Column:
@@ -91,7 +95,8 @@ def _client_bins(pings: DataFrame, cfg: RunConfig) -> DataFrame:
 
 
 def profiles(pings: DataFrame, cfg: RunConfig) -> DataFrame:
-    """(client_id, app_build_id, num_client_pings, bins array<struct<probe,metric,measure>>).
+    """(client_id, app_build_id, num_client_pings, bins array<struct<probe,metric,measure>>,
+    means struct of one histogram mean per probe, F3: NULL when empty or zero).
 
     bins are unit densities per probe (F1), after the optional +0.5 estimator (F2).
     A null count anywhere in a client's probe empties that probe (Q6); a probe whose
@@ -99,11 +104,9 @@ def profiles(pings: DataFrame, cfg: RunConfig) -> DataFrame:
     without any bin keep an empty array and still count (Q8).
     """
     agg = _client_bins(pings, cfg)
-    # One repartition by (client, build) serves both the normalising window and the
-    # per-profile collection below (their keys contain it): one shuffle after the
-    # partial aggregation, and a hot build spreads over all tasks with its clients.
-    # Without an explicit count AQE may merge small partitions (the replicate
-    # expansion sizes its own tasks later).
+    # This second shuffle carries summed bins only and serves both the normalising window
+    # and the per-profile aggregation (their keys contain it); a hot build spreads over
+    # all tasks with its clients. Without an explicit count AQE merges small partitions.
     if cfg.partitions:
         agg = agg.repartition(int(cfg.partitions), "client_id", "app_build_id")
     else:
@@ -116,10 +119,17 @@ def profiles(pings: DataFrame, cfg: RunConfig) -> DataFrame:
         F.bool_or("poisoned").over(w).alias("bad"),
     )
     keep = F.col("probe").isNotNull() & ~F.col("bad") & F.col("measure").isNotNull()
+
+    def mean(p):
+        own = keep & (F.col("probe") == F.lit(p))
+        return F.try_divide(F.sum(F.when(own, F.col("metric") * F.col("measure"))),
+                            F.sum(F.when(own, F.col("measure")))).alias(p)
+
     return dens.groupBy("client_id", "app_build_id").agg(
         F.coalesce(F.sum(F.when(F.col("probe").isNull(), F.col("cnt"))), F.lit(0))
          .cast("bigint").alias("num_client_pings"),
         F.collect_list(F.when(keep, F.struct("probe", "metric", "measure"))).alias("bins"),
+        F.struct(*[mean(p) for p in cfg.probes]).alias("means"),
     )
 
 
@@ -136,12 +146,9 @@ def build_stats(profile: DataFrame) -> DataFrame:
 
 
 def client_means(profile: DataFrame, probes) -> DataFrame:
-    """histogram mean per client, build and probe, wide (one column per probe).
-
-    Evaluated inside each profile row with higher-order functions: no shuffle.
-    """
-    return profile.select("client_id", "app_build_id",
-                          *[probe_mean("bins", p).alias(p) for p in probes])
+    """histogram mean per client, build and probe, wide (one column per probe): narrow,
+    the profile aggregation has summed them."""
+    return profile.select("client_id", "app_build_id", *[F.col("means")[p].alias(p) for p in probes])
 
 
 def profile_struct(df: DataFrame, probes, name: str = "hist_mean") -> DataFrame:

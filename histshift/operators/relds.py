@@ -2,10 +2,10 @@
 
 The comparison of a build with its predecessor needs both replicate histograms side by
 side. Instead of a self-join, every aggregated cell is routed to the comparisons it
-belongs to (as control of the next build, as test of its own) through a broadcast of
-the build calendar, and one grouping per (rep, comparison, probe) holds both
-histograms, at most twice the number of bins of one probe. RelDS is then evaluated
-inside the group with higher-order functions.
+belongs to (as control of the next build, as test of its own) through a join with the
+build calendar, and one grouping per (rep, comparison, probe) holds both
+histograms, at most twice the number of bins of one probe. Calendar and build stats are a
+row per build; no hint is given, the planner broadcasts them when their size is small.
 """
 
 from __future__ import annotations
@@ -16,17 +16,6 @@ from pyspark.sql import functions as F
 from histshift.config import RunConfig
 from histshift.functions.naming import quantile_names
 
-# Upper bound of rows that may be broadcast; every broadcast in this module is sized by
-# the number of build days in the window (RunConfig.max_builds), never by the data.
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, row_bound: int) -> DataFrame:
-    """Broadcast ``df`` only when its proven row bound is small; otherwise leave the
-    strategy to the planner (sort-merge or AQE's runtime choice)."""
-    return F.broadcast(df) if row_bound <= MAX_BROADCAST_ROWS else df
-
-
 def build_calendar(builds: DataFrame) -> DataFrame:
     """(app_build_id, control_build): each build against the previous one.
 
@@ -42,11 +31,10 @@ def build_calendar(builds: DataFrame) -> DataFrame:
 def comparison_pairs(sizes: DataFrame, calendar: DataFrame, cfg: RunConfig) -> DataFrame:
     """(rep, app_build_id, control_build, n_test, n_control) for every replicate in
     which both builds have weighted profiles (others have no RelDS, Q11)."""
-    cal = bounded_broadcast(calendar, cfg.max_builds)
     t = sizes.withColumnRenamed("n", "n_test")
     c = sizes.select("rep", F.col("app_build_id").alias("control_build"),
                      F.col("n").alias("n_control"))
-    return t.join(cal, "app_build_id").join(c, ["rep", "control_build"]).select(
+    return t.join(calendar, "app_build_id").join(c, ["rep", "control_build"]).select(
         "rep", "app_build_id", "control_build", "n_test", "n_control")
 
 
@@ -64,17 +52,15 @@ def _roles(calendar: DataFrame) -> DataFrame:
 def relds(cells: DataFrame, calendar: DataFrame, cfg: RunConfig) -> DataFrame:
     """Long (rep, app_build_id, probe, relds) for every test build and replicate.
 
-    ``cells`` may hold several partial rows per (rep, build, probe, metric) (one per
-    client shard); the pairing aggregate sums them.
-
-    Cells are routed to their comparisons through the broadcast calendar, then one
+    ``cells`` are summed (one row per rep, build, probe and metric), so what is routed is
+    independent of the number of profiles. They meet their comparisons in the calendar, then one
     repartition by (rep, comparison, probe) serves the three steps that follow without
     another shuffle: pairing control and test per bin, the per-histogram totals
     (window), and the sum over control bins. Groups whose comparison lacks one side in
     that replicate are dropped (Q11); a probe with no bins on either side gets 0.0 (Q10).
     Only control bins contribute (Q9); zero-probability bins are kept for the zero rule.
     """
-    roles = bounded_broadcast(_roles(calendar), 2 * cfg.max_builds)
+    roles = _roles(calendar)
     probes = F.array(*[F.lit(p) for p in cfg.probes])
     routed = cells.join(roles, "app_build_id").select(
         "rep", "test_build", "role", "metric", "wsum",
@@ -125,8 +111,7 @@ def relds_quantiles(relds_boot: DataFrame, stats: DataFrame, cfg: RunConfig) ->
     names = quantile_names("relds", cfg.quantiles)
     q = relds_boot.groupBy("app_build_id", "probe").agg(
         F.expr(f"percentile(relds, array({qs}))").alias("_q"))
-    st = bounded_broadcast(stats.select("app_build_id", "num_profiles",
-                                        F.col("build_pings").alias("num_pings")), cfg.max_builds)
+    st = stats.select("app_build_id", "num_profiles", F.col("build_pings").alias("num_pings"))
     return q.join(st, "app_build_id").select(
         "probe", "app_build_id", "num_profiles", "num_pings",
         *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])

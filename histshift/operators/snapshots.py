@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from histshift.session import write_table
+
 # The keys under which each published table keeps its newest run.
 RELDS_KEYS = ("app_build_id", "probe")
 MEANS_KEYS = ("app_build_id",)
@@ -50,6 +52,20 @@ def fold_latest(snapshot: DataFrame | None, new_run: DataFrame, keys,
     return latest_wins(both, keys, date_col)
 
 
+def fold_runs(runs, keys, date_col: str = "creation_date") -> DataFrame:
+    """U4: fold a sequence of runs one by one. Each step is written to the shared folder, so
+    the plan of a step holds one snapshot and one run, however many were folded before."""
+    snapshot = None
+    for run in runs:
+        snapshot = write_table(fold_latest(snapshot, run, keys, date_col), "fold")
+    return snapshot
+
+
+def newest_first(df: DataFrame) -> DataFrame:
+    """O1: newest build first, for readers that show rows in order."""
+    return df.orderBy(F.desc("app_build_id"))
+
+
 def _cdf_window(keys=("app_build_id", "probe")):
     # metric orders the bins; the run date and measure make ties (Q16 mixes runs) deterministic
     return Window.partitionBy(*keys).orderBy("metric", "creation_date", "measure")

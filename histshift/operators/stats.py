@@ -1,12 +1,15 @@
 """Summary statistics of client means.
 
-Groups here are builds, and a build may hold millions of clients, so no statistic
-gathers a whole group into one task:
+Groups here are builds, and a build may hold a third of all clients, so no statistic
+gathers a group's rows in one task. Values are first counted per (group, value), which
+absorbs ties before the shuffle; what has to meet a per-group row (brackets, fences, grids)
+meets it by (group, salt), the salt being a hash of the value, and is aggregated per
+(group, salt), then per group.
 
-* exact quantiles: ``approx_percentile`` brackets each target rank (its rank error is
-  at most n/accuracy), a partial aggregation counts the values below and on the bracket
-  ends, and only the values strictly inside a bracket (at most ~8 n/accuracy) are
-  collected and sorted. A bracket that misses its rank raises instead of answering.
+* exact quantiles: ``approx_percentile`` brackets each target rank (its rank error is at
+  most n/accuracy); counts below the brackets are partial sums, and only the values inside
+  a bracket (about 8 n/accuracy) are ranked, as rows of a window per (group, quantile). One
+  method for all group sizes; a bracket that missed its rank falls back to ``percentile``.
 * box statistics: quantiles, then min/max/count of in-fence values (algebraic).
 * violin: values are linearly binned onto a fixed grid (partial aggregation), the
   Gaussian kernel runs grid x grid per group: bounded by the grid, not by the data.
@@ -16,79 +19,102 @@ gathers a whole group into one task:
 from __future__ import annotations
 
 import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
-# Groups up to this size bracket every quantile by [min, max] (all values collected,
-# at most SMALL_GROUP of them); larger groups use approx_percentile brackets.
-SMALL_GROUP = 100_000
 BOX_COEF = 1.5
 VIOLIN_GRID = 512
 Z95 = 1.959963984540054
+SALT = "_salt"
 
 
 def _join_keys(keys):
     return list(keys)
 
 
+def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
+    """(keys, _v, _c): how often each non-missing value occurs; NULL and NaN ignored."""
+    data = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    return (data.filter(F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
+            .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+
+
+def salted_join(counts: DataFrame, per_group: DataFrame, keys) -> DataFrame:
+    """Rows of ``counts`` with their group's row, joined by (keys, salt): a hot group is
+    spread over as many tasks as the session shuffles to, broadcast or not."""
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = per_group.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    salted = counts.withColumn(SALT, F.pmod(F.xxhash64("_v"), F.lit(n)).cast("int"))
+    return salted.join(copies, [*keys, SALT])
+
+
 def exact_quantiles(df: DataFrame, keys, value: str, qs, names,
                     accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Exact linear-interpolation quantiles (R type 7, pandas, DuckDB quantile_cont)
-    of ``value`` per ``keys``, NULL and NaN ignored. Returns keys + one column per name.
-
-    Each data row meets one bracket row of its group (no replication per quantile);
-    a group contributes to the final aggregation only counts and the values strictly
-    inside its brackets.
-    """
+    of ``value`` per ``keys``, NULL and NaN ignored. Returns keys + one column per name."""
     keys = _join_keys(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")) \
-             .filter(F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
-    # For n > SMALL_GROUP the value returned for p has a 0-based rank within
-    # ceil(p n) - 1 +- n/accuracy, so p = q -+ (4/accuracy + 2/SMALL_GROUP) brackets both
-    # order statistics floor((n-1)q) and ceil((n-1)q) that the interpolation needs.
-    margin = 4.0 / accuracy + 2.0 / SMALL_GROUP
-    nq = len(qs)
+    nq, margin = len(qs), 4.0 / accuracy
+    data = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    data = data.filter(F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
+    counts = value_counts(df, keys, value)
+    # The value returned for p has a 0-based rank within ceil(p n) - 1 +- n/accuracy; the ranks
+    # floor((n-1)q) and ceil((n-1)q) lie at most one off the brackets q -+ margin, and the next
+    # values on either side cover that.
     pcts = [max(0.0, q - margin) for q in qs] + [min(1.0, q + margin) for q in qs]
-    br = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.expr(f"approx_percentile(_v, array({', '.join(map(repr, pcts))}), {int(accuracy)})")
-         .alias("_b"))
-    j = data.join(br, keys)
-    x = F.col("_v")
-    small = F.col("_n") <= F.lit(SMALL_GROUP)
-    aggs = [F.first("_n").alias("_n")]
+    brackets = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.expr(f"approx_percentile(_v, array({', '.join(map(repr, pcts))}), {int(accuracy)})").alias("_b"))
+    met = salted_join(counts, brackets, keys)
+    x, c = F.col("_v"), F.col("_c")
+    aggs, again = [], []
     for i in range(nq):
-        lo = F.when(small, F.col("_min")).otherwise(F.col("_b")[i])
-        hi = F.when(small, F.col("_max")).otherwise(F.col("_b")[nq + i])
-        aggs += [
-            F.first(lo).alias(f"_lo{i}"), F.first(hi).alias(f"_hi{i}"),
-            F.count(F.when(x < lo, 1)).alias(f"_below{i}"),
-            F.count(F.when(x == lo, 1)).alias(f"_atlo{i}"),
-            F.count(F.when((x == hi) & (hi > lo), 1)).alias(f"_athi{i}"),
-            F.array_sort(F.collect_list(F.when((x > lo) & (x < hi), x))).alias(f"_mid{i}"),
-        ]
-    agg = j.groupBy(*keys).agg(*aggs)
-
-    def at_rank(r, i):
-        below, atlo = F.col(f"_below{i}"), F.col(f"_atlo{i}")
-        mid = F.col(f"_mid{i}")
-        mid_n = F.size(mid).cast("bigint")
-        return (F.when(r < below, F.raise_error(F.lit("quantile bracket above the rank")))
-                 .when(r < below + atlo, F.col(f"_lo{i}"))
-                 .when(r < below + atlo + mid_n,
-                       F.element_at(mid, (r - below - atlo + 1).cast("int")))
-                 .when(r < below + atlo + mid_n + F.col(f"_athi{i}"), F.col(f"_hi{i}"))
-                 .otherwise(F.raise_error(F.lit("quantile bracket below the rank")))
-                 .cast("double"))
-
-    outs = []
-    for i, (q, name) in enumerate(zip(qs, names)):
-        pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-        r0, r1 = F.floor(pos).cast("bigint"), F.ceil(pos).cast("bigint")
-        v0, v1 = at_rank(r0, i), at_rank(r1, i)
-        outs.append((v0 + (pos - r0) * (v1 - v0)).alias(name))
-    return agg.select(*keys, *outs)
+        lo, hi = F.col("_b")[i], F.col("_b")[nq + i]
+        aggs += [F.sum(F.when(x < lo, c)).alias(f"_below{i}"), F.sum(F.when((x >= lo) & (x <= hi), c)).alias(f"_in{i}"),
+                 F.max(F.when(x < lo, x)).alias(f"_prev{i}"), F.min(F.when(x > hi, x)).alias(f"_next{i}")]
+        again += [F.sum(f"_below{i}").alias(f"_below{i}"), F.sum(f"_in{i}").alias(f"_in{i}"),
+                  F.max(f"_prev{i}").alias(f"_prev{i}"), F.min(f"_next{i}").alias(f"_next{i}")]
+    sides = (met.groupBy(*keys, SALT).agg(F.first("_n").alias("_n"), *aggs)
+             .groupBy(*keys).agg(F.first("_n").alias("_n"), *again))
+    pos = (F.col("_n") - 1).cast("double") * F.col("_s._q")
+    ranks = sides.select(*keys, "_n", F.explode(F.array(*[F.struct(
+        F.lit(i).alias("_i"), F.lit(float(q)).alias("_q"), F.coalesce(f"_below{i}", F.lit(0)).alias("_below"),
+        F.coalesce(f"_in{i}", F.lit(0)).alias("_in"), F.col(f"_prev{i}").alias("_prev"),
+        F.col(f"_next{i}").alias("_next")) for i, q in enumerate(qs)])).alias("_s")).select(
+        *keys, "_s.*", pos.alias("_pos"), F.floor(pos).alias("_r0"), F.ceil(pos).alias("_r1"))
+
+    inside = met.select(*keys, "_v", "_c", F.explode(F.array(*[
+        F.when((x >= F.col("_b")[i]) & (x <= F.col("_b")[nq + i]), F.lit(i)) for i in range(nq)])).alias("_i"))
+    inside = inside.filter(F.col("_i").isNotNull())
+    by_value = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_upto", F.sum("_c").over(by_value))
+    rows = ranks.join(inside, [*keys, "_i"], "left")
+
+    def at(rank):
+        r = F.col(rank) - F.col("_below")
+        here = F.max(F.when((r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto")), F.col("_v")))
+        first = {k: F.first(k) for k in ("_below", "_in", "_prev", "_next", rank)}
+        return (F.when(first[rank] == first["_below"] - 1, first["_prev"])
+                .when(first[rank] == first["_below"] + first["_in"], first["_next"]).otherwise(here))
+
+    found = rows.groupBy(*keys, "_i").agg(at("_r0").alias("_x0"), at("_r1").alias("_x1"),
+                                          (F.first("_pos") - F.first("_r0")).alias("_f"))
+    value_at = F.col("_x0") + F.col("_f") * (F.col("_x1") - F.col("_x0"))
+    wide = found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_i") == i, value_at)).alias(n) for i, n in enumerate(names)],
+        F.bool_or(F.col("_x0").isNull() | F.col("_x1").isNull()).alias("_missed"))
+    return _with_fallback(wide, counts, keys, qs, names)
+
+
+def _with_fallback(wide: DataFrame, counts: DataFrame, keys, qs, names) -> DataFrame:
+    """Groups whose bracket missed a rank (the sketch's bound rules it out) are answered by
+    the exact aggregate over their value counts instead of failing."""
+    missed = wide.filter("_missed").select(*keys)
+    arr = ", ".join(repr(float(q)) for q in qs)
+    exact = counts.join(missed, keys, "left_semi").groupBy(*keys).agg(F.expr(f"percentile(_v, array({arr}), _c)").alias("_a"))
+    return wide.filter(~F.col("_missed")).drop("_missed").unionByName(
+        exact.select(*keys, *[F.col("_a")[i].alias(n) for i, n in enumerate(names)]))
 
 
 def approx_quantiles(df: DataFrame, keys, value: str, qs, names,
@@ -121,14 +147,14 @@ def box_stats(df: DataFrame, keys, value: str, coef: float = BOX_COEF,
     q = exact_quantiles(df, keys, value, (0.25, 0.5, 0.75), ("lower", "middle", "upper"), accuracy)
     iqr = F.col("upper") - F.col("lower")
     q = q.withColumn("_flo", F.col("lower") - coef * iqr).withColumn("_fhi", F.col("upper") + coef * iqr)
-    x = F.col(value)
+    x, c = F.col("_v"), F.col("_c")
     inside = (x >= F.col("_flo")) & (x <= F.col("_fhi"))
-    j = df.select(*keys, value).filter(x.isNotNull()).join(q, keys)
-    agg = j.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(inside, x)).alias("ymin"),
-        F.max(F.when(inside, x)).alias("ymax"),
-        F.count(F.when(~inside, 1)).alias("n_outliers"))
+    met = salted_join(value_counts(df, keys, value), q.select(*keys, "_flo", "_fhi"), keys)
+    agg = (met.groupBy(*keys, SALT).agg(
+        F.sum("_c").alias("n"), F.min(F.when(inside, x)).alias("ymin"), F.max(F.when(inside, x)).alias("ymax"),
+        F.sum(F.when(inside, F.lit(0)).otherwise(c)).alias("n_outliers"))
+        .groupBy(*keys).agg(F.sum("n").alias("n"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"),
+                            F.sum("n_outliers").alias("n_outliers")))
     return q.drop("_flo", "_fhi").join(agg, keys)
 
 
@@ -139,15 +165,16 @@ def box_outliers(df: DataFrame, keys, value: str, coef: float = BOX_COEF,
     q = exact_quantiles(df, keys, value, (0.25, 0.75), ("lower", "upper"), accuracy)
     iqr = F.col("upper") - F.col("lower")
     x = F.col(value)
-    j = df.filter(x.isNotNull()).join(q, keys)
-    return j.filter((x < F.col("lower") - coef * iqr) | (x > F.col("upper") + coef * iqr)) \
+    rows = df.filter(x.isNotNull()).withColumn("_v", x.cast("double"))
+    return salted_join(rows, q, keys).filter((x < F.col("lower") - coef * iqr) | (x > F.col("upper") + coef * iqr)) \
             .select(*df.columns)
 
 
-def _nrd0(sd, iqr, n):
-    """R's bw.nrd0: 0.9 * min(sd, IQR/1.34) * n^-0.2, falling back to sd or |x| when 0."""
+def _nrd0(sd, iqr, n, at):
+    """R's bw.nrd0: 0.9 * min(sd, IQR/1.34) * n^-0.2; where that is 0, sd, then |x|, then 1
+    stand for the minimum."""
     lo = F.least(sd, iqr / 1.34)
-    lo = F.when(lo > 0, lo).when(sd > 0, sd).otherwise(F.lit(1.0))
+    lo = F.when(lo > 0, lo).when(sd > 0, sd).when(at != 0, F.abs(at)).otherwise(F.lit(1.0))
     return 0.9 * lo * F.pow(n.cast("double"), -0.2)
 
 
@@ -155,27 +182,29 @@ def violin_density(df: DataFrame, keys, value: str, grid: int = VIOLIN_GRID,
                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Gaussian kernel density per group on ``grid`` points spanning the group's
     range (trim), bandwidth nrd0. Values are linearly binned onto the grid first
-    (as R's density() does), so the kernel sum runs over grid x grid pairs."""
+    (as R's density() does), so the kernel sum runs over grid x grid pairs. A group whose
+    values are all equal has one grid point, at that value."""
     keys = _join_keys(keys)
-    x = F.col(value)
-    data = df.select(*keys, x.alias("_v")).filter(F.col("_v").isNotNull())
-    mom = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    q = exact_quantiles(data, keys, "_v", (0.25, 0.75), ("_q1", "_q3"), accuracy)
-    par = mom.join(q, keys).filter(F.col("_max") > F.col("_min"))
-    par = par.withColumn("_bw", _nrd0(F.col("_sd"), F.col("_q3") - F.col("_q1"), F.col("_n"))) \
+    counts = value_counts(df, keys, value)
+    mom = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.stddev_samp(F.col(value).cast("double")).alias("_sd"),
+        F.min(F.col(value).cast("double")).alias("_min"), F.max(F.col(value).cast("double")).alias("_max"))
+    q = exact_quantiles(df, keys, value, (0.25, 0.75), ("_q1", "_q3"), accuracy)
+    flat = F.col("_max") == F.col("_min")
+    par = mom.join(q, keys)
+    par = par.withColumn("_bw", _nrd0(F.when(~flat, F.col("_sd")).otherwise(F.lit(0.0)), F.col("_q3") - F.col("_q1"),
+                                      F.col("_n"), F.col("_min"))) \
              .withColumn("_step", (F.col("_max") - F.col("_min")) / (grid - 1))
-    # linear binning: each value splits its unit weight between the two grid points around it
-    pos = (F.col("_v") - F.col("_min")) / F.col("_step")
+    # linear binning: each value splits its weight between the two grid points around it
+    pos = F.when(F.col("_step") > 0, (F.col("_v") - F.col("_min")) / F.col("_step")).otherwise(F.lit(0.0))
     k0 = F.least(F.floor(pos).cast("int"), F.lit(grid - 2))
     frac = pos - k0
-    b = data.join(par.select(*keys, "_min", "_step"), keys).select(
-        *keys, F.inline(F.array(F.struct(k0.alias("k"), (1 - frac).alias("c")),
-                                F.struct((k0 + 1).alias("k"), frac.alias("c")))))
+    b = salted_join(counts, par.select(*keys, "_min", "_step"), keys).select(
+        *keys, F.inline(F.array(F.struct(k0.alias("k"), ((1 - frac) * F.col("_c")).alias("c")),
+                                F.struct((k0 + 1).alias("k"), (frac * F.col("_c")).alias("c")))))
     bins = b.groupBy(*keys, "k").agg(F.sum("c").alias("c"))
-    g = par.select(*keys, "_n", "_bw", "_min", "_step",
-                   F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("j"))
+    last = F.when(F.col("_step") > 0, F.lit(grid - 1)).otherwise(F.lit(0))
+    g = par.select(*keys, "_n", "_bw", "_min", "_step", F.explode(F.sequence(F.lit(0), last)).alias("j"))
     pairs = g.join(bins, keys)
     z = (F.col("j") - F.col("k")) * F.col("_step") / F.col("_bw")
     dens = pairs.groupBy(*keys, "j").agg(
@@ -187,13 +216,15 @@ def violin_density(df: DataFrame, keys, value: str, grid: int = VIOLIN_GRID,
 
 def violin_quantiles(dens: DataFrame, keys, qs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Quantile lines of a violin: y where the cumulative density reaches q,
-    linear between grid points (ggplot2 draw_quantiles). One grid per group."""
+    linear between grid points (ggplot2 draw_quantiles). One grid per group; a grid of one
+    point answers every quantile."""
     keys = _join_keys(keys)
     w = Window.partitionBy(*keys).orderBy("y")
     tot = Window.partitionBy(*keys)
     c = dens.withColumn("_cd", F.sum("density").over(w.rowsBetween(Window.unboundedPreceding, 0))
                         / F.sum("density").over(tot))
-    c = c.withColumn("_pcd", F.lag("_cd").over(w)).withColumn("_py", F.lag("y").over(w))
+    c = c.withColumn("_pcd", F.coalesce(F.lag("_cd").over(w), F.lit(0.0))) \
+         .withColumn("_py", F.coalesce(F.lag("y").over(w), F.col("y")))
     qv = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
     c = c.select(*keys, "y", "_cd", "_pcd", "_py", qv)
     hit = c.filter((F.col("_pcd") < F.col("q")) & (F.col("_cd") >= F.col("q")))

@@ -2,7 +2,7 @@
 
 Settings (fixed for the correctness check): adapter A (``events``), probes
 ``hist_click … hist_view``, app 'app', channel 'nightly', final date 2024-01-15,
-7 days, lexical sample, no estimator, R = 20, seed 0, measured replicate 0, md5
+7 days, all clients (the sample_* keys set a cut), no estimator, R = 20, seed 0, measured replicate 0, md5
 uniforms. Snapshot keys use the run history of 2024-01-15, -16 and -17. Outputs are
 long rows; doubles are rounded to 6 decimals and dates rendered as 'yyyy-MM-dd'.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from histshift.config import RunConfig
 from histshift.functions.dates import build_date, build_day, window_predicate
+from histshift.functions.histograms import merge_hist_maps
 from histshift.functions.naming import quantile_names
 from histshift.operators import bootstrap as bs
 from histshift.operators import profiles as pr
@@ -25,14 +26,13 @@ from histshift.operators import relds as rd
 from histshift.operators import snapshots as sn
 from histshift.plans import views as vw
 from histshift.plans.comparison import RunResult, run_comparison
-from histshift.plans.daily_job import run_outputs
-from histshift.plans.snapshots import hists_snapshot, means_snapshot, relds_snapshot
+from histshift.plans.daily_job import daily_job, run_outputs
+from histshift.plans.snapshots import build_snapshots, hists_snapshot, means_snapshot, relds_snapshot
 from histshift.session import fresh_path
 from histshift.sources import schemas
 from histshift.sources.adapters import EVENT_PROBES, EVENT_TYPES, events_pings, lineitem_pings, LINEITEM_PROBES
-from histshift.sources.readers import probe_dim, read_csv_parts, read_json_hists, read_snapshot
+from histshift.sources.readers import probe_dim, read_csv_parts, read_json_hists, read_pings, read_snapshot
 from histshift.sources.sinks import with_run_date, write_json_hists, write_run, write_snapshot
-from histshift.streaming.incremental import fold_runs
 
 FINAL = dt.date(2024, 1, 15)
 CFG = RunConfig(probes=EVENT_PROBES, final_date=FINAL, num_days=7, num_reps=20,
@@ -109,7 +109,7 @@ def q_client_build_pings(spark, sf):
 def q_csv_roundtrip(spark, sf):
     path = fresh_path(spark, "relds_csv")
     for d, outs in zip(HISTORY, history(spark, sf)):
-        write_run(outs["relds_csv"], path, "csv")
+        write_run(outs["relds_csv"], path, d)
     return out(read_csv_parts(spark, path, schemas.relds_quantiles_schema()))
 
 
@@ -128,13 +128,13 @@ def q_snapshot_read(spark, sf):
 
 def q_measured_sink(spark, sf):
     path = fresh_path(spark, "relds_measured")
-    write_run(run_outputs(run(spark, sf), FINAL)["relds_measured"], path, "csv")
+    write_run(run_outputs(run(spark, sf), FINAL)["relds_measured"], path, FINAL)
     return out(read_csv_parts(spark, path, schemas.relds_measured_schema(EVENT_PROBES)))
 
 
 def q_means_sink(spark, sf):
     path = fresh_path(spark, "client_means")
-    write_run(run_outputs(run(spark, sf), FINAL)["client_means"], path, "csv")
+    write_run(run_outputs(run(spark, sf), FINAL)["client_means"], path, FINAL)
     return out(read_csv_parts(spark, path, schemas.client_means_schema(EVENT_PROBES)))
 
 
@@ -142,9 +142,9 @@ def q_hist_sink_overwrite(spark, sf):
     """A same-day rerun replaces its partition: the second write must not duplicate rows."""
     path = fresh_path(spark, "probe_hists")
     outs = history(spark, sf)
-    for o in outs[:2]:
-        write_run(o["probe_hists"], path, "csv")
-    write_run(outs[0]["probe_hists"], path, "csv")
+    for o, d in zip(outs[:2], HISTORY):
+        write_run(o["probe_hists"], path, d)
+    write_run(outs[0]["probe_hists"], path, HISTORY[0])
     return out(read_csv_parts(spark, path, schemas.PROBE_HISTS))
 
 
@@ -168,7 +168,7 @@ def _sample(spark, sf, cfg):
 
 
 def q_sample_lexical(spark, sf):
-    return _sample(spark, sf, CFG)
+    return _sample(spark, sf, CFG.with_(sample="lexical"))
 
 
 def q_sample_numeric(spark, sf):
@@ -298,6 +298,16 @@ def q_relds_quantiles(spark, sf):
     return out(relds_table(spark, sf))
 
 
+def q_relds_quantiles_all(spark, sf):
+    """Every client of every build in the tables: a window over all their days."""
+    cfg = CFG.with_(num_days=60, final_date=dt.date(2024, 2, 15))
+    return out(run(spark, sf, cfg).relds_quantiles)
+
+
+def q_relds_quantiles_sampled(spark, sf):
+    return out(run(spark, sf, CFG.with_(sample="lexical")).relds_quantiles)
+
+
 def q_relds_quantiles_lineitem(spark, sf):
     return out(run_comparison(lineitem_pings(spark, sf), LINEITEM_CFG).relds_quantiles)
 
@@ -333,16 +343,16 @@ def q_alerts_by_build(spark, sf):
 
 # ---------------------------------------------------------------- windows
 def q_latest_relds(spark, sf):
-    return out(relds_snapshot(sn.union_strict([o["relds_csv"] for o in history(spark, sf)])))
+    return sn.newest_first(out(relds_snapshot(sn.union_strict([o["relds_csv"] for o in history(spark, sf)]))))
 
 
 def q_latest_means(spark, sf):
-    return out(means_snapshot(sn.union_strict([o["client_means"] for o in history(spark, sf)])))
+    return sn.newest_first(out(means_snapshot(sn.union_strict([o["client_means"] for o in history(spark, sf)]))))
 
 
 def q_latest_hists(spark, sf):
-    return out(sn.latest_wins(sn.union_strict([o["probe_hists"] for o in history(spark, sf)]),
-                              sn.HISTS_KEYS))
+    return sn.newest_first(out(sn.latest_wins(
+        sn.union_strict([o["probe_hists"] for o in history(spark, sf)]), sn.HISTS_KEYS)))
 
 
 def q_latest_hists_by_probe(spark, sf):
@@ -375,7 +385,53 @@ def q_union_loose(spark, sf):
 
 
 def q_latest_incremental(spark, sf):
-    return out(fold_runs([o["relds_csv"] for o in history(spark, sf)], sn.RELDS_KEYS))
+    """Ten runs, day by day, folded one at a time."""
+    p = pings(spark, sf)
+    days = [FINAL + dt.timedelta(days=k) for k in range(10)]
+    runs = (run_outputs(run_comparison(p, CFG.with_(final_date=d)), d)["relds_csv"] for d in days)
+    return out(sn.fold_runs(runs, sn.RELDS_KEYS))
+
+
+# ---------------------------------------------------------------- jobs
+def q_read_pings(spark, sf):
+    """S1 through the reader: the ping table written as parquet and read back by path."""
+    path = fresh_path(spark, "pings")
+    pings(spark, sf).write.parquet(path)
+    return out(pr.client_build_pings(read_pings(spark, path), CFG))
+
+
+def _daily_runs(spark, sf, name: str) -> str:
+    """Three daily jobs, a same-day rerun, and a run without any ping for a day written
+    before (which has to leave that day empty)."""
+    p, path = pings(spark, sf), fresh_path(spark, name)
+    extra = HISTORY[-1] + dt.timedelta(days=1)
+    for d in (*HISTORY, HISTORY[0], extra):
+        daily_job(spark, p, CFG.with_(final_date=d), path)
+    daily_job(spark, p.limit(0), CFG.with_(final_date=extra), path)
+    return path
+
+
+def q_daily_job_outputs(spark, sf):
+    """The client means that the daily jobs wrote."""
+    path = _daily_runs(spark, sf, "daily")
+    return out(read_csv_parts(spark, f"{path}/client_means", schemas.client_means_schema(EVENT_PROBES)))
+
+
+def q_snapshots_from_csv(spark, sf):
+    """E3 over the daily jobs' CSV outputs: the published histogram snapshot."""
+    path = _daily_runs(spark, sf, "daily")
+    return out(build_snapshots(spark, path, f"{path}/snapshots", EVENT_PROBES)["probe_hists"])
+
+
+def q_csv_drift_loose(spark, sf):
+    """Client means of three runs, one without a probe and one with its columns in
+    another order, read by name."""
+    path = fresh_path(spark, "drift")
+    outs = [o["client_means"] for o in history(spark, sf)]
+    frames = [outs[0].drop(MEANS_PROBE), outs[1].select(*reversed(outs[1].columns)), outs[2]]
+    for df, d in zip(frames, HISTORY):
+        write_run(df, path, d)
+    return out(read_csv_parts(spark, path, schemas.client_means_schema(EVENT_PROBES)))
 
 
 # ---------------------------------------------------------------- functions
@@ -384,9 +440,13 @@ def q_client_means(spark, sf):
 
 
 def q_hist_merge(spark, sf):
-    """key-union sum of two build histograms per probe (20240108 and 20240109)."""
-    h = run(spark, sf).build_hists.filter(F.col("app_build_id").isin("20240108", "20240109"))
-    return out(h.groupBy("probe", "metric").agg(F.sum("measure").alias("measure")))
+    """each build's histogram merged with the next newer build's, as maps."""
+    r = run(spark, sf)
+    as_map = F.map_from_entries(F.collect_list(F.struct("metric", "measure")))      # one probe's bins
+    maps = r.build_hists.groupBy("app_build_id", "probe").agg(as_map.alias("hist"))
+    control = maps.select(F.col("app_build_id").alias("control_build"), "probe", F.col("hist").alias("older"))
+    both = r.calendar.join(control, "control_build").join(maps, ["app_build_id", "probe"], "left")
+    return out(both.select("app_build_id", "probe", F.explode(merge_hist_maps("older", "hist")).alias("metric", "measure")))
 
 
 def q_build_hists(spark, sf):
@@ -400,11 +460,19 @@ def hist_json(metric: str, measure: str):
         entries, lambda e: F.struct(e[metric].cast("string"), e["v"]))))
 
 
-def q_hist_json_export(spark, sf):
+def exported_hists(spark, sf) -> DataFrame:
+    """F8: (app_build_id, probe, hist_json)."""
     h = run(spark, sf).build_hists
     return h.groupBy("app_build_id", "probe").agg(hist_json("metric", "measure").alias("hist_json"))
 
 
+def q_hist_json_export(spark, sf):
+    """F8 in long form: the exported JSON text parsed again."""
+    parsed = F.explode(F.from_json("hist_json", "map<string,double>")).alias("metric", "measure")
+    return (exported_hists(spark, sf).select("app_build_id", "probe", parsed)
+            .withColumn("metric", F.col("metric").cast("int")))
+
+
 def q_relds_wide(spark, sf):
     return out(rd.relds_wide(run(spark, sf).relds, EVENT_PROBES))
 

@@ -1,9 +1,9 @@
-"""One comparison run as lazy DataFrames.
+"""One comparison run as DataFrames.
 
-pings -> profiles (shuffle by client, build) -> replicate expansion (narrow)
--> partial aggregation -> shuffle by (rep, build, probe, metric) -> routing through the
-broadcast calendar -> one group per (rep, comparison, probe) -> RelDS -> percentile.
-Nothing is collected to the driver; every output is a DataFrame.
+pings -> profiles (written once) -> replicate blocks, each read from the profile table and
+pre-aggregated -> shuffle by (rep, build, probe, metric) -> join with the calendar -> one
+group per (rep, comparison, probe) -> RelDS -> percentile. Nothing is collected to the
+driver; every output is a DataFrame.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from histshift.config import RunConfig
 from histshift.operators import bootstrap as bs
@@ -23,7 +22,8 @@ from histshift.session import write_table
 
 @dataclass
 class RunResult:
-    """Lazy outputs of one run.
+    """Outputs of one run. They are lazy, except that the first use of ``profile`` or
+    ``build_stats`` runs the job that writes it.
 
     With ``materialize`` the profile table is written once, as parquet under the shared
     folder (``spark.checkpoint.dir``), on first use: the replicate expansion, the build
@@ -62,18 +62,18 @@ class RunResult:
         return rd.build_calendar(self.build_stats)
 
     @cached_property
-    def partials(self) -> DataFrame:
-        # profiles per build (at most num_days + 1 rows) salt hot builds in the layout;
-        # their total (one scalar from that bounded table) sizes the expansion's tasks
-        total = None
-        if self.materialize:
-            total = self.build_stats.agg(F.sum("num_profiles")).first()[0] or 0
-        tasks = bs.block_tasks(self.profile.sparkSession, self.cfg, total)
-        return bs.rep_partials(self.profile, self.cfg, self.build_stats, tasks)
+    def cells(self) -> DataFrame:
+        return bs.rep_cells(self.profile, self.cfg)
 
     @cached_property
-    def cells(self) -> DataFrame:
-        return bs.rep_cells(self.partials)
+    def measured_cells(self) -> DataFrame:
+        """Cells of the measured replicate alone: one replicate is expanded, not R + 1."""
+        return bs.rep_cells(self.profile, self.cfg, [self.cfg.measured_rep])
+
+    @cached_property
+    def bootstrap_cells(self) -> DataFrame:
+        return bs.rep_cells(self.profile, self.cfg,
+                            [r for r in range(self.cfg.num_reps + 1) if r != self.cfg.measured_rep])
 
     @cached_property
     def rep_sizes(self) -> DataFrame:
@@ -85,20 +85,20 @@ class RunResult:
 
     @cached_property
     def relds(self) -> DataFrame:
-        return rd.relds(self.partials, self.calendar, self.cfg)
+        return rd.relds(self.cells, self.calendar, self.cfg)
 
     @cached_property
     def relds_measured(self) -> DataFrame:
-        return rd.measured(self.relds, self.cfg)
+        return rd.measured(rd.relds(self.measured_cells, self.calendar, self.cfg), self.cfg)
 
     @cached_property
     def relds_bootstrap(self) -> DataFrame:
-        return rd.bootstrap(self.relds, self.cfg)
+        return rd.bootstrap(rd.relds(self.bootstrap_cells, self.calendar, self.cfg), self.cfg)
 
     @cached_property
     def build_hists(self) -> DataFrame:
         """the measured replicate's build histograms (app_build_id, probe, metric, measure)."""
-        return self.rep_hists.filter(F.col("rep") == F.lit(self.cfg.measured_rep)).drop("rep")
+        return bs.rep_hists(self.measured_cells).drop("rep")
 
     @cached_property
     def relds_quantiles(self) -> DataFrame:

@@ -64,8 +64,8 @@ def distinct_builds(df: DataFrame) -> DataFrame:
 
 
 def probe_labels(df: DataFrame, dim: DataFrame) -> DataFrame:
-    """Attach the probe's label (the dimension has one row per probe)."""
-    return df.join(F.broadcast(dim), "probe")
+    """Attach the probe's label; the planner sees how small the dimension is."""
+    return df.join(dim, "probe")
 
 
 def _means_of(means: DataFrame, probe: str, x_range=None, y_range=None, log10=False) -> DataFrame:

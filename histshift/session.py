@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -43,10 +45,33 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+_JOB_DIR: ContextVar[str | None] = ContextVar("histshift_job_dir", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder (never reused across calls)."""
-    base = shared_dir(spark).rstrip("/")
-    return f"{base}/histshift/{name}-{uuid.uuid4().hex}"
+    base = _JOB_DIR.get() or f"{shared_dir(spark).rstrip('/')}/histshift"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of ``path`` as Spark's JVM sees it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+@contextmanager
+def job_folder(spark: SparkSession, name: str):
+    """Tables written inside go to one folder, which is removed at the end: for jobs whose
+    outputs are written elsewhere before they return."""
+    path = fresh_path(spark, name)
+    token = _JOB_DIR.set(path)
+    try:
+        yield path
+    finally:
+        _JOB_DIR.reset(token)
+        fs, p = hadoop_path(spark, path)
+        fs.delete(p, True)
 
 
 def write_table(df, name: str):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from histshift.session import hadoop_path
+
+
 def read_pings(spark: SparkSession, source: str) -> DataFrame:
     """A catalog table name or a parquet path holding T1."""
     if "/" in source or source.endswith(".parquet"):
@@ -13,10 +18,49 @@ def read_pings(spark: SparkSession, source: str) -> DataFrame:
     return spark.table(source)
 
 
-def read_csv_parts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """S3: every CSV part under ``path`` (header, explicit schema). Spark skips ``_*``
-    and ``.*`` files; a ``creation_date=…`` directory level becomes a column."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+def _csv_runs(spark: SparkSession, path: str) -> list[str]:
+    """The run directories (``name=value``) below ``path``, or ``path`` itself."""
+    fs, p = hadoop_path(spark, path)
+    runs = sorted(s.getPath().toString() for s in fs.listStatus(p)
+                  if s.isDirectory() and "=" in s.getPath().getName())
+    return runs or [path]
+
+
+def _has_parts(spark: SparkSession, run: str) -> bool:
+    fs, p = hadoop_path(spark, run)
+    return any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p))
+
+
+def read_csv_parts(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:
+    """Every CSV part under ``path``, each run (``creation_date=…`` directory) by
+    its own header. Columns are matched by name and cast to ``schema``: one that a run lacks
+    is NULL (the probe list changed), or an error when ``strict``, as is one too many;
+    otherwise further columns are left out. A value that doesn't parse fails the read.
+    Runs with the same header are one scan; Spark skips ``_*`` and ``.*`` files."""
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for run in filter(lambda r: _has_parts(spark, r), _csv_runs(spark, path)):
+        by_header.setdefault(tuple(spark.read.option("header", True).csv(run).columns), []).append(run)
+    frames = []
+    for header, runs in by_header.items():
+        raw = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
+        df = (spark.read.schema(raw).option("header", True).option("enforceSchema", False)
+              .option("mode", "FAILFAST").option("basePath", path).csv(runs))
+        lacking = [f.name for f in schema.fields if f.name not in df.columns]
+        if strict and (lacking or set(df.columns) - set(schema.names)):
+            raise ValueError(f"columns {df.columns} are not {schema.names} in {runs}")
+        frames.append(df.select(*[(F.lit(None) if f.name in lacking else F.col(f"`{f.name}`"))
+                                  .cast(f.dataType).alias(f.name) for f in schema.fields]))
+    if not frames:
+        return spark.createDataFrame([], schema)
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def require(df: DataFrame, *cols: str) -> DataFrame:
+    """Q26: a NULL in ``cols`` fails the query instead of passing through running sums."""
+    for c in cols:
+        missing = F.raise_error(F.lit(f"{c} must not be NULL")).cast(df.schema[c].dataType)
+        df = df.withColumn(c, F.coalesce(F.col(c), missing))
+    return df
 
 
 HIST_JSON = T.StructType([
@@ -47,5 +91,6 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def probe_dim(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
-    """(label, probe) lookup table; a handful of rows, broadcast where joined."""
-    return spark.createDataFrame(list(mapping.items()), "label string, probe string")
+    """(label, probe) lookup table; a handful of rows."""
+    pairs = [F.struct(F.lit(k).alias("label"), F.lit(v).alias("probe")) for k, v in mapping.items()]
+    return spark.range(1).select(F.inline(F.array(*pairs)))

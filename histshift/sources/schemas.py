@@ -25,12 +25,15 @@ def pings_schema(probes) -> T.StructType:
     ] + [T.StructField(p, HIST, True) for p in probes])
 
 
-PROFILE = T.StructType([
-    T.StructField("client_id", T.StringType(), True),
-    T.StructField("app_build_id", T.StringType(), True),
-    T.StructField("num_client_pings", T.LongType(), False),
-    T.StructField("bins", T.ArrayType(BIN, False), False),
-])
+def profile_schema(probes) -> T.StructType:
+    return T.StructType([
+        T.StructField("client_id", T.StringType(), True),
+        T.StructField("app_build_id", T.StringType(), True),
+        T.StructField("num_client_pings", T.LongType(), False),
+        T.StructField("bins", T.ArrayType(BIN, False), False),
+        T.StructField("means", T.StructType([T.StructField(p, T.DoubleType(), True) for p in probes]), False),
+    ])
+
 
 BUILD_STATS = T.StructType([
     T.StructField("app_build_id", T.StringType(), True),

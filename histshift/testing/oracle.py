@@ -7,13 +7,18 @@ plans. Views ``events``, ``lineitem``, … are registered by the caller.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from histshift.config import RunConfig
-from histshift.functions.dates import window_bounds
-from histshift.functions.naming import quantile_names
-from histshift.functions.poisson import sql_poisson1, sql_uniform32_md5
-from histshift.sources.adapters import EVENT_PROBES
+
+# Stated here anew, so that a wrong value in the engine cannot agree with itself.
+EVENT_PROBES = ("hist_click", "hist_error", "hist_purchase", "hist_signup", "hist_view")
+QUANTILES = {"relds_05": 0.05, "relds_1": 0.1, "relds_25": 0.25, "relds_5": 0.5, "relds_75": 0.75,
+             "relds_9": 0.9, "relds_95": 0.95}
+# ceil(P(X <= k) * 2**32) of a Poisson(1) variable, k = 0, 1, ...
+POISSON1 = (1580030169, 3160060338, 3950075422, 4213413784, 4279248374, 4292415292,
+            4294609778, 4294923277, 4294962464, 4294966818, 4294967253, 4294967293)
 
 
 def lit(s: str) -> str:
@@ -48,22 +53,33 @@ ping_bins AS (
 
 def sample_sql(cfg: RunConfig) -> str:
     if cfg.debug:
-        return f"sample_id = {lit(cfg.sample_cut)}"
-    if cfg.sample == "numeric":
-        return f"TRY_CAST(sample_id AS INTEGER) < {int(cfg.sample_cut)}"
-    return f"sample_id < {lit(cfg.sample_cut)}"
+        return "sample_id = '42'"
+    if cfg.sample == "all":
+        return "true"
+    cut = "70" if cfg.channel == "nightly" else "25"
+    return f"TRY_CAST(sample_id AS INTEGER) < {cut}" if cfg.sample == "numeric" else f"sample_id < '{cut}'"
+
+
+def uniform_sql(client: str, build: str, rep: str) -> str:
+    """First 8 hex digits of md5('client|build|rep') as an integer."""
+    return f"('0x' || substr(md5({client} || '|' || {build} || '|' || CAST({rep} AS VARCHAR)), 1, 8))::BIGINT"
+
+
+def poisson_sql(u: str) -> str:
+    whens = " ".join(f"WHEN {u} < {t} THEN {k}" for k, t in enumerate(POISSON1))
+    return f"CASE {whens} ELSE {len(POISSON1)} END"
 
 
 def run_ctes(cfg: RunConfig, s: str = "", pings: str = "pings", bins: str = "ping_bins") -> str:
     """Every intermediate of one comparison run as CTEs named ``<name><s>`` over the
     ping CTEs ``pings`` / ``bins`` (no leading WITH, so several runs can be combined)."""
-    start, end = window_bounds(cfg.final_date, cfg.num_days)
+    start, end = (f"{d:%Y%m%d}" for d in (cfg.final_date - dt.timedelta(days=cfg.num_days), cfg.final_date))
     est = " + 0.5" if cfg.estimator else ""
-    u = sql_uniform32_md5("c.client_id", "c.app_build_id", "r.rep", cfg.seed)
+    u = uniform_sql("c.client_id", "c.app_build_id", "r.rep")
     zv = f"CAST({float(cfg.zero_val)!r} AS DOUBLE)"
     upper = (f"substr(app_build_id, 1, 8) <= {lit(end)}" if cfg.inclusive_end
              else f"app_build_id <= {lit(end)}")
-    qn = quantile_names("relds", cfg.quantiles)
+    qn = list(QUANTILES)
     sql = f"""
 sel__ AS (
   SELECT client_id, app_build_id, sample_id FROM {pings}
@@ -88,7 +104,7 @@ stats__ AS (
 reps__ AS (SELECT CAST(range AS INTEGER) AS rep FROM range(0, {cfg.num_reps + 1})),
 wts__ AS (
   SELECT c.client_id, c.app_build_id, r.rep,
-         CASE WHEN r.rep = 0 THEN 1 ELSE {sql_poisson1(u)} END AS w
+         CASE WHEN r.rep = 0 THEN 1 ELSE {poisson_sql(u)} END AS w
   FROM cbp__ c, reps__ r),
 rh_raw__ AS (
   SELECT w.rep, w.app_build_id, d.probe, d.metric, sum(w.w * d.measure) AS wsum
@@ -129,7 +145,7 @@ relds_q__ AS (
   SELECT q.probe, q.app_build_id, st.num_profiles, st.build_pings AS num_pings,
          {', '.join(f'q.{n}' for n in qn)}
   FROM (SELECT app_build_id, probe,
-               {', '.join(f'quantile_cont(relds, {q!r}) AS {n}' for q, n in zip(cfg.quantiles, qn))}
+               {', '.join(f'quantile_cont(relds, {q!r}) AS {n}' for n, q in QUANTILES.items())}
         FROM relds__ WHERE rep <> {cfg.measured_rep} GROUP BY 1, 2) q
   JOIN stats__ st ON st.app_build_id = q.app_build_id),
 pmeans__ AS (

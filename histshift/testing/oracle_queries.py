@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 
-from histshift.config import CLIENT_MEAN_QUANTILES
-from histshift.functions.naming import percent_names, quantile_names
-from histshift.operators.stats import BOX_COEF, VIOLIN_GRID, Z95
+import datetime as dt
+
+from histshift.functions.naming import percent_names
 from histshift.plans import catalog as C
-from histshift.sources.adapters import EVENT_PROBES, LINEITEM_PROBES
-from histshift.testing.oracle import event_ping_ctes, lit, run_ctes, values, with_ctes
+from histshift.testing.oracle import EVENT_PROBES, QUANTILES, event_ping_ctes, lit, run_ctes, values, with_ctes
 
-Q = quantile_names("relds", C.CFG.quantiles)
-SFX = ("_a", "_b", "_c")
+# Stated here anew, not read from the engine.
+CLIENT_MEAN_QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+BOX_COEF, VIOLIN_GRID, Z95 = 1.5, 512, 1.959963984540054
+Q = list(QUANTILES)
 
 
 def R(expr: str, alias: str) -> str:
@@ -23,15 +24,16 @@ def base(cfg=C.CFG, s="") -> str:
     return with_ctes(event_ping_ctes(), run_ctes(cfg, s))
 
 
-def hist_base() -> str:
-    """A history of three runs (2024-01-15, -16, -17) with creation dates."""
-    runs = [run_ctes(C.CFG.with_(final_date=d), s) for d, s in zip(C.HISTORY, SFX)]
+def hist_base(days=C.HISTORY) -> str:
+    """A history of runs (2024-01-15, -16, -17) with creation dates."""
+    SFX = [f"_{chr(97 + k)}" for k in range(len(days))]
+    runs = [run_ctes(C.CFG.with_(final_date=d), s) for d, s in zip(days, SFX)]
     u_relds = " UNION ALL ".join(
-        f"SELECT *, {lit(d.isoformat())} AS creation_date FROM relds_q{s}" for d, s in zip(C.HISTORY, SFX))
+        f"SELECT *, {lit(d.isoformat())} AS creation_date FROM relds_q{s}" for d, s in zip(days, SFX))
     u_means = " UNION ALL ".join(
-        f"SELECT *, {lit(d.isoformat())} AS creation_date FROM means{s}" for d, s in zip(C.HISTORY, SFX))
+        f"SELECT *, {lit(d.isoformat())} AS creation_date FROM means{s}" for d, s in zip(days, SFX))
     u_hists = " UNION ALL ".join(
-        f"SELECT *, {lit(d.isoformat())} AS creation_date FROM hists{s}" for d, s in zip(C.HISTORY, SFX))
+        f"SELECT *, {lit(d.isoformat())} AS creation_date FROM hists{s}" for d, s in zip(days, SFX))
     return with_ctes(event_ping_ctes(), *runs, f"h_relds AS ({u_relds})",
                      f"h_means AS ({u_means})", f"h_hists AS ({u_hists})")
 
@@ -85,13 +87,14 @@ def violin_sql(vals: str, g: int = VIOLIN_GRID) -> str:
     return f"""
 , vmom AS (SELECT app_build_id, count(*) AS n, stddev_samp(value) AS sd, min(value) AS mn, max(value) AS mx,
                   quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM {vals} GROUP BY 1),
-vpar AS (SELECT *, 0.9 * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
-                               WHEN sd > 0 THEN sd ELSE 1.0 END) * pow(CAST(n AS DOUBLE), -0.2) AS bw,
+vpar AS (SELECT *, 0.9 * (CASE WHEN mx = mn THEN (CASE WHEN mn <> 0 THEN abs(mn) ELSE 1.0 END)
+                               WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
+                               ELSE sd END) * pow(CAST(n AS DOUBLE), -0.2) AS bw,
                 (mx - mn) / {g - 1} AS step
-         FROM vmom WHERE mx > mn),
+         FROM vmom),
 vlb AS (SELECT v.app_build_id, (v.value - p.mn) / p.step AS pos,
                least(CAST(floor((v.value - p.mn) / p.step) AS INTEGER), {g - 2}) AS k0
-        FROM {vals} v JOIN vpar p ON p.app_build_id = v.app_build_id),
+        FROM {vals} v JOIN vpar p ON p.app_build_id = v.app_build_id WHERE p.mx > p.mn),
 vbins AS (SELECT app_build_id, k, sum(c) AS c FROM (
             SELECT app_build_id, k0 AS k, 1 - (pos - k0) AS c FROM vlb
             UNION ALL SELECT app_build_id, k0 + 1 AS k, pos - k0 AS c FROM vlb) GROUP BY 1, 2),
@@ -100,7 +103,8 @@ vdens AS (SELECT p.app_build_id, p.mn + j.j * p.step AS y,
                    / (p.n * p.bw * {math.sqrt(2 * math.pi)!r}) AS density
           FROM vpar p CROSS JOIN (SELECT CAST(range AS INTEGER) AS j FROM range(0, {g})) j
           JOIN vbins b ON b.app_build_id = p.app_build_id
-          GROUP BY p.app_build_id, j.j, p.mn, p.step, p.n, p.bw)"""
+          GROUP BY p.app_build_id, j.j, p.mn, p.step, p.n, p.bw
+          UNION ALL SELECT app_build_id, mn, 1 / (bw * {math.sqrt(2 * math.pi)!r}) FROM vpar WHERE mx = mn)"""
 
 
 def trend_sql(vals: str) -> str:
@@ -166,7 +170,7 @@ ORACLE: dict[str, str] = {
     "build_day": base() + "SELECT client_id, app_build_id, substr(app_build_id, 1, 8) AS build_day FROM pings",
     "build_window": base() + "SELECT client_id, app_build_id FROM pings WHERE app_build_id >= '20240108' AND app_build_id <= '20240115'",
     "channel_filter": base() + "SELECT client_id, app_build_id, app_name, normalized_channel FROM pings WHERE app_name = 'app' AND normalized_channel = 'nightly'",
-    "sample_lexical": sample(C.CFG),
+    "sample_lexical": sample(C.CFG.with_(sample="lexical")),
     "sample_numeric": sample(C.CFG.with_(sample="numeric")),
     "sample_debug": sample(C.CFG.with_(debug=True)),
     "struct_roundtrip": base() + f"SELECT {MEANS_COLS} FROM means",
@@ -204,6 +208,8 @@ SELECT app_build_id, count(*) AS num_clients, """ + ", ".join(
     "relds_zero_val": with_ctes(event_ping_ctes(), zero_bins_cte(), run_ctes(C.CFG, "", bins="ping_bins_z"))
         + f"SELECT rep, app_build_id, probe, {R('relds', 'relds')} FROM relds",
     "relds_quantiles": base() + f"SELECT {RELDS_COLS} FROM relds_q",
+    "relds_quantiles_all": base(C.CFG.with_(num_days=60, final_date=dt.date(2024, 2, 15))) + f"SELECT {RELDS_COLS} FROM relds_q",
+    "relds_quantiles_sampled": base(C.CFG.with_(sample="lexical")) + f"SELECT {RELDS_COLS} FROM relds_q",
     "relds_quantiles_lineitem": with_ctes(lineitem_ctes(), run_ctes(C.LINEITEM_CFG, "", pings="pings_li", bins="bins_li"))
         + f"SELECT {RELDS_COLS} FROM relds_q",
     "distinct_builds": base() + "SELECT DISTINCT app_build_id FROM hists",
@@ -217,7 +223,7 @@ WHERE v.value < q.lower - {float(BOX_COEF)!r} * (q.upper - q.lower) OR v.value >
     "violin_quantiles": base().rstrip() + violin_sql(means_values()) + f"""
 , vc AS (SELECT app_build_id, y, sum(density) OVER (PARTITION BY app_build_id ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
                 / sum(density) OVER (PARTITION BY app_build_id) AS cd FROM vdens),
-vl AS (SELECT *, lag(cd) OVER (PARTITION BY app_build_id ORDER BY y) AS pcd, lag(y) OVER (PARTITION BY app_build_id ORDER BY y) AS py FROM vc)
+vl AS (SELECT *, coalesce(lag(cd) OVER (PARTITION BY app_build_id ORDER BY y), 0) AS pcd, coalesce(lag(y) OVER (PARTITION BY app_build_id ORDER BY y), y) AS py FROM vc)
 SELECT app_build_id, q, {R('py + (q - pcd) * (y - py) / (cd - pcd)', 'y')}
 FROM vl CROSS JOIN (SELECT * FROM (VALUES (0.25), (0.5), (0.75)) t(q)) qs WHERE pcd < q AND cd >= q""",
     "means_trend": base().rstrip() + trend_sql(means_values()),
@@ -233,14 +239,23 @@ FROM vl CROSS JOIN (SELECT * FROM (VALUES (0.25), (0.5), (0.75)) t(q)) qs WHERE
     "union_loose": hist_base() + f"SELECT client_id, app_build_id, " + ", ".join(
         R(f"CASE WHEN creation_date = '2024-01-15' THEN NULL ELSE {p} END", p) if p == C.MEANS_PROBE else R(p, p)
         for p in EVENT_PROBES) + ", creation_date FROM h_means",
-    "latest_incremental": hist_base() + f"SELECT {RELDS_COLS}, creation_date FROM {latest('h_relds', 'app_build_id, probe')}",
+    "latest_incremental": hist_base([C.FINAL + dt.timedelta(days=k) for k in range(10)]) + f"SELECT {RELDS_COLS}, creation_date FROM {latest('h_relds', 'app_build_id, probe')}",
     "client_means": base() + f"SELECT {MEANS_COLS} FROM means",
-    "hist_merge": base() + f"SELECT probe, metric, {R('sum(measure)', 'measure')} FROM hists WHERE app_build_id IN ('20240108', '20240109') GROUP BY 1, 2",
+    "hist_merge": base() + f"""SELECT app_build_id, probe, metric, {R('sum(measure)', 'measure')} FROM (
+        SELECT c.app_build_id, o.probe, o.metric, o.measure FROM cal c JOIN hists o ON o.app_build_id = c.control_build
+        UNION ALL
+        SELECT n.app_build_id, n.probe, n.metric, n.measure FROM cal c JOIN hists n ON n.app_build_id = c.app_build_id
+        WHERE EXISTS (SELECT 1 FROM hists o WHERE o.app_build_id = c.control_build AND o.probe = n.probe)) GROUP BY 1, 2, 3""",
+    "hist_json_export": base() + "SELECT app_build_id, probe, metric, ROUND(measure, 6) AS measure FROM hists",
+    "read_pings": base() + "SELECT * FROM cbp",
+    "daily_job_outputs": hist_base() + f"SELECT {MEANS_COLS}, creation_date FROM h_means",
+    "snapshots_from_csv": hist_base() + f"SELECT app_build_id, probe, metric, {R('measure', 'measure')}, creation_date, {R('cum_sum', 'cum_sum')} FROM {cdf(latest('h_hists', 'app_build_id, metric'))}",
+    "csv_drift_loose": hist_base() + "SELECT client_id, app_build_id, " + ", ".join(
+        R(f"CASE WHEN creation_date = '2024-01-15' THEN NULL ELSE {p} END", p) if p == C.MEANS_PROBE else R(p, p)
+        for p in EVENT_PROBES) + ", creation_date FROM h_means",
     "build_hists": base() + f"SELECT app_build_id, probe, metric, {R('measure', 'measure')} FROM hists",
     "relds_wide": base() + "SELECT app_build_id, rep, " + ", ".join(
         R(f"max(CASE WHEN probe = {lit(p)} THEN relds END)", p) for p in EVENT_PROBES) + " FROM relds GROUP BY 1, 2",
     "ridge_series": base() + f"SELECT app_build_id, metric, {R('measure', 'measure')}, {R('cum_sum', 'cum_sum')} FROM {cdf(HIST1)} WHERE app_build_id IN ({IN_BUILDS}) AND probe = {lit(C.PROBE)}",
     "cdf_series": base() + f"SELECT app_build_id, metric, {R('cum_sum', 'cum_sum')} FROM {cdf(HIST1)} WHERE app_build_id IN ({IN_BUILDS}) AND probe = {lit(C.PROBE)}",
 }
-# F8 exports JSON text whose number formatting is engine specific: rows-only check.
-ROWS_ONLY = ("hist_json_export",)

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from histshift.testing.compare import compare
-from histshift.testing.oracle_queries import ROWS_ONLY
+from histshift.plans.catalog import QUERIES
 from tests.conftest import SF001
 
 
@@ -15,13 +15,15 @@ def test_entry_runs(spark):
     assert df.columns[:4] == ["probe", "app_build_id", "num_profiles", "num_pings"]
 
 
-def test_every_query_has_an_oracle_or_is_rows_only():
-    assert set(E.queries()) == set(E.oracle_sql()) | set(ROWS_ONLY)
+def test_every_query_of_the_engine_has_an_oracle():
+    assert set(QUERIES) <= set(E.oracle_sql()) and set(QUERIES) <= set(E.queries())
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("key", ["relds_quantiles", "relds_zero_val", "client_hists_estimator",
                                  "latest_hists", "box_stats", "violin_quantiles", "union_loose",
-                                 "hist_sink_overwrite", "json_hist", "nearest_builds"])
+                                 "hist_sink_overwrite", "json_hist", "nearest_builds", "csv_drift_loose",
+                                 "hist_json_export", "hist_merge", "read_pings"])
 def test_oracle_agreement(spark, key):
     r = compare(E.queries()[key](spark, SF001), E.oracle_sql()[key], SF001)
     assert r["columns_match"] and r["values_match"], r
@@ -30,7 +32,7 @@ def test_oracle_agreement(spark, key):
 def test_json_export_round_trips_to_the_build_histograms(spark):
     from pyspark.sql import functions as F
     from histshift.plans import catalog as C
-    exported = E.queries()["hist_json_export"](spark, SF001)
+    exported = C.exported_hists(spark, SF001)
     parsed = exported.select("app_build_id", "probe",
                              F.explode(F.from_json("hist_json", "map<string,double>")).alias("k", "v"))
     got = {(r.app_build_id, r.probe, int(r.k)): r.v for r in parsed.collect()}

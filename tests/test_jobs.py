@@ -45,3 +45,31 @@ def test_merge_hist_maps(spark):
 def test_parse_hist_json(spark):
     df = spark.createDataFrame([('{"10": 3, "20": 1}',)], "s string")
     assert dict(df.select(parse_hist_json("s").alias("m")).collect()[0].m) == {10: 3, 20: 1}
+
+
+def test_the_job_removes_its_intermediates(spark, tmp_path):
+    import os
+    from histshift.session import shared_dir
+    folder = shared_dir(spark).removeprefix("file:") + "/histshift"
+    daily_job(spark, C.pings(spark, SF001), C.CFG, str(tmp_path / "out"))
+    assert not [f for f in os.listdir(folder) if f.startswith("daily_job")]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    import pytest
+    from histshift.session import shared_dir
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())

@@ -74,6 +74,8 @@ def test_unpadded_sample_ids_compare_as_strings(spark, cfg):
     assert df.filter(pr.sample_predicate(lex.with_(channel="beta"))).count() == 18
     assert df.filter(pr.sample_predicate(cfg)).count() == 70
     assert df.filter(pr.sample_predicate(lex.with_(debug=True))).collect() == [("42",)]
+    assert df.filter(pr.sample_predicate(cfg.with_(sample="all"))).count() == 100
+    assert df.filter(pr.sample_predicate(cfg.with_(sample_cut="10"))).count() == 10
 
 
 def test_window_end_excludes_final_day_as_written(spark, cfg):
@@ -104,5 +106,5 @@ def test_profile_and_stats_follow_the_declared_schemas(spark, cfg):
 
     def shape(schema):
         return [(f.name, f.dataType.simpleString()) for f in schema.fields]
-    assert shape(prof.schema) == shape(schemas.PROFILE)
+    assert shape(prof.schema) == shape(schemas.profile_schema(cfg.probes))
     assert shape(pr.build_stats(prof).schema) == shape(schemas.BUILD_STATS)

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from histshift.operators import bootstrap as bs
 from histshift.operators import profiles as pr
 from histshift.plans import catalog as C
 from tests.conftest import SF01
@@ -20,15 +19,32 @@ def test_hot_build_is_spread_over_tasks(spark):
     cfg = C.CFG.with_(num_reps=200, partitions=16)
     prof = pr.profiles(hot_pings(spark), cfg)
     counts = {r.app_build_id: r["count"] for r in prof.groupBy("app_build_id").count().collect()}
-    hot_share = counts["20240110"] / sum(counts.values())
-    assert hot_share > 1 / 3
-    # profiles leave their stage clustered by (build, client shard): the hot build spans tasks
+    assert counts["20240110"] / sum(counts.values()) > 1 / 3
+    # profiles leave their stage clustered by (client, build): the hot build spans tasks
     parts = prof.filter(F.col("app_build_id") == "20240110").select(F.spark_partition_id().alias("p"))
-    assert parts.distinct().count() >= 2
-    sizes = pr.build_stats(prof)
-    blocks = bs._blocked_reps(prof.select("client_id", "app_build_id", F.lit(1).alias("x")), cfg, sizes)
-    hot = blocks.filter(F.col("app_build_id") == "20240110").select(F.spark_partition_id().alias("p"))
-    assert hot.distinct().count() >= 8          # replicate blocks x shards: most tasks share the hot build
+    assert parts.distinct().count() >= 8
+
+
+def test_statistics_spread_a_hot_build_without_broadcasts(spark):
+    """Two thirds of the rows in one build and no broadcast: rows meet their build's row by
+    (build, salt), and no exchange of rows by the build alone feeds an aggregate of them."""
+    from histshift.operators import stats as st
+    from tests.test_plans import plan
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("b"),
+                                    (F.col("id") % 997).cast("double").alias("v"))
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        q = st.box_stats(df, ["b"], "v")
+        text = plan(q, "simple")
+        assert "_salt" in text and "hashpartitioning(b" in text
+        assert any("hashpartitioning(b" in line and "_salt" in line for line in text.splitlines())
+        hot = [r for r in q.collect() if r.b == "hot"][0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    import numpy as np
+    vals = np.array([k % 997 for k in range(30_000) if k % 3 > 0], float)
+    assert (hot.lower, hot.middle, hot.upper, hot.n) == (*np.quantile(vals, [.25, .5, .75]), len(vals))
 
 
 def test_hot_build_results_do_not_depend_on_layout(spark):

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from histshift.operators import snapshots as sn
 from histshift.sources import schemas
-from histshift.sources.readers import read_csv_parts, read_json_hists
+from histshift.sources.readers import read_csv_parts, read_json_hists, require
 from histshift.sources.sinks import with_run_date, write_json_hists, write_run
-from histshift.streaming.incremental import fold_runs, latest_version, start_snapshot_stream
 
 H = "app_build_id string, probe string, metric int, measure double, creation_date date"
 D1, D2 = dt.date(2024, 1, 15), dt.date(2024, 1, 16)
@@ -51,17 +50,40 @@ def test_incremental_fold_equals_batch(spark):
     rows = [("b1", "p", 1, 0.1, D1), ("b2", "p", 1, 0.2, D1), ("b2", "p", 1, 0.3, D2), ("b3", "p", 1, 0.4, D2)]
     runs = [spark.createDataFrame([r for r in rows if r[4] == d], H) for d in (D1, D2)]
     batch = sn.latest_wins(sn.union_strict(runs), sn.RELDS_KEYS).collect()
-    assert sorted(fold_runs(runs, sn.RELDS_KEYS).collect()) == sorted(batch)
+    assert sorted(sn.fold_runs(runs, sn.RELDS_KEYS).collect()) == sorted(batch)
 
 
 def test_partition_overwrite_replaces_same_day(spark, tmp_path):
     df = spark.createDataFrame([("b", "p", 1, 0.5)], "app_build_id string, probe string, metric int, measure double")
     path = str(tmp_path / "hists")
-    write_run(with_run_date(df, D1), path)
-    write_run(with_run_date(df, D2), path)
-    write_run(with_run_date(df, D1), path)          # same-day rerun
+    write_run(with_run_date(df, D1), path, D1)
+    write_run(with_run_date(df, D2), path, D2)
+    write_run(with_run_date(df, D1), path, D1)          # same-day rerun
     back = read_csv_parts(spark, path, schemas.PROBE_HISTS)
     assert sorted(r.creation_date for r in back.collect()) == [D1, D2]
+    write_run(with_run_date(df.limit(0), D1), path, D1)          # an empty rerun empties its day
+    assert [r.creation_date for r in read_csv_parts(spark, path, schemas.PROBE_HISTS).collect()] == [D2]
+
+
+def test_csv_columns_are_matched_by_name(spark, tmp_path):
+    path, probes = str(tmp_path / "means"), ("p1", "p2", "p3")
+    schema = schemas.client_means_schema(probes)
+    wide = spark.createDataFrame([("c", "b", 1.0, 2.0, 3.0)], "client_id string, app_build_id string, p1 double, p2 double, p3 double")
+    write_run(wide.select("p3", "app_build_id", "client_id", "p1"), path, D1)
+    write_run(wide.select("p2", "p1", "p3", "client_id", "app_build_id"), path, D2)
+    got = {r.creation_date: (r.client_id, r.p1, r.p2, r.p3) for r in read_csv_parts(spark, path, schema).collect()}
+    assert got == {D1: ("c", 1.0, None, 3.0), D2: ("c", 1.0, 2.0, 3.0)}
+    with pytest.raises(ValueError):
+        read_csv_parts(spark, path, schema, strict=True)
+
+
+def test_a_missing_or_unreadable_measure_raises(spark, tmp_path):
+    good = spark.createDataFrame([("b", "p", 1, "0.5")], "app_build_id string, probe string, metric int, measure string")
+    for k, bad in enumerate(("text", None)):
+        path = str(tmp_path / f"hists{k}")
+        write_run(good.withColumn("measure", F.lit(bad).cast("string")), path, D1)
+        with pytest.raises(Exception):
+            require(read_csv_parts(spark, path, schemas.PROBE_HISTS), "measure").collect()
 
 
 def test_json_hist_roundtrip(spark, tmp_path):
@@ -70,19 +92,3 @@ def test_json_hist_roundtrip(spark, tmp_path):
     path = str(tmp_path / "json")
     write_json_hists(df, path)
     assert sorted(read_json_hists(spark, path).collect()) == sorted(df.collect())
-
-
-def test_snapshot_stream_folds_new_runs(spark, tmp_path):
-    runs = tmp_path / "runs"
-    schema = schemas.PROBE_HISTS
-    r1 = spark.createDataFrame([("b1", "p", 1, 0.1, D1), ("b2", "p", 1, 0.2, D1)], H)
-    r2 = spark.createDataFrame([("b2", "p", 1, 0.3, D2)], H)
-    r1.write.option("header", True).csv(str(runs / "run1"))
-    snap, ck = str(tmp_path / "snap"), str(tmp_path / "ck")
-    q = start_snapshot_stream(spark, str(runs / "*"), schema, sn.HISTS_KEYS_BY_PROBE, snap, ck)
-    q.awaitTermination()
-    r2.write.option("header", True).csv(str(runs / "run2"))
-    q = start_snapshot_stream(spark, str(runs / "*"), schema, sn.HISTS_KEYS_BY_PROBE, snap, ck)
-    q.awaitTermination()
-    got = sorted((r.app_build_id, r.measure) for r in latest_version(spark, snap).collect())
-    assert got == [("b1", 0.1), ("b2", 0.3)]

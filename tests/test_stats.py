@@ -1,4 +1,4 @@
-"""Summary statistics against numpy (A8, A12-A14) including the bracketed large-group path."""
+"""Summary statistics against numpy (A8, A12-A14) for groups of all sizes."""
 
 import numpy as np
 import pytest
@@ -16,8 +16,7 @@ def test_exact_quantiles_small(spark):
 
 
 def test_exact_quantiles_large_group_matches_numpy(spark):
-    n = 250_000                                      # above SMALL_GROUP: bracket path
-    assert n > st.SMALL_GROUP
+    n = 250_000
     df = spark.range(n).select(F.lit("big").alias("g"),
                                (F.floor(F.rand(3) * 5000) / 7).alias("v"))   # many ties
     small = spark.createDataFrame([("small", float(x)) for x in range(11)], "g string, v double")
@@ -75,3 +74,32 @@ def test_approx_quantiles_option(spark):
     df = spark.range(1000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
     r = st.group_quantiles(df, ["g"], "v", (0.5,), ("m",), approx=True).collect()[0]
     assert r.num_clients == 1000 and abs(r.m - 499.5) <= 1.0
+
+
+def test_exact_quantiles_random_groups_with_a_coarse_sketch(spark):
+    rng = np.random.default_rng(9)
+    groups = {f"g{k}": rng.choice(rng.normal(size=max(1, n // 3)), n) for k, n in enumerate((1, 2, 3, 7, 40, 999, 5000))}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    qs = (0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0)
+    for accuracy in (200, st.DEFAULT_ACCURACY):
+        got = {r.g: list(r)[1:] for r in st.exact_quantiles(df, ["g"], "v", qs, list("abcdefh"), accuracy).collect()}
+        assert got.keys() == groups.keys()
+        for g, vs in groups.items():
+            assert got[g] == pytest.approx(list(np.quantile(vs, qs)), abs=1e-12)
+
+
+def test_a_missed_bracket_falls_back_to_the_exact_aggregate(spark):
+    counts = spark.createDataFrame([("a", 1.0, 2), ("a", 5.0, 2), ("b", 3.0, 1)], "g string, _v double, _c long")
+    wide = spark.createDataFrame([("a", None, True), ("b", 3.0, False)], "g string, m double, _missed boolean")
+    got = {r.g: r.m for r in st._with_fallback(wide, counts, ["g"], (0.5,), ("m",)).collect()}
+    assert got == {"a": 3.0, "b": 3.0}
+
+
+def test_constant_groups_keep_their_violin(spark):
+    df = spark.createDataFrame([("c", 4.0)] * 5 + [("one", 0.0)] + [("d", float(k)) for k in range(9)], "g string, v double")
+    dens = st.violin_density(df, ["g"], "v")
+    rows = {g: [(r.y, r.density) for r in dens.collect() if r.g == g] for g in ("c", "one", "d")}
+    assert len(rows["d"]) == st.VIOLIN_GRID and len(rows["c"]) == len(rows["one"]) == 1
+    assert rows["c"][0] == (4.0, pytest.approx(1 / (0.9 * 4 * 5 ** -0.2 * np.sqrt(2 * np.pi))))
+    lines = {(r.g, r.q): r.y for r in st.violin_quantiles(dens, ["g"]).collect()}
+    assert lines["c", 0.25] == lines["c", 0.75] == 4.0 and len(lines) == 9
