@@ -12,14 +12,16 @@ only those that occur in two documents are extended to twice their length:
    half in 13 words is shuffled instead of each, and none is missed. A row also holds the run
    of windows that chose this half and a hash of all words which that run covers.
 2. Halves that occur in two documents survive. Survivors whose whole run equals the run in a
-   document with a smaller id are settled: thousands of copies cost one grouped minimum.
+   document with a smaller id are settled: thousands of copies cost one grouped minimum, and
+   one row a document meets the list of runs that it is the first to hold.
 3. *Full level.* Of halves with several different runs, one document a run (the smallest id)
    is extended: each of its windows is hashed whole (128 bits) and compared by grouped
    minimum. Longer levels cannot change which words are covered, so doubling ends there,
    or earlier, when no candidate survives.
 
 No step gathers the rows of a hash: minima are combined before the shuffle, and join
-partitions of a hot hash are split by AQE.
+partitions of a hot hash are split by AQE (for which both sides of such a join come straight
+from a table: the grouped side is written first).
 
 Defined cases: null and blank texts have no words (``kept_sha256`` of the empty text); rows
 with the same ``doc_id`` don't remove each other's words, and each is judged by itself; rows
@@ -41,6 +43,8 @@ from histshift.llm.common import arrow_rows, buffers, int64_of, slices, text_byt
 
 WINDOW = 50
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_JUDGED = ("doc_id long, text_hash long, settled array<struct<first:int,stop:int>>, "
+           "runs array<struct<first:int,last:int>>")
 _ANCHORS = "half long, run long, doc_id long, text_hash long, at int, first int, last int"
 
 
@@ -101,6 +105,32 @@ def _halves(window: int):
     return run
 
 
+def _judge(window: int):
+    """Of each text's surviving halves: word ranges settled by their run alone (an earlier
+    document has the same run), and the runs this document has to be extended for."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        anchors, own = batch.column("anchors"), batch.column("own")
+        row = np.repeat(np.arange(batch.num_rows), anchors.value_lengths().to_numpy(zero_copy_only=False))
+        a, o = anchors.flatten(), own.flatten()
+        mine = np.repeat(np.arange(batch.num_rows), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        keys = zip(mine.tolist(), o.field("half").to_pylist(), o.field("run").to_pylist())
+        least_here = dict(zip(keys, o.field("open").to_pylist()))
+        settled: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+        runs: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+        for r, half, whole, lo, hi in zip(row.tolist(), *(a.field(f).to_pylist() for f in ("half", "run", "first", "last"))):
+            opened = least_here.get((r, half, whole))
+            if opened is None:
+                settled[r].append({"first": lo, "stop": hi + window})
+            elif opened:
+                runs[r].append({"first": lo, "last": hi})
+
+        def spans(x, b):
+            return pa.array(x, pa.list_(pa.struct([("first", pa.int32()), (b, pa.int32())])))
+        return pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), spans(settled, "stop"), spans(runs, "last")],
+                               names=["doc_id", "text_hash", "settled", "runs"])
+    return run
+
+
 def _windows(window: int):
     """Whole hashes of the windows in the listed runs of each text."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -127,23 +157,28 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, ranges): word ranges [start, stop) to remove, one row per text."""
     docs = docs.where("doc_id is not null")
     halves = write_table(arrow_rows(text_bytes(docs, "doc_id"), _halves(window), _ANCHORS), "halves")
-    repeated = (halves.groupBy("half").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-                .where("lo < hi").select("half"))
+    repeated = write_table(halves.groupBy("half").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                           .where("lo < hi").select("half"), "repeated")
     alive = write_table(halves.join(repeated, "half"), "survivors")
     runs = write_table(alive.groupBy("half", "run").agg(F.min("doc_id").alias("least")), "runs")
-    several = runs.groupBy("half").agg(F.count("*").alias("n_runs"))
-    judged = alive.join(runs, ["half", "run"])
-    settled = judged.where("doc_id > least").select("doc_id", "text_hash", "first", (F.col("last") + window).alias("stop"))
-
-    open_ = (judged.where("doc_id = least").join(several.where("n_runs > 1"), "half")
-             .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("runs")))
+    several = write_table(runs.groupBy("half").agg(F.count("*").alias("n_runs")).where("n_runs > 1")
+                          .select("half", F.lit(True).alias("open")), "several")
+    own = write_table(runs.join(several, "half", "left").groupBy(F.col("least").alias("doc_id"))
+                      .agg(F.collect_list(F.struct("half", "run", F.coalesce("open", F.lit(False)).alias("open"))).alias("own")), "own")
+    per_text = alive.groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("half", "run", "first", "last")).alias("anchors"))
+    judged = write_table(arrow_rows(per_text.join(own, "doc_id", "left"), _judge(window), _JUDGED), "judged")
+
+    open_ = judged.where(F.size("runs") > 0).select("doc_id", "text_hash", "runs")
     wins = write_table(arrow_rows(text_bytes(docs, "doc_id").join(open_, "doc_id"), _windows(window),
                                   "win_a long, win_b long, doc_id long, text_hash long, first int").distinct(), "windows")
-    least = wins.groupBy("win_a", "win_b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("hi")).where("least < hi")
-    extended = (wins.join(least, ["win_a", "win_b"]).where("doc_id > least")
-                .select("doc_id", "text_hash", "first", (F.col("first") + window).alias("stop")))
+    least = write_table(wins.groupBy("win_a", "win_b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("hi"))
+                        .where("least < hi").drop("hi"), "least")
+    extended = (wins.join(least, ["win_a", "win_b"]).where("doc_id > least").groupBy("doc_id", "text_hash")
+                .agg(F.collect_set(F.struct("first", (F.col("first") + window).alias("stop"))).alias("ranges")))
+    settled = judged.where(F.size("settled") > 0).select("doc_id", "text_hash", F.col("settled").alias("ranges"))
     return (settled.union(extended).groupBy("doc_id", "text_hash")
-            .agg(F.collect_set(F.struct("first", "stop")).alias("ranges")))
+            .agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
 
 
 def kept_mask(n: int, ranges: list[dict]) -> np.ndarray:
@@ -157,8 +192,8 @@ def kept_mask(n: int, ranges: list[dict]) -> np.ndarray:
 
 def _ranged(docs: DataFrame, window: int, *cols: str) -> DataFrame:
     """The texts with all range lists of their doc_id (several only where ids repeat)."""
-    ranges = (repeated_ranges(docs, window).groupBy("doc_id")
-              .agg(F.collect_list(F.struct("text_hash", "ranges")).alias("lists")))
+    ranges = write_table(repeated_ranges(docs, window).groupBy("doc_id")
+                         .agg(F.collect_list(F.struct("text_hash", "ranges")).alias("lists")), "ranges")
     return text_bytes(docs, "doc_id", *cols).join(ranges, "doc_id", "left")
 
 
