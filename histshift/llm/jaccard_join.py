@@ -252,7 +252,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = write_table(known.select("doc_id", "set_a", "set_b", "n_shingles").distinct()
                        .join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep").distinct(), "reps")
-    named = sets.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    named = write_table(sets.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "named")
 
     by_key = Window.partitionBy("key")
     met = (text_bytes(docs.where("doc_id is not null"), "doc_id").mapInArrow(_emit, "key long, doc long")
