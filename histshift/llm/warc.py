@@ -7,7 +7,7 @@ response (segment number 1), the others are ``continuation`` records with the or
 identifier, their number, and on the last one the total length. A file holds at most
 ``RECORDS`` records, hence at most about RECORDS * SEGMENT bytes, which bounds what a reader
 holds. Records are written by Spark's text writer (bytes as they are, the record end as line
-separator), so that any file system that Spark reaches will do.
+separator) and compressed by file, so that any file system that Spark reaches will do.
 
 ``read_records`` reads such archives back: whole records where they stand; segments are grouped
 by origin identifier, ordered by number and checked (numbers 1 to n, total length) before the
@@ -27,6 +27,7 @@ check (framing, segments, total length, digest) has ``ok`` false and keeps what
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -117,8 +118,9 @@ def revisits(pages: DataFrame) -> DataFrame:
     return digests.join(shared, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "refers_to")
 
 
-def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records: int = RECORDS) -> None:
-    """Write ``pages`` (page_id, url, html) as WARC files under ``path``."""
+def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records: int = RECORDS,
+                   compression: str = "gzip") -> None:
+    """Write ``pages`` (page_id, url, html) as WARC files under ``path`` (``compression``: gzip or none)."""
     html = F.coalesce("html", F.lit("")).cast("binary")
     pages = pages.where("page_id is not null").select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"),
@@ -135,11 +137,13 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records:
     bounded_batches(pages.sparkSession)
     lines = once.join(revisits(pages), "page_id", "left").select("page_id", "url", "payload", "refers_to")
     (lines.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write
-     .option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path))
+     .option("lineSep", END.decode()).option("maxRecordsPerFile", records).option("compression", compression).text(path))
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of each record of an archive."""
+    """(header fields by lower-case name, block) of each record of an archive, gzipped or plain."""
+    if content.startswith(b"\x1f\x8b"):
+        content = gzip.decompress(content)
     at = 0
     while at < len(content):
         stop = content.find(END, at)
