@@ -15,7 +15,9 @@ edge crosses there: before each word (no piece has ``U+2581`` after another char
 vocabulary with such pieces whole texts are taken), and inside words between most letters and
 signs. Each distinct part is searched once (while a bounded cache holds it), and the n best of
 a word, and of a text, are merged from their parts' n best: the next best differ from the best
-in a few parts, and only the ``n - 1`` least losses can matter.
+in a few parts, and only the ``n - 1`` least losses can matter. Therefore the forward pass runs
+over all new parts of a batch at once, as array operations (with a backward pass, which gives
+the loss of each part's second best), and the A-star search only on words that can matter.
 
 Defined cases: null and empty texts have no pieces and one segmentation of score 0; texts with
 fewer than n segmentations return those they have; a literal ``U+2581`` is encoded by its bytes,
@@ -37,6 +39,7 @@ from pyspark.sql import DataFrame
 
 from histshift.llm.common import text_bytes
 from histshift.llm.packing import vocabulary_path
+from histshift.llm.words import mix
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 4
@@ -45,7 +48,10 @@ UNKNOWN = 10.0
 #: a single space so scored counts as the least scored piece.
 NO_SCORE = -1e8
 SPACE = "▁"
-CACHE, CACHED_CHARS = 150_000, 48
+CACHE, CACHED_CHARS = 300_000, 48
+LONG = 512
+#: Texts whose new words are prepared together.
+TOGETHER = 200
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 Segmentation = tuple[float, tuple[int, ...]]
@@ -71,6 +77,12 @@ class Lattice:
         self.unknown = min((s for _, s in usable.values()), default=0.0) - UNKNOWN
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in usable)
         self.pairs = {p[i:i + 2] for p in usable for i in range(len(p) - 1)}
+        self.tables = [self._table(k) for k in range(1, max(map(len, usable), default=1) + 1)]
+        self.spelling = [t.replace(SPACE, " ").encode() for t in self.text]
+        for b, i in self.byte.items():
+            self.spelling[i] = bytes([b])
+        self.best: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        self.best_parts: dict[str, tuple[float, tuple[int, ...], float]] = {}
         self.words: dict[tuple[str, int], list[Segmentation]] = {}
         self.parts: dict[tuple[str, int], list[Segmentation]] = {}
 
@@ -113,13 +125,128 @@ class Lattice:
                 break
         return out
 
+    def _table(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, id or -1, score) of all beginnings of pieces of one length, by hash."""
+        texts = [t for t in self.prefixes if len(t) == length]
+        h = np.zeros(len(texts), np.uint64)
+        for k in range(length):
+            h = _roll(h, np.array([ord(t[k]) for t in texts], np.uint64))
+        order = np.argsort(h)
+        hits = [self.prefixes[t] or ((-1,), 0.0) for t in texts]
+        return (h[order], np.array([ids[0] for ids, _ in hits], np.int64)[order],
+                np.array([score for _, score in hits])[order])
+
+    def viterbi(self, texts: list[str]) -> list[tuple[float, tuple[int, ...], float]]:
+        """(best score, its ids, loss of the second best or inf) of each non-empty text."""
+        size = np.array([len(t) for t in texts])
+        first = np.r_[0, np.cumsum(size)]
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(len(texts)), size)
+        stop = first[1:][row]
+        edges = []
+        at, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+        for length, (table, ids, scores) in enumerate(self.tables, 1):
+            h = _roll(h, chars[at + length - 1])
+            k = np.minimum(np.searchsorted(table, h), len(table) - 1)
+            ok = table[k] == h
+            piece = ok & (ids[k] >= 0)
+            edges.append((at[piece], at[piece] + length, ids[k[piece]], scores[k[piece]]))
+            if length == 1:     # characters in no piece of their own; ids -1 - character for now
+                lone = np.flatnonzero(~piece)
+                edges.append((lone, lone + 1, -1 - chars[lone].astype(np.int64), np.full(len(lone), self.unknown)))
+            ok &= at + length < stop[at]
+            at, h = at[ok], h[ok]
+            if not len(at):
+                break
+        start, end, ids, score = (np.concatenate(c) for c in zip(*edges))
+        # one node per place, a further one behind each text
+        whose = row[start]
+        a, b = start + whose, end + whose
+        origin, goal = first[:-1] + np.arange(len(texts)), first[1:] + np.arange(len(texts))
+        forward, back = np.full(len(chars) + len(texts), -np.inf), np.zeros(len(chars) + len(texts), np.int64)
+        forward[origin] = 0.0
+        rear = forward.copy()
+        rear[:] = -np.inf
+        rear[goal] = 0.0
+        for order, cut in _waves(end - first[whose], (a, b)):
+            for lo, hi in cut:
+                e = order[lo:hi]
+                begin = np.flatnonzero(np.r_[True, b[e[1:]] != b[e[:-1]]])
+                value = forward[a[e]] + score[e]
+                top = np.maximum.reduceat(value, begin)
+                forward[b[e[begin]]] = top
+                same = value == np.repeat(top, np.diff(np.r_[begin, len(e)]))
+                back[b[e[begin]]] = e[np.minimum.reduceat(np.where(same, np.arange(len(e)), len(e)), begin)]
+        for order, cut in _waves(first[1:][whose] - start, (b, a)):
+            for lo, hi in cut:
+                e = order[lo:hi]
+                begin = np.flatnonzero(np.r_[True, a[e[1:]] != a[e[:-1]]])
+                rear[a[e[begin]]] = np.maximum.reduceat(rear[b[e]] + score[e], begin)
+        on_path, node = np.zeros(len(a), bool), goal
+        while len(node):
+            e = back[node]
+            on_path[e] = True
+            node = a[e][a[e] != origin[whose[e]]]
+        total = forward[goal]
+        second = np.full(len(texts), -np.inf)
+        np.maximum.at(second, whose[~on_path], (forward[a] + score + rear[b])[~on_path])
+        path = np.flatnonzero(on_path)
+        path = path[np.argsort(start[path], kind="stable")]
+        counts = np.cumsum(np.bincount(whose[path], minlength=len(texts))).tolist()
+        spelt, out, lo = ids[path].tolist(), [], 0
+        odd = ids.min() < 0
+        for t, l2, hi in zip(total.tolist(), (total - second).tolist(), counts):
+            found = spelt[lo:hi]
+            if odd and min(found) < 0:
+                found = list(chain.from_iterable([i] if i >= 0 else [self.byte[c] for c in chr(-1 - i).encode()] for i in found))
+            out.append((t, tuple(found), l2))
+            lo = hi
+        return out
+
+    def prepare(self, words: set[str]) -> None:
+        """Best segmentations of new words, by one pass over all their new parts."""
+        new = [w for w in words if w not in self.best]
+        if len(self.best) > CACHE:
+            self.best.clear()
+            new = list(words)
+        if len(self.best_parts) > CACHE:
+            self.best_parts.clear()
+        split = [self.parts_in(w) for w in new]
+        missing = list({p for ps in split for p in ps}.difference(self.best_parts))
+        short = [p for p in missing if len(p) <= LONG]
+        if short:
+            self.best_parts.update(zip(short, self.viterbi(short)))
+        for p in missing:
+            if len(p) > LONG:       # one by one: waves over few long parts would be narrow
+                top = self.n_best(p, 2)
+                self.best_parts[p] = (*top[0], top[0][0] - top[1][0] if len(top) > 1 else math.inf)
+        known = self.best_parts
+        for w, ps in zip(new, split):
+            if len(ps) == 1:
+                self.best[w] = known[ps[0]]
+            else:
+                found = [known[p] for p in ps]
+                self.best[w] = (sum([f[0] for f in found]), tuple(chain.from_iterable([f[1] for f in found])),
+                                min([f[2] for f in found]))
+
+    def forget_long(self, words: set[str]) -> None:
+        for w in words:
+            if len(w) > CACHED_CHARS:
+                self.best.pop(w, None)
+                for p in self.parts_in(w):
+                    self.best_parts.pop(p, None)
+
+    def parts_in(self, word: str) -> list[str]:
+        """The word cut wherever two neighbours stand side by side in no piece."""
+        pairs = self.pairs
+        cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in pairs]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
     def word(self, text: str, n: int) -> list[Segmentation]:
         """The ``n`` best of a word, from those of its parts."""
         found = self.words.get((text, n))
         if found is None:
-            pairs, cuts = self.pairs, [0]
-            cuts += [i for i in range(1, len(text)) if text[i - 1:i + 1] not in pairs]
-            parts = [self._part(text[a:b], n) for a, b in zip(cuts, [*cuts[1:], len(text)])]
+            parts = [self._part(p, n) for p in self.parts_in(text)]
             found = parts[0] if len(parts) == 1 else combined(parts, n)
             _keep(self.words, text, n, found)
         return found
@@ -171,13 +298,33 @@ def parts_of(text: str, lattice: Lattice) -> list[str | None]:
     return _PART.findall(marked) if lattice.splits else [marked]
 
 
+def n_best_of(names: list[str | None], lattice: Lattice, n: int) -> list[tuple[float, list[tuple[int, ...]]]]:
+    """The ``n`` best (score, ids by part) of prepared parts in a row, best first."""
+    literal = (lattice.unknown, tuple(lattice.byte[b] for b in SPACE.encode()), math.inf)
+    known = [literal if w is None else lattice.best[w] for w in names]
+    best, base = sum([k[0] for k in known]), [k[1] for k in known]
+    losses = [(k[2], i) for i, k in enumerate(known) if k[2] < math.inf]
+    near = sorted([i for _, i in heapq.nsmallest(n - 1, losses)])
+    out = []
+    choices = [lattice.word(names[i], n) for i in near]
+    for loss, chosen in merge(choices, n):
+        ids = base
+        if chosen:
+            ids = list(base)
+            for k, c in chosen:
+                ids[near[k]] = choices[k][c][1]
+        out.append((best - loss, ids))
+    return out
+
+
 def encode(text: str, lattice: Lattice, n: int = N_BEST) -> list[Segmentation]:
     """The ``n`` best segmentations of a whole text, best first."""
     names = parts_of(text, lattice)
-    literal = [(lattice.unknown, tuple(lattice.byte[b] for b in SPACE.encode()))]
-    known = {p: literal if p is None else lattice.word(p, n) for p in set(names)}
-    parts = [known[p] for p in names]
-    return combined(parts, n)
+    words = {w for w in names if w is not None}
+    lattice.prepare(words)
+    out = [(score, tuple(chain.from_iterable(ids))) for score, ids in n_best_of(names, lattice, n)]
+    lattice.forget_long(words)
+    return out
 
 
 def combined(parts: list[list[Segmentation]], n: int) -> list[Segmentation]:
@@ -203,14 +350,33 @@ def combined(parts: list[list[Segmentation]], n: int) -> list[Segmentation]:
 
 def decode(ids: tuple[int, ...] | list[int], lattice: Lattice) -> str:
     """The text of ``ids``: byte pieces as UTF-8, marks as spaces, less the one at the start."""
-    out = bytearray()
-    for i in ids:
-        if i in lattice.byte_of:
-            out.append(lattice.byte_of[i])
-        else:
-            out += lattice.text[i].replace(SPACE, " ").encode()
-    text = out.decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    return b"".join([lattice.spelling[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+
+
+def _roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(h * np.uint64(0x9E3779B97F4A7C15) + c + np.uint64(1))
+
+
+def _waves(place: np.ndarray, by: tuple[np.ndarray, np.ndarray]):
+    """Edges ordered by place, then by node, with the bounds of each place: all edges of one
+    place can be taken at once, when those of smaller places have been."""
+    order = np.lexsort((by[0], by[1], place))
+    edge = np.flatnonzero(np.r_[True, place[order[1:]] != place[order[:-1]], True]).tolist()
+    yield order, list(zip(edge[:-1], edge[1:]))
+
+
+def _encoded(batch: pa.RecordBatch, lattice: Lattice, n: int):
+    """(doc_id, text bytes, n best) of each row; the batch's new words are prepared together."""
+    texts = [t.as_py() for t in batch.column("_text")]
+    names = [parts_of(t.decode(), lattice) for t in texts]
+    ids = batch.column("doc_id").to_pylist()
+    for lo in range(0, len(names), TOGETHER):
+        part = slice(lo, lo + TOGETHER)
+        words = {w for ws in names[part] for w in ws if w is not None}
+        lattice.prepare(words)
+        for doc, text, ws in zip(ids[part], texts[part], names[part]):
+            yield doc, text, n_best_of(ws, lattice, n)
+        lattice.forget_long(words)
 
 
 _ENCODED = "doc_id long, rank int, score double, ids array<int>"
@@ -221,8 +387,8 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataFr
     def run(batches):
         lattice = Lattice(model)
         for b in batches:
-            rows = [(doc, rank, score, list(ids)) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("_text"))
-                    for rank, (score, ids) in enumerate(encode(text.as_py().decode(), lattice, n), 1)]
+            rows = [(doc, rank, score, list(chain.from_iterable(ids))) for doc, _, found in _encoded(b, lattice, n)
+                    for rank, (score, ids) in enumerate(found, 1)]
             kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int32()))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "rank", "score", "ids"])
     return text_bytes(docs, "doc_id").mapInArrow(run, _ENCODED)
@@ -235,12 +401,10 @@ def encode_digest(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataF
         lattice = Lattice(model)
         for b in batches:
             rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("_text")):
-                whole = text.as_py().decode()
-                found = encode(whole, lattice, n)
-                best = np.array(found[0][1], "<u4")
-                rows.append((doc, len(best), zlib.crc32(best.tobytes()), [s for s, _ in found],
-                             decode(found[0][1], lattice) == whole and len({i for _, i in found}) == len(found)))
+            for doc, text, found in _encoded(b, lattice, n):
+                best = np.fromiter(chain.from_iterable(found[0][1]), "<u4")
+                spelt = b"".join(map(lattice.spelling.__getitem__, best.tolist()))
+                rows.append((doc, len(best), zlib.crc32(best.tobytes()), [s for s, _ in found], spelt == (b" " + text if text else b"")))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
                                   names=["doc_id", "n_pieces", "ids_crc32", "scores", "ok"])
