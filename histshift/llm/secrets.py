@@ -4,13 +4,17 @@ Base kinds, leftmost non-overlapping per kind: ``assign`` (a name such as ``pass
 ``:`` or ``=``, then 12 or more characters), ``access`` (``AKIA`` and 14 or more capitals or
 digits) and ``hex`` (16 or more lower-case hex digits).
 
-Method. Runs of 20 or more characters ``[A-Za-z0-9+/_=-]`` that hold a letter and a digit are
-encoded with a byte-level BPE vocabulary. Words and identifiers take few tokens; random
-strings fall apart into short ones, so that ``characters per token <= MAX_RATIO`` exposes them
-(kind ``random``). Left out are known digests (hex of 32, 40, 56, 64, 96 or 128 digits),
-UUIDs, runs inside URLs or paths, and identifiers (alphabetic parts joined by ``_`` or ``-``
-with short numbers). Runs that touch a base span add nothing. Runs are encoded in pieces of
-``PIECE`` characters so that time is in proportion to length.
+Method. Runs of 20 or more characters ``[A-Za-z0-9+/_=-]`` that hold a letter are encoded with
+a byte-level BPE vocabulary. Words and identifiers take few tokens; random strings fall apart
+into short ones, so that ``characters per token <= MAX_RATIO`` exposes them (kind ``random``).
+The ratio is taken over the whole run and, where that does not expose it, over the stretches
+between its plain words and over each part between separators (of 20 or more characters too),
+so that words beside a secret do not hide it. Left out are known digests (hex of 32, 40, 56,
+64, 96 or 128 digits), UUIDs, the host and path of URLs (``scheme://`` or ``www.``; their user,
+query and fragment are scored), and identifiers (alphabetic parts joined by separators with
+short numbers) whose words are dictionary-like, that is above the ratio themselves. Base spans
+are cut out of a run before the test. Runs are encoded in pieces of ``PIECE`` characters so
+that time is in proportion to length.
 
 A vectorised search first finds the texts where a kind can match at all; those are searched
 whole. Spans are code points, end exclusive.
@@ -42,6 +46,11 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")     # runs of 16 or more, each whole
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_PART = re.compile(r"[A-Za-z0-9]+")
+_WORD = re.compile(r"[A-Za-z]{2,}")
+LEAST = 20
+#: The user of a URL (group 1, where present), then host and path.
+_URL = re.compile(r"(?:(?<=[A-Za-z0-9])://([^\s/?#@]*@)?|(?<![A-Za-z0-9])www\.)[A-Za-z0-9._~%!$&*+=:@/-]+")
 #: What a text must hold for a kind to match; searched over whole columns.
 _HINTS = {"assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}""",
           "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}", "random": r"[A-Za-z0-9+/_=-]{20}"}
@@ -63,22 +72,58 @@ def base_spans(text: str, hints: dict[str, bool] | None = None) -> list[tuple[in
     return out
 
 
-def random_runs(text: str, encode, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Spans that the token-efficiency test adds; ``encode``: text to token ids."""
+def _per_token(text: str, encode) -> float:
+    return len(text) / sum(len(encode(text[k:k + PIECE])) for k in range(0, len(text), PIECE))
+
+
+def _plain(text: str, encode) -> bool:
+    """Whether the words of a text are dictionary-like (capitals as small letters)."""
+    found = _WORD.findall(text)
+    tokens = sum(len(w) / _per_token(w.lower() if w.isupper() else w, encode) for w in found)
+    return sum(map(len, found)) > MAX_RATIO * tokens
+
+
+def _exposed(text: str, encode) -> bool:
+    """Whether a run, or a part of one, is random by the token-efficiency test."""
+    if len(text) < LEAST or not any(c.isalpha() for c in text) or _DIGEST.fullmatch(text) or _UUID.fullmatch(text):
+        return False
+    return _per_token(text, encode) <= MAX_RATIO and not (_NAME.fullmatch(text) and _plain(text, encode))
+
+
+def _random_in(run: str, encode) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run: all of it, or stretches, or parts."""
+    if _exposed(run, encode):
+        return [(0, len(run))]
+    stretches: list[list[tuple[int, int]]] = [[]]
+    for m in _PART.finditer(run):
+        if len(m[0]) > 2 and m[0].isalpha() and _plain(m[0], encode) or _DIGEST.fullmatch(m[0]):
+            stretches.append([])
+        else:
+            stretches[-1].append(m.span())
     out = []
-    for m in _RUN.finditer(text):
-        run, a, b = m[0], m.start(), m.end()
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _NAME.fullmatch(run):
-            continue
-        if text[max(0, a - 3):a].endswith(("://", "/", ".", "@")) or any(s < b and a < e for s, _, e in taken):
-            continue
-        if len(run) <= MAX_RATIO * sum(len(encode(run[k:k + PIECE])) for k in range(0, len(run), PIECE)):
-            out.append((a, "random", b))
+    for parts in filter(None, stretches):
+        whole = (parts[0][0], parts[-1][1])
+        out += [(a, b) for a, b in ([whole] if _exposed(run[slice(*whole)], encode) else parts) if _exposed(run[a:b], encode)]
     return out
 
 
+def _blanked(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text``, of the same length, with the spans as spaces."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if end > at:
+            out += [text[at:max(start, at)], " " * (end - max(start, at))]
+            at = end
+    return "".join(out) + text[at:]
+
+
+def random_runs(text: str, encode, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Spans that the token-efficiency test adds; ``encode``: text to token ids."""
+    closed = [(m.end(1) if m[1] else m.start(), m.end()) for m in _URL.finditer(text)] + [(s, e) for s, _, e in taken]
+    return [(m.start() + a, "random", m.start() + b) for m in _RUN.finditer(_blanked(text, closed))
+            for a, b in _random_in(m[0], encode)]
+
+
 def _encoder(vocabulary: str):
     import base64
 

@@ -46,3 +46,29 @@ def test_redact_masks_every_span_and_keeps_clean_rows(spark):
             assert S.MASK in r.text and RANDOM not in r.text and r.n_chars == len(r.text)
     assert S.masked("abcdef", [(1, "hex", 3), (2, "random", 4)]) == "a" + S.MASK + "ef"
     assert S.redact(frame(spark, [])).count() == 0 == S.secret_digest(frame(spark, [])).count()
+
+
+JWT = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiI4MjM0NTY3ODkwIiwibmFtZSI6IlFhIn0", "TJVA95OrM7E2cBab30RMHrHDcEfxjoYZgeFONFh7HgQ"]
+KEY = ["SG", "Zk3vX9tB1wLmP4rY8uH2jN", "q7Zk3vX9tB1wLmP4rY8uH2jN6dGf0sAeT5bC1xV9oQz"]
+LETTERS = "qzXkvJwpYhgTrbNmlKsdFwcQxvZjpGhk"
+
+
+def test_secrets_after_dots_in_letters_and_beside_words(spark):
+    cases = [("Bearer " + ".".join(JWT), JWT), ("send " + ".".join(KEY), KEY[1:]), (f"mail a@{RANDOM}", [RANDOM]),
+             (f"pass {LETTERS} on", [LETTERS]),
+             (f"international_configuration_management_documentation_environment_development_{RANDOM}", [RANDOM]),
+             ("international/configuration/management/documentation/environment=q7Zk3vX9tB1w/mP4rY8uH2jN6dG",
+              ["q7Zk3vX9tB1w/mP4rY8uH2jN6dG"]),
+             (f"deadbeefdeadbeefX/{RANDOM}", [RANDOM]),
+             (f"get https://user:{RANDOM}@host.example/a?sig={LETTERS}", [RANDOM, LETTERS])]
+    clean = [f"https://localhost:80/a/{RANDOM}", f"www.host.example/{RANDOM}", hashlib.sha256(b"y").hexdigest().upper(),
+             "getUserNameFromRequestParameters", "MAXIMUM_BUFFER_SIZE_LIMIT_PER_CONNECTION", "/usr/lib/python/site-packages/numpy/random",
+             "-" * 40, "2024-01-15-12-30-45-00-01", "sys.InternationalizationAndLocalization"]
+    df = frame(spark, [(k, t, "en", len(t)) for k, t in enumerate([c[0] for c in cases] + clean)])
+    text = {r.doc_id: r.text for r in S.redact(df).collect()}
+    for k, (t, hidden) in enumerate(cases):
+        assert not [h for h in hidden if h in text[k]], (t, text[k])
+        assert S.MASK in text[k]
+    for k, t in enumerate(clean, len(cases)):
+        assert text[k] == t
+    assert text[0] == f"Bearer {S.MASK}.{S.MASK}.{S.MASK}" and text[1] == f"send SG.{S.MASK}.{S.MASK}"
