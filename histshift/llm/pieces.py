@@ -81,6 +81,7 @@ class Lattice:
         self.spelling = [t.replace(SPACE, " ").encode() for t in self.text]
         for b, i in self.byte.items():
             self.spelling[i] = bytes([b])
+        self.width = np.array([len(x) for x in self.spelling])
         self.best: dict[str, tuple[float, tuple[int, ...], float]] = {}
         self.best_parts: dict[str, tuple[float, tuple[int, ...], float]] = {}
         self.words: dict[tuple[str, int], list[Segmentation]] = {}
@@ -298,22 +299,30 @@ def parts_of(text: str, lattice: Lattice) -> list[str | None]:
     return _PART.findall(marked) if lattice.splits else [marked]
 
 
-def n_best_of(names: list[str | None], lattice: Lattice, n: int) -> list[tuple[float, list[tuple[int, ...]]]]:
-    """The ``n`` best (score, ids by part) of prepared parts in a row, best first."""
+def choices_of(names: list[str | None], lattice: Lattice, n: int
+               ) -> tuple[list[tuple[int, ...]], list[tuple[float, dict[int, tuple[int, ...]]]]]:
+    """Of prepared parts in a row: the best ids by part, and of the ``n`` best segmentations,
+    best first, the score and the ids of the parts that differ from the best, by place."""
     literal = (lattice.unknown, tuple(lattice.byte[b] for b in SPACE.encode()), math.inf)
     known = [literal if w is None else lattice.best[w] for w in names]
     best, base = sum([k[0] for k in known]), [k[1] for k in known]
     losses = [(k[2], i) for i, k in enumerate(known) if k[2] < math.inf]
     near = sorted([i for _, i in heapq.nsmallest(n - 1, losses)])
-    out = []
     choices = [lattice.word(names[i], n) for i in near]
-    for loss, chosen in merge(choices, n):
+    return base, [(best - loss, {near[k]: choices[k][c][1] for k, c in chosen}) for loss, chosen in merge(choices, n)]
+
+
+def n_best_of(names: list[str | None], lattice: Lattice, n: int) -> list[tuple[float, list[tuple[int, ...]]]]:
+    """The ``n`` best (score, ids by part) of prepared parts in a row, best first."""
+    base, found = choices_of(names, lattice, n)
+    out = []
+    for score, other in found:
         ids = base
-        if chosen:
+        if other:
             ids = list(base)
-            for k, c in chosen:
-                ids[near[k]] = choices[k][c][1]
-        out.append((best - loss, ids))
+            for k, part in other.items():
+                ids[k] = part
+        out.append((score, ids))
     return out
 
 
@@ -365,8 +374,9 @@ def _waves(place: np.ndarray, by: tuple[np.ndarray, np.ndarray]):
     yield order, list(zip(edge[:-1], edge[1:]))
 
 
-def _encoded(batch: pa.RecordBatch, lattice: Lattice, n: int):
-    """(doc_id, text bytes, n best) of each row; the batch's new words are prepared together."""
+def _encoded(batch: pa.RecordBatch, lattice: Lattice, n: int, found=n_best_of):
+    """(doc_id, text bytes, what ``found`` gives for its parts) of each row; the batch's new
+    words are prepared together."""
     texts = [t.as_py() for t in batch.column("_text")]
     names = [parts_of(t.decode(), lattice) for t in texts]
     ids = batch.column("doc_id").to_pylist()
@@ -375,7 +385,7 @@ def _encoded(batch: pa.RecordBatch, lattice: Lattice, n: int):
         words = {w for ws in names[part] for w in ws if w is not None}
         lattice.prepare(words)
         for doc, text, ws in zip(ids[part], texts[part], names[part]):
-            yield doc, text, n_best_of(ws, lattice, n)
+            yield doc, text, found(ws, lattice, n)
         lattice.forget_long(words)
 
 
@@ -394,19 +404,53 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataFr
     return text_bytes(docs, "doc_id").mapInArrow(run, _ENCODED)
 
 
+def digests(base: list[tuple[int, ...]], found: list[tuple[float, dict[int, tuple[int, ...]]]], text: bytes,
+            lattice: Lattice) -> list[tuple[int, int, bool]]:
+    """(n_pieces, ids_crc32, whether it decodes to ``text``) of each segmentation of ``choices_of``.
+
+    The ids and the spelling of the best are made whole; those of the others are joined from
+    its bytes and the parts that differ, and digested and compared whole.
+    """
+    spell, want = lattice.spelling, b" " + text if text else b""
+    best = np.fromiter(chain.from_iterable(base), "<u4")
+    ids, spelt = best.tobytes(), b"".join(map(spell.__getitem__, best.tolist()))
+    bounds = {}     # of the parts that differ: from and to which piece and byte of the best
+    piece = byte = last = 0
+    for k in sorted({k for _, other in found for k in other}):
+        start = piece + sum(map(len, base[last:k]))
+        end = start + len(base[k])
+        left = byte + int(lattice.width[best[piece:start]].sum())
+        byte = left + int(lattice.width[best[start:end]].sum())
+        bounds[k] = (start, end, left, byte)
+        piece, last = end, k + 1
+    out = []
+    for _, other in found:
+        codes, texts, piece, byte = [], [], 0, 0
+        for k in sorted(other):
+            start, end, left, right = bounds[k]
+            codes += [ids[4 * piece:4 * start], np.array(other[k], "<u4").tobytes()]
+            texts += [spelt[byte:left], *map(spell.__getitem__, other[k])]
+            piece, byte = end, right
+        whole = b"".join([*codes, ids[4 * piece:]])
+        out.append((len(whole) // 4, zlib.crc32(whole), b"".join([*texts, spelt[byte:]]) == want))
+    return out
+
+
 def encode_digest(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataFrame:
     """Per row of ``docs``: doc_id, n_pieces and ids_crc32 (unsigned, little-endian 32-bit ids) of
-    the best segmentation, the scores of the n best, and whether each decodes to the text."""
+    the best segmentation, whether each of the n best decodes to the text (``ok``), and, as
+    arrays over the ranks, scores, rank_pieces, rank_crc32 and rank_ok."""
     def run(batches):
         lattice = Lattice(model)
         for b in batches:
             rows = []
-            for doc, text, found in _encoded(b, lattice, n):
-                best = np.fromiter(chain.from_iterable(found[0][1]), "<u4")
-                spelt = b"".join(map(lattice.spelling.__getitem__, best.tolist()))
-                rows.append((doc, len(best), zlib.crc32(best.tobytes()), [s for s, _ in found], spelt == (b" " + text if text else b"")))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                  names=["doc_id", "n_pieces", "ids_crc32", "scores", "ok"])
+            for doc, text, (base, found) in _encoded(b, lattice, n, choices_of):
+                pieces, crcs, oks = map(list, zip(*digests(base, found, text, lattice)))
+                rows.append((doc, pieces[0], crcs[0], [s for s, _ in found], all(oks), pieces, crcs, oks))
+            longs = pa.list_(pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_(), longs, longs, pa.list_(pa.bool_()))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)],
+                                  names=["doc_id", "n_pieces", "ids_crc32", "scores", "ok", "rank_pieces", "rank_crc32", "rank_ok"])
     return text_bytes(docs, "doc_id").mapInArrow(
-        run, "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, ok boolean")
+        run, "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, ok boolean, "
+             "rank_pieces array<long>, rank_crc32 array<long>, rank_ok array<boolean>")

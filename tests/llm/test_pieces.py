@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -70,3 +71,20 @@ def test_edge_rows(spark):
     assert P.encode_digest(frame(spark, [])).count() == 0
     ranked = P.encode_texts(frame(spark).where("doc_id = 11")).collect()
     assert [r["rank"] for r in ranked] == [1, 2, 3, 4]
+
+
+def test_digest_covers_every_rank(spark, lattice):
+    df = frame(spark).where("doc_id in (1, 3, 7, 11, 17)")
+    ranks = {(r.doc_id, r["rank"]): r for r in P.encode_texts(df).collect()}
+    for r in P.encode_digest(df).collect():
+        want = [ranks[r.doc_id, k] for k in range(1, len(r.scores) + 1)]
+        assert len(want) == sum(doc == r.doc_id for doc, _ in ranks)
+        assert r.scores == [w.score for w in want] and r.rank_pieces == [len(w.ids) for w in want]
+        assert r.rank_crc32 == [zlib.crc32(np.array(w.ids, "<u4").tobytes()) for w in want]
+        assert r.rank_ok == [True] * len(want) and len(set(r.rank_crc32)) == len(want)
+        assert (r.n_pieces, r.ids_crc32) == (r.rank_pieces[0], r.rank_crc32[0])
+    names = P.parts_of("one two", lattice)
+    lattice.prepare(set(names))
+    base, found = P.choices_of(names, lattice, 4)
+    wrong = [(s, {k: (*ids, ids[-1]) for k, ids in other.items()}) for s, other in found]     # spells a letter twice
+    assert [ok for _, _, ok in P.digests(base, wrong, b"one two", lattice)] == [True] + [False] * 3
