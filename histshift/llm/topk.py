@@ -34,6 +34,7 @@ class SortedLists:
         self.x = x
         self.order = np.argsort(x, axis=0, kind="stable").T.astype(np.int32).copy()     # dimension by place
         self.values = np.take_along_axis(x.T, self.order, axis=1)
+        self.scored = 0     # full scores taken so far, over all queries
 
     def top(self, q: np.ndarray, ids: np.ndarray, own: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the ``k`` best vectors but ``own``."""
@@ -55,7 +56,9 @@ class SortedLists:
                 at, depth = np.flatnonzero(~met), n
                 met[:] = True
             # for most of the block one product over all of it is faster than a gather
-            scores, found = (self.x @ q)[at] if 2 * len(at) > n else self.x[at] @ q, ids[at]
+            most = 2 * len(at) > n
+            scores, found = (self.x @ q)[at] if most else self.x[at] @ q, ids[at]
+            self.scored += n if most else len(at)
             if len(best) == k:
                 good = scores >= best[-1]
                 scores, found = scores[good], found[good]

@@ -74,6 +74,15 @@ def test_threshold_stops_early_and_stays_exact():
         assert found.tolist() == want.tolist() and (scores == (x @ q)[want]).all()
 
 
+def test_threshold_stop_scores_part_of_heavy_tailed_vectors_only():
+    rng = np.random.default_rng(1)
+    x = np.floor(rng.exponential(1.0, (4000, 5)) ** 3)
+    lists, queries = topk.SortedLists(x), np.floor(rng.normal(0, 3, (20, 5)))
+    for q in queries:
+        lists.top(q, np.arange(4000), -1)
+    assert 20 * 20 <= lists.scored < 0.5 * 20 * 4000
+
+
 def test_wide_values_stay_exact():
     x = np.array([[2.0 ** 33, 1.0], [2.0 ** 33, 0.0]])
     assert topk._exact_kind(x, x) is np.int64 and topk._exact_kind(x[:, 1:], x[:, 1:]) is np.float32
