@@ -51,12 +51,3 @@ def test_features_cover_whole_texts():
     text = np.frombuffer(b"ab " * 400_000 + b"#$%", np.uint8)
     assert len(np.setdiff1d(f.places(np.frombuffer(b"ab #$%", np.uint8))[:-2], f.places(text))) == 0 and not f.seen.any()
     assert f.places(text[:0]).tolist() == [1 << Q.BITS, (1 << Q.BITS) + 16]
-
-
-def test_a_repeated_id_brings_one_text_to_the_sample(spark):
-    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
-    rows = [(i, f"text {i}", "en", 6) for i in ids] + [(ids[0], f"copy {k}", "en", 6) for k in range(200)]
-    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
-    sample, counts = Q.training_sample(frame(spark, rows), labels)
-    got = sorted(r.doc_id for r in sample.collect())
-    assert got == ids and sum(counts.values()) == len(ids)
