@@ -10,8 +10,10 @@ id), or when every vector has been met. Depths double, so that a step is a few a
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; of
 rows with one ``vec_id`` the least vector counts; vectors of different widths are compared
-over the shorter one; components beyond 2^40 are cut there; a query with fewer candidates gets
-them all; an empty table gives no rows; further columns are ignored.
+over the shorter one; components may have any finite size (products that could pass 2^62 are taken
+in whole numbers outside the lists); scores that do not fit a long count as the nearest long;
+a query with fewer candidates gets them all; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histshift.llm.vectors import EVERY, answers, keep_best, matrix, plan, prepared, search
+from histshift.llm.vectors import (EVERY, answers, big_rows, exact_kind, integers, keep_best, matrix, plan, prepared,
+                                   search, whole_scores)
 
 SCALE, K = 64, 20
 FIRST_DEPTH = 256
@@ -74,14 +77,22 @@ class SortedLists:
             last, depth = depth, 2 * depth
 
 
-def integers(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(SCALE * x), -2.0 ** 40, 2.0 ** 40)
-
-
-def _exact_kind(x: np.ndarray, q: np.ndarray):
-    """The fastest number type in which all scores are exact."""
-    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
-    return np.float32 if most < 2 ** 24 else np.float64 if most < 2 ** 53 else np.int64
+def best_of_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int = K) -> list[tuple]:
+    """(own, ids, scores) of every query: ordinary rows by the sorted lists, big ones one by one."""
+    big, large = big_rows(x), big_rows(q)
+    kind = exact_kind(x[~big], q[~large])
+    lists, plain = SortedLists(x[~big].astype(kind)), ids[~big]
+    out = []
+    for v, me, hard in zip(q, own, large):
+        found, scores = (plain[:0], np.zeros(0, np.int64)) if hard or not len(plain) else lists.top(v.astype(kind), plain, me, k)
+        rest = (big | hard) & (ids != me)
+        if rest.any():
+            found = np.concatenate([found, ids[rest]])
+            scores = np.concatenate([scores.astype(np.int64), whole_scores(x[rest], v)])
+            order = np.lexsort((found, ~scores))[:k]
+            found, scores = found[order], scores[order]
+        out.append((me, found, scores.astype(np.int64)))
+    return out
 
 
 def top_k(embeddings: DataFrame, k: int = K) -> DataFrame:
@@ -90,10 +101,8 @@ def top_k(embeddings: DataFrame, k: int = K) -> DataFrame:
     width, *blocks = plan(vectors)
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, q = integers(matrix(a.column("embedding"), width)), integers(matrix(b.column("embedding"), width))
-        kind = _exact_kind(x, q)
-        lists, q, ids = SortedLists(x.astype(kind)), q.astype(kind), a.column("vec_id").to_numpy()
-        return answers([(own, *lists.top(v, ids, own, k)) for own, v in zip(b.column("query_id").to_numpy(), q)], pa.int64())
+        x, q = integers(matrix(a.column("embedding"), width), SCALE), integers(matrix(b.column("embedding"), width), SCALE)
+        return answers(best_of_block(x, a.column("vec_id").to_numpy(), q, b.column("query_id").to_numpy(), k), pa.int64())
 
     queries = vectors.where(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id")
     return search(vectors, queries, tuple(blocks), tile, k, "long")

@@ -44,6 +44,29 @@ def matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def integers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), as whole numbers in doubles."""
+    return np.floor(scale * x)
+
+
+def big_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of whole numbers that are too large for sums of products below 2^62."""
+    return np.abs(x).max(axis=1, initial=0) > np.sqrt(2.0 ** 62 / max(x.shape[1], 1))
+
+
+def exact_kind(x: np.ndarray, q: np.ndarray):
+    """The fastest number type in which all scores of rows that are not big are exact."""
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
+    return np.float32 if most < 2 ** 24 else np.float64 if most < 2 ** 53 else np.int64
+
+
+def whole_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers of any size; what does not fit a long becomes the nearest long."""
+    other = [int(v) for v in q]
+    return np.array([min(max(sum(int(a) * b for a, b in zip(row, other)), -(1 << 63)), (1 << 63) - 1) for row in x.tolist()],
+                    np.int64)
+
+
 def plan(vectors: DataFrame) -> tuple[int, int, int]:
     """(width, candidate blocks, query blocks) of a table of clean vectors."""
     r = vectors.agg(F.max(F.size("embedding")), F.count("*"), F.count(F.when(F.col("vec_id") % EVERY == 0, 1))).first()

@@ -48,4 +48,4 @@ def test_stages_in_order_keep_columns_and_decide(spark):
 def test_registered(spark):
     assert E.queries()["pipeline"] is C.run
     numbers = sorted(int(k[2:].split("_")[0]) for k in E.queries() if k.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))

@@ -85,7 +85,22 @@ def test_threshold_stop_scores_part_of_heavy_tailed_vectors_only():
 
 def test_wide_values_stay_exact():
     x = np.array([[2.0 ** 33, 1.0], [2.0 ** 33, 0.0]])
-    assert topk._exact_kind(x, x) is np.int64 and topk._exact_kind(x[:, 1:], x[:, 1:]) is np.float32
+    assert V.exact_kind(x, x) is np.int64 and V.exact_kind(x[:, 1:], x[:, 1:]) is np.float32
+
+
+def test_components_of_any_size_and_scores_beyond_a_long(spark):
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randrange(-9, 9)), rng.random()], 0) for i in range(300)]
+    rows += [(1000 + i, [2.0 ** (34 + i), -(2.0 ** (50 - i))], 0) for i in range(17)] + [(1020, [2.0 ** 50, 2.0 ** 50], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+    def clamped(a, b):
+        return min(max(integer_product(a, b), -(1 << 63)), (1 << 63) - 1)
+
+    assert got(topk.top_k(df)) == brute(clean(rows, True), clamped)
+    one = [(0, [1.0], 0), (1, [2.0 ** 34], 0), (2, [2.0 ** 36], 0), (3, [2.0 ** 35], 0)]
+    found = got(topk.top_k(spark.createDataFrame(one, SCHEMA)))
+    assert found == [(0, 1, 2, 2 ** 48), (0, 2, 3, 2 ** 47), (0, 3, 1, 2 ** 46)]
 
 
 def test_nearest_with_ties_copies_and_bad_rows(spark, monkeypatch):
