@@ -1,13 +1,14 @@
 """Poisson bootstrap over client profiles.
 
-Physical shape: replicates are expanded block by block. Every block of ``rep_block``
-replicates reads the materialised profile table (two columns) and, in the same stage,
+Physical shape: replicates are expanded block by block. Every block of about ``rep_block``
+replicates reads the materialised profile table (three columns) and, in the same stage,
 takes each weight from a hash, drops ``w = 0`` at once (about 37 % of rows), ``inline``s
-the bins and pre-aggregates by (rep, build, probe, metric). No profile crosses a shuffle:
-only summed cells do, once, a volume set by tasks x cells and independent of the number
-of clients; a build holding a third of all profiles is spread over the tasks that read
-it. One marker element per (profile, replicate) adds sum(w) per (rep, build) to the same
-aggregation.
+the bins and pre-aggregates by (rep, build, probe, metric). The profile table is written
+clustered by build (``by_build``), a large build over as many files as its size asks for:
+a task holds the cells of a build or two, so its hash map stays small and what it shuffles
+is about (distinct cells) x (files a build spans), not every cell of every build. No profile
+crosses a shuffle again. One marker element per (profile, replicate) adds sum(w) per
+(rep, build) to the same aggregation.
 """
 
 from __future__ import annotations
@@ -44,41 +45,53 @@ def bootstrap_weights(profile: DataFrame, cfg: RunConfig, reps=None) -> DataFram
 
 
 def replicate_blocks(cfg: RunConfig, reps=None) -> list[tuple[int, int]]:
-    """Ranges (first, last) of at most ``rep_block`` consecutive replicates."""
+    """Ranges (first, last) of at most ``rep_block`` consecutive replicates, of even length."""
     wanted = sorted(set(range(cfg.num_reps + 1) if reps is None else reps))
+    even = -(-len(wanted) // -(-len(wanted) // cfg.rep_block)) if wanted else 1
     out: list[tuple[int, int]] = []
     for r in wanted:
-        if out and r == out[-1][1] + 1 and r - out[-1][0] < cfg.rep_block:
+        if out and r == out[-1][1] + 1 and r - out[-1][0] < even:
             out[-1] = (out[-1][0], r)
         else:
             out.append((r, r))
     return out
 
 
+def by_build(profile: DataFrame) -> DataFrame:
+    """``profile`` dealt by build for writing. AQE merges small builds into one task and splits a
+    large one by size (which no hash on the build could); without AQE the rows stay as they are.
+    """
+    adaptive = profile.sparkSession.conf.get("spark.sql.adaptive.enabled", "true") == "true"
+    return profile.hint("rebalance", "app_build_id") if adaptive else profile
+
+
 def rep_cells(profile: DataFrame, cfg: RunConfig, reps=None) -> DataFrame:
     """The replicate cells, one row per (rep, app_build_id, probe, metric) with
     wsum = sum(w * p) over the build's profiles; rows with probe NULL carry n = sum(w).
 
-    ``reps`` restricts the replicates (the measured sample expands one). The probe is
-    replaced by its position in the configured list while it is aggregated and the marker
-    element is prepended once per profile (not per replicate).
+    ``reps`` restricts the replicates (the measured sample expands one). While they are
+    aggregated, keys are numbers: probe (its position in the configured list, from 1) and
+    metric share one long, and a build day of eight digits is an int; any other build id
+    keeps its text. The marker element (cell 0) is prepended once per profile.
     """
     probes = F.array(*[F.lit(p) for p in cfg.probes])
-    marker = F.array(F.struct(F.lit(None).cast("int").alias("pi"),
-                              F.lit(None).cast("int").alias("metric"),
-                              F.lit(1.0).alias("measure")))
+    marker = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(1.0).alias("measure")))
     coded = F.transform("bins", lambda b: F.struct(
-        F.array_position(probes, b["probe"]).cast("int").alias("pi"),
-        b["metric"].alias("metric"), b["measure"].alias("measure")))
-    prof = profile.select("client_id", "app_build_id", F.concat(marker, coded).alias("_cells"))
+        (F.array_position(probes, b["probe"]) * F.lit(1 << 32) + b["metric"].cast("long")).alias("cell"),
+        b["measure"].alias("measure")))
+    digits = F.col("app_build_id").rlike("^[0-9]{8}$")
+    prof = profile.select("client_id", "app_build_id", F.concat(marker, coded).alias("_cells"),
+                          F.when(digits, F.col("app_build_id").cast("int")).alias("_day"),
+                          F.when(~F.coalesce(digits, F.lit(False)), F.col("app_build_id")).alias("_text"))
     parts = [bootstrap_weights(prof, cfg, prof.select("*", _rep_range(F.lit(lo), F.lit(hi))))
-             .select("rep", "app_build_id", "w", F.inline("_cells")) for lo, hi in replicate_blocks(cfg, reps)]
+             .select("rep", "_day", "_text", "w", F.inline("_cells")) for lo, hi in replicate_blocks(cfg, reps)]
     cells = reduce(lambda a, b: a.union(b), parts)
-    agg = cells.groupBy("rep", "app_build_id", "pi", "metric").agg(
-        F.sum(F.col("w") * F.col("measure")).alias("wsum"))
-    return agg.select("rep", "app_build_id",
-                      F.when(F.col("pi").isNotNull(), F.element_at(probes, F.col("pi"))).alias("probe"),
-                      "metric", "wsum")
+    agg = cells.groupBy("rep", "_day", "_text", "cell").agg(F.sum(F.col("w") * F.col("measure")).alias("wsum"))
+    place = F.shiftright(F.col("cell") + F.lit(1 << 31), 32)       # metrics may be negative
+    data = F.col("cell") != 0
+    return agg.select("rep", F.coalesce(F.lpad(F.col("_day").cast("string"), 8, "0"), "_text").alias("app_build_id"),
+                      F.when(data, F.element_at(probes, place.cast("int"))).alias("probe"),
+                      F.when(data, (F.col("cell") - place * F.lit(1 << 32)).cast("int")).alias("metric"), "wsum")
 
 
 def rep_sizes(cells: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """One comparison run as DataFrames.
 
-pings -> profiles (written once) -> replicate blocks, each read from the profile table and
+pings -> profiles (written once, clustered by build) -> replicate blocks, each read from the profile table and
 pre-aggregated -> shuffle by (rep, build, probe, metric) -> join with the calendar -> one
 group per (rep, comparison, probe) -> RelDS -> percentile. Nothing is collected to the
 driver; every output is a DataFrame.
@@ -25,7 +25,7 @@ class RunResult:
     """Outputs of one run. They are lazy, except that the first use of ``profile`` or
     ``build_stats`` runs the job that writes it.
 
-    With ``materialize`` the profile table is written once, as parquet under the shared
+    With ``materialize`` the profile table is written once, clustered by build, as parquet under the shared
     folder (``spark.checkpoint.dir``), on first use: the replicate expansion, the build
     stats and the client means all read it, so the ping table is scanned once per run
     (without it each consumer prunes the profile differently and the scan would be
@@ -43,7 +43,7 @@ class RunResult:
     @cached_property
     def profile(self) -> DataFrame:
         prof = pr.profiles(self.pings, self.cfg)
-        return write_table(prof, "profile") if self.materialize else prof
+        return write_table(bs.by_build(prof), "profile") if self.materialize else prof
 
     @cached_property
     def build_stats(self) -> DataFrame:

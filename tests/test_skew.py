@@ -25,6 +25,40 @@ def test_hot_build_is_spread_over_tasks(spark):
     assert parts.distinct().count() >= 8
 
 
+def test_profile_files_hold_a_build_or_two_and_a_hot_build_is_split(spark):
+    """What the replicate stage shuffles is bounded by the (file, build) pairs: each adds the
+    build's cells once. The hot build spans files by its size, and a file holds a build or two."""
+    from histshift.operators import bootstrap as bs
+    from histshift.plans.comparison import run_comparison
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "3k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        run = run_comparison(hot_pings(spark), C.CFG)
+        pairs = run.profile.groupBy("app_build_id", F.input_file_name().alias("f")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = {b: [r["count"] for r in pairs if r.app_build_id == b] for b in {r.app_build_id for r in pairs}}
+    hot = files["20240110"]
+    assert len(hot) >= 3 and max(hot) < 0.5 * sum(hot)
+    assert len(files) > 5 and len(pairs) <= 2 * max(len({r.f for r in pairs}), len(files))
+    cells = run.cells
+    by_file = bs.rep_cells(run.profile.withColumn("app_build_id", F.concat("app_build_id", F.lit("/"), F.input_file_name())), C.CFG)
+    assert cells.count() > 0 and by_file.count() <= 2 * max(map(len, files.values())) * cells.count()
+
+
+def test_cells_keep_odd_builds_and_negative_bins(spark, cfg):
+    from histshift.operators import bootstrap as bs
+    rows = [("a", b, 1, [("h1", m, 1.0)]) for b in ("20240101", "2024é", "", "0", None) for m in (-(2 ** 31), -1, 0, 2 ** 31 - 1)]
+    prof = spark.createDataFrame(rows, "client_id string, app_build_id string, num_client_pings long, "
+                                       "bins array<struct<probe:string,metric:int,measure:double>>")
+    got = {(r.app_build_id, r.probe, r.metric): r.wsum for r in bs.rep_cells(prof, cfg, [0]).collect()}
+    want = {(b, "h1", m): 1.0 for _, b, _, [(_, m, _)] in rows} | {(b, None, None): 4.0 for _, b, *_ in rows}
+    assert got == want
+
+
 def test_statistics_spread_a_hot_build_without_broadcasts(spark):
     """Two thirds of the rows in one build and no broadcast: rows meet their build's row by
     (build, salt), and no exchange of rows by the build alone feeds an aggregate of them."""
