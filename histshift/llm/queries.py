@@ -82,6 +82,10 @@ QUERIES = {f.__name__: f for f in (
     op9_substring_dedup, op10_jaccard_join, op11_fill_in_middle, op12_source_mix,
     op13_hard_negatives)}
 
+#: The modules that the queries load when they run.
+MODULES = ("ann", "chat", "fim", "gnat", "jaccard_join", "mixing", "packing", "pieces", "quality", "secrets",
+           "substring_dedup", "topk", "warc")
+
 #: Turn marks of the template, by length, as the formatter escapes them.
 _MARKS = ("<</SYS>>", "[/INST]", "[/ROLE]", "<<SYS>>", "[INST]", "[ROLE]", "[TEXT]", "</s>", "<s>")
 
