@@ -42,3 +42,24 @@ def test_json_export_round_trips_to_the_build_histograms(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
     keys = [list(map(int, __import__("json").loads(r.hist_json))) for r in exported.collect()]
     assert all(k == sorted(k) for k in keys)               # bins in ascending order
+
+
+@pytest.mark.parametrize("missing", ["xxhash", "corpus_pipeline", "histshift.llm"])
+def test_the_engine_loads_without_the_optional_part(missing):
+    """In a fresh interpreter in which an import fails: the other queries stay."""
+    import subprocess
+    import sys
+    code = f"""
+import sys
+class Block:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r}:
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Block())
+import __spark_entry__ as E
+q, o = E.queries(), E.oracle_sql()
+print(len(q), len(o), any(k.startswith("op") for k in q))
+"""
+    r = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=E.__file__.rsplit("/", 1)[0])
+    assert r.returncode == 0, r.stderr
+    assert r.stdout.split() == [str(len(QUERIES)), str(len(QUERIES)), "False"]
