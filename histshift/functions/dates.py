@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BUILD_FMT = "%Y%m%d"
+#: Partition column of a ping table written by ``sinks.write_pings``.
+BUILD_DAY = "build_day"
 
 
 def window_bounds(final_date: dt.date, num_days: int) -> tuple[str, str]:
@@ -47,3 +49,10 @@ def window_predicate(final_date: dt.date, num_days: int, inclusive_end: bool = F
     if inclusive_end:
         return (c >= F.lit(start)) & (c < F.lit(next_day(end)))
     return (c >= F.lit(start)) & (c <= F.lit(end))
+
+
+def day_predicate(final_date: dt.date, num_days: int, col: str = BUILD_DAY) -> Column:
+    """The build window on the build day (first 8 characters of the id). Every id in the window
+    of ``window_predicate`` meets it, whichever end it uses: a prefix sorts before the whole."""
+    start, end = window_bounds(final_date, num_days)
+    return (F.col(col) >= F.lit(start)) & (F.col(col) <= F.lit(end))

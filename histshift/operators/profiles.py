@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histshift.config import RunConfig
-from histshift.functions.dates import build_day, window_predicate
+from histshift.functions.dates import BUILD_DAY, build_day, day_predicate, window_predicate
 from histshift.functions.histograms import estimated
 
 
@@ -45,10 +45,18 @@ def channel_predicate(cfg: RunConfig) -> Column:
 
 
 def select_pings(pings: DataFrame, cfg: RunConfig) -> DataFrame:
-    """The pings of one run (window, app, channel, sample), columns untouched."""
+    """The pings of one run (window, app, channel, sample), columns untouched. Where the
+    table is partitioned by build day, the window prunes partitions too."""
     check_probes(pings, cfg.probes)
     cond = window_predicate(cfg.final_date, cfg.num_days, cfg.inclusive_end)
-    return pings.filter(cond & channel_predicate(cfg) & sample_predicate(cfg))
+    if BUILD_DAY in pings.columns:
+        cond = day_predicate(cfg.final_date, cfg.num_days) & cond
+    return pings.filter(cond & population_predicate(cfg))
+
+
+def population_predicate(cfg: RunConfig) -> Column:
+    """App, channel and client sample, without the window."""
+    return channel_predicate(cfg) & sample_predicate(cfg)
 
 
 def client_build_pings(pings: DataFrame, cfg: RunConfig) -> DataFrame:
@@ -83,18 +91,31 @@ def ping_bins(pings: DataFrame, probes, keys) -> DataFrame:
                      F.when(data, F.col("metric")).alias("metric"), "value")
 
 
-def _client_bins(pings: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Per (client, build, probe, metric): summed count and a poison flag; marker rows
-    (probe NULL) carry the ping count of the (client, build)."""
-    sel = select_pings(pings, cfg).select(
-        "client_id", build_day().alias("app_build_id"), *cfg.probes)
+BIN_KEYS = ("client_id", "app_build_id", "probe", "metric")
+
+
+def client_bins(selected: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Per (client, build, probe, metric) of selected pings: summed count and a poison flag;
+    marker rows (probe NULL) carry the ping count of the (client, build). Bins of other
+    pings of the same clients and builds can be merged in (``merged_bins``)."""
+    sel = selected.select("client_id", build_day().alias("app_build_id"), *cfg.probes)
     exploded = ping_bins(sel, cfg.probes, ["client_id", "app_build_id"])
-    return exploded.groupBy("client_id", "app_build_id", "probe", "metric").agg(
+    return exploded.groupBy(*BIN_KEYS).agg(
         F.sum("value").alias("cnt"),
         F.bool_or(F.col("value").isNull()).alias("poisoned"))
 
 
+def merged_bins(bins: DataFrame) -> DataFrame:
+    """Bins summed over several sets of pings: counts add up, a poisoned bin stays poisoned."""
+    return bins.groupBy(*BIN_KEYS).agg(F.sum("cnt").alias("cnt"), F.bool_or("poisoned").alias("poisoned"))
+
+
 def profiles(pings: DataFrame, cfg: RunConfig) -> DataFrame:
+    """T2 of the pings of one run (see ``profiles_of``)."""
+    return profiles_of(client_bins(select_pings(pings, cfg), cfg), cfg)
+
+
+def profiles_of(agg: DataFrame, cfg: RunConfig) -> DataFrame:
     """(client_id, app_build_id, num_client_pings, bins array<struct<probe,metric,measure>>,
     means struct of one histogram mean per probe, F3: NULL when empty or zero).
 
@@ -103,7 +124,6 @@ def profiles(pings: DataFrame, cfg: RunConfig) -> DataFrame:
     counts are all zero without estimator is empty instead of failing (Q7). Profiles
     without any bin keep an empty array and still count (Q8).
     """
-    agg = _client_bins(pings, cfg)
     # This second shuffle carries summed bins only and serves both the normalising window
     # and the per-profile aggregation (their keys contain it); a hot build spreads over
     # all tasks with its clients. Without an explicit count AQE merges small partitions.

@@ -62,8 +62,10 @@ def fold_runs(runs, keys, date_col: str = "creation_date") -> DataFrame:
 
 
 def newest_first(df: DataFrame) -> DataFrame:
-    """O1: newest build first, for readers that show rows in order."""
-    return df.orderBy(F.desc("app_build_id"))
+    """O1: newest build first, for readers that show rows in order. Within a build rows go by a
+    hash, so that the range partitioning of the sort can cut a build with a third of all rows."""
+    plain = [F.col(c) for c, kind in df.dtypes if not kind.startswith("map") and c != "app_build_id"]
+    return df.orderBy(F.desc("app_build_id"), F.xxhash64(*plain) if plain else F.lit(0))
 
 
 def _cdf_window(keys=("app_build_id", "probe")):

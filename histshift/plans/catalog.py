@@ -27,12 +27,15 @@ from histshift.operators import snapshots as sn
 from histshift.plans import views as vw
 from histshift.plans.comparison import RunResult, run_comparison
 from histshift.plans.daily_job import daily_job, run_outputs
+from histshift.plans.incremental import fold_pings, window_outputs
+from histshift.plans.publish import publish_run, read_live
 from histshift.plans.snapshots import build_snapshots, hists_snapshot, means_snapshot, relds_snapshot
 from histshift.session import fresh_path
 from histshift.sources import schemas
 from histshift.sources.adapters import EVENT_PROBES, EVENT_TYPES, events_pings, lineitem_pings, LINEITEM_PROBES
+from histshift.sources.published import Store
 from histshift.sources.readers import probe_dim, read_csv_parts, read_json_hists, read_pings, read_snapshot
-from histshift.sources.sinks import with_run_date, write_json_hists, write_run, write_snapshot
+from histshift.sources.sinks import with_run_date, write_json_hists, write_pings, write_run, write_snapshot
 
 FINAL = dt.date(2024, 1, 15)
 CFG = RunConfig(probes=EVENT_PROBES, final_date=FINAL, num_days=7, num_reps=20,
@@ -434,6 +437,67 @@ def q_csv_drift_loose(spark, sf):
     return out(read_csv_parts(spark, path, schemas.client_means_schema(EVENT_PROBES)))
 
 
+def q_pruned_pings(spark, sf):
+    """S1/P1/P2 over a ping table partitioned by build day: the window reads its days only."""
+    path = fresh_path(spark, "pings-by-day")
+    write_pings(pings(spark, sf), path)
+    return out(pr.client_build_pings(read_pings(spark, path), CFG))
+
+
+def arrival(late_days: int = 1):
+    """The day on which a ping arrives: its build day, or later for a tenth of the clients."""
+    day = build_date("app_build_id")
+    late = F.pmod(F.xxhash64("client_id"), F.lit(10)) == 0
+    return F.when(late, F.date_add(day, late_days)).otherwise(day)
+
+
+def incremental_store(spark, sf, cfg: RunConfig = CFG) -> Store:
+    """Ten days of pings folded one by one as they arrive, some a day late; one day twice."""
+    path = fresh_path(spark, "arrivals")
+    pings(spark, sf).withColumn("arrived", F.date_format(arrival(), "yyyyMMdd")).write.partitionBy("arrived").parquet(path)
+    arrivals = spark.read.parquet(path)
+    store = Store(spark, fresh_path(spark, "incremental"))
+    days = [cfg.final_date - dt.timedelta(days=k) for k in range(9, -1, -1)]
+    for d in (*days, days[4]):
+        fold_pings(spark, store, arrivals.filter(F.col("arrived") == int(f"{d:%Y%m%d}")), cfg, f"{d:%Y-%m-%d}")
+    return store
+
+
+def q_incremental_run(spark, sf):
+    """The window's quantiles, read from a store that each day's pings were folded into."""
+    return out(window_outputs(incremental_store(spark, sf).current(), CFG).relds_quantiles)
+
+
+def q_live_folded(spark, sf):
+    """U4/K5: ten runs published day by day; each fold rewrites the builds that its run holds."""
+    p, store = pings(spark, sf), Store(spark, fresh_path(spark, "live"))
+    for k in range(10):
+        d = FINAL + dt.timedelta(days=k)
+        outs = run_outputs(run_comparison(p, CFG.with_(final_date=d)), d)
+        version = publish_run(store, {"relds_csv": outs["relds_csv"]}, d)
+    return out(read_live(version, "relds"))
+
+
+class _Interrupted(Store):
+    """A store whose writer is lost before the histograms of a run are written."""
+
+    def stage(self, table, *args, **kw):
+        if table == "runs/probe_hists":
+            raise InterruptedError(table)
+        return super().stage(table, *args, **kw)
+
+
+def q_published_after_failure(spark, sf):
+    """K1-K5: two whole runs, then one that fails between its sinks: readers see the two."""
+    path = fresh_path(spark, "published")
+    for d, outs in zip(HISTORY, history(spark, sf)):
+        try:
+            publish_run(Store(spark, path) if d != HISTORY[-1] else _Interrupted(spark, path), outs, d)
+        except InterruptedError:
+            pass
+    return out(read_live(Store(spark, path).current(), "client_means"))
+
+
 # ---------------------------------------------------------------- functions
 def q_client_means(spark, sf):
     return out(means_table(spark, sf))

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from histshift.functions.dates import build_date
 from histshift.operators import snapshots as sn
 from histshift.sources import schemas
-from histshift.sources.readers import read_csv_parts, read_snapshot, require
-from histshift.sources.sinks import write_snapshot
+from histshift.sources.published import Store
+from histshift.sources.readers import read_csv_parts, require
 
 
 def relds_snapshot(relds_runs: DataFrame) -> DataFrame:
@@ -31,16 +31,13 @@ def hists_snapshot(hist_runs: DataFrame, by_probe: bool = False) -> DataFrame:
 def build_snapshots(spark: SparkSession, in_dir: str, out_dir: str, probes,
                     by_probe: bool = False) -> dict[str, DataFrame]:
     """Read the job's CSV outputs by column name (RelDS strictly; client means and histograms
-    with NULL for what a run lacks), keep the newest runs, publish parquet, read back."""
+    with NULL for what a run lacks), keep the newest runs, publish the three snapshots with one
+    commit (readers see the old three until then), read back."""
     base = in_dir.rstrip("/")
     relds = read_csv_parts(spark, f"{base}/relds_csv", schemas.relds_quantiles_schema(), strict=True)
     means = read_csv_parts(spark, f"{base}/client_means", schemas.client_means_schema(probes))
     hists = require(read_csv_parts(spark, f"{base}/probe_hists", schemas.PROBE_HISTS), "measure")
     out = {"relds": relds_snapshot(relds), "client_means": means_snapshot(means),
            "probe_hists": hists_snapshot(hists, by_probe)}
-    res = {}
-    for name, df in out.items():
-        path = f"{out_dir.rstrip('/')}/{name}"
-        write_snapshot(df, path)
-        res[name] = read_snapshot(spark, path)
-    return res
+    version = Store(spark, out_dir).publish(out)
+    return {name: version.read(name) for name in out}

@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from histshift.functions.dates import BUILD_DAY
 from histshift.session import hadoop_path
+from histshift.sources.published import Store
+from histshift.sources.sinks import SNAPSHOT
 
 
 def read_pings(spark: SparkSession, source: str) -> DataFrame:
-    """A catalog table name or a parquet path holding T1."""
-    if "/" in source or source.endswith(".parquet"):
-        return spark.read.parquet(source)
-    return spark.table(source)
+    """A catalog table name or a parquet path holding T1, plain or by build day
+    (``sinks.write_pings``); a build day is read as the text it is, not as a number."""
+    if "/" not in source and not source.endswith(".parquet"):
+        return spark.table(source)
+    pings = spark.read.parquet(source)
+    if BUILD_DAY in pings.columns and pings.schema[BUILD_DAY].dataType != T.StringType():
+        fields = [T.StructField(f.name, T.StringType() if f.name == BUILD_DAY else f.dataType, True) for f in pings.schema]
+        pings = spark.read.schema(T.StructType(fields)).parquet(source)
+    return pings
 
 
 def _csv_runs(spark: SparkSession, path: str) -> list[str]:
@@ -86,8 +94,9 @@ def parse_hist_json(col: str) -> F.Column:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """A published parquet snapshot."""
-    return spark.read.parquet(path)
+    """A published snapshot, as of its last whole commit; or a plain parquet directory."""
+    version = Store(spark, path).current()
+    return version.read(SNAPSHOT) if version.number else spark.read.parquet(path)
 
 
 def probe_dim(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:

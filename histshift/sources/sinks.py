@@ -7,6 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from histshift.functions.dates import BUILD_DAY, build_day
+from histshift.sources.published import Store
+
+#: The table that a store with one snapshot holds.
+SNAPSHOT = "snapshot"
+
 
 def write_run(df: DataFrame, path: str, run_date, fmt: str = "csv", date_col: str = "creation_date") -> None:
     """K1-K4: write one run's rows under ``path/<date_col>=<run date>/``, replacing them."""
@@ -17,15 +23,18 @@ def write_run(df: DataFrame, path: str, run_date, fmt: str = "csv", date_col: st
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """K5: publish a serving snapshot (replaces the previous one).
-
-    Rows are clustered by build, a large build over several files, and sorted within them,
-    so that readers skip files by build; no global sort."""
-    others = [F.col(c) for c in df.columns if c != "app_build_id"]
-    files = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shard = F.pmod(F.xxhash64(*others), F.lit(max(1, files // 8)))
-    (df.repartition("app_build_id", shard).sortWithinPartitions(F.desc("app_build_id"))
-     .write.mode("overwrite").parquet(path))
+    """K5: publish a serving snapshot in place of the previous one, which readers keep until the
+    new one is whole. A part per build, a large build over several files; no global sort."""
+    Store(df.sparkSession, path).publish({SNAPSHOT: df})
+
+
+def write_pings(pings: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A ping table partitioned by build day (the first 8 characters of the id), so that a
+    window reads its days only. A hot day is split by size, small days share a task."""
+    out = pings.withColumn(BUILD_DAY, build_day())
+    if pings.sparkSession.conf.get("spark.sql.adaptive.enabled", "true") == "true":
+        out = out.hint("rebalance", BUILD_DAY)
+    out.write.mode(mode).partitionBy(BUILD_DAY).parquet(path)
 
 
 def write_json_hists(hists: DataFrame, path: str) -> None:

@@ -248,6 +248,10 @@ FROM vl CROSS JOIN (SELECT * FROM (VALUES (0.25), (0.5), (0.75)) t(q)) qs WHERE
         WHERE EXISTS (SELECT 1 FROM hists o WHERE o.app_build_id = c.control_build AND o.probe = n.probe)) GROUP BY 1, 2, 3""",
     "hist_json_export": base() + "SELECT app_build_id, probe, metric, ROUND(measure, 6) AS measure FROM hists",
     "read_pings": base() + "SELECT * FROM cbp",
+    "pruned_pings": base() + "SELECT * FROM cbp",
+    "incremental_run": base() + f"SELECT {RELDS_COLS} FROM relds_q",
+    "live_folded": hist_base([C.FINAL + dt.timedelta(days=k) for k in range(10)]) + f"SELECT {RELDS_COLS}, creation_date FROM {latest('h_relds', 'app_build_id, probe')}",
+    "published_after_failure": hist_base(C.HISTORY[:2]) + f"SELECT {MEANS_COLS}, creation_date, strftime({BUILD_DATE}, '%Y-%m-%d') AS date FROM {latest('h_means', 'app_build_id')}",
     "daily_job_outputs": hist_base() + f"SELECT {MEANS_COLS}, creation_date FROM h_means",
     "snapshots_from_csv": hist_base() + f"SELECT app_build_id, probe, metric, {R('measure', 'measure')}, creation_date, {R('cum_sum', 'cum_sum')} FROM {cdf(latest('h_hists', 'app_build_id, metric'))}",
     "csv_drift_loose": hist_base() + "SELECT client_id, app_build_id, " + ", ".join(

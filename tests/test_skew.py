@@ -89,3 +89,19 @@ def test_hot_build_results_do_not_depend_on_layout(spark):
          for r in run_comparison(pings, C.CFG.with_(rep_block=5, partitions=3)).relds.collect()}
     assert a.keys() == b.keys() and len(a) > 0
     assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_newest_first_cuts_a_hot_build(spark):
+    from histshift.operators import snapshots as sn
+    df = spark.range(400_000).select(
+        F.when(F.col("id") % 3 > 0, "20240110").otherwise(F.concat(F.lit("2024011"), F.col("id") % 10)).alias("app_build_id"),
+        F.col("id").alias("v"), F.create_map(F.lit(1), F.col("id")).alias("m"))
+    ordered = sn.newest_first(df)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # the data are small
+    try:
+        sizes = [r["count"] for r in ordered.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) >= 4 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+    builds = [r.app_build_id for r in ordered.select("app_build_id").collect()]
+    assert builds == sorted(builds, reverse=True)
