@@ -11,27 +11,34 @@ meets it by (group, salt), the salt being a hash of the value, and is aggregated
   a bracket (about 8 n/accuracy) are ranked, as rows of a window per (group, quantile). One
   method for all group sizes; a bracket that missed its rank falls back to ``percentile``.
 * box statistics: quantiles, then min/max/count of in-fence values (algebraic).
-* violin: values are linearly binned onto a fixed grid (partial aggregation), the
-  Gaussian kernel runs grid x grid per group: bounded by the grid, not by the data.
-* linear trend: ``regr_*`` aggregates (algebraic, one pass).
+* violin: values are linearly binned onto a fixed grid (partial aggregation); a group's bins
+  are one array of the grid's size, convolved with the kernel where it does not vanish.
+* linear trend: sums per distinct x (one pass), then around the means; Student's t for the band.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
+from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
 BOX_COEF = 1.5
 VIOLIN_GRID = 512
-Z95 = 1.959963984540054
+#: The violin's grid reaches so many bandwidths past the values, and its kernel counts as 0
+#: beyond so many (there it is below 1e-17 of its peak).
+VIOLIN_CUT, VIOLIN_REACH = 4, 9
+BAND = 0.95
 SALT = "_salt"
 
 
-def _join_keys(keys):
-    return list(keys)
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where body uses it inside lambdas (a column
+    of a projection below could be inlined there and evaluated again for each element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
@@ -54,7 +61,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, qs, names,
                     accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Exact linear-interpolation quantiles (R type 7, pandas, DuckDB quantile_cont)
     of ``value`` per ``keys``, NULL and NaN ignored. Returns keys + one column per name."""
-    keys = _join_keys(keys)
+    keys = list(keys)
     nq, margin = len(qs), 4.0 / accuracy
     data = df.select(*keys, F.col(value).cast("double").alias("_v"))
     data = data.filter(F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
@@ -121,7 +128,7 @@ def approx_quantiles(df: DataFrame, keys, value: str, qs, names,
                      accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One-pass approximate quantiles (rank error <= n/accuracy), for very large groups
     when the exact two-pass method is not worth its second pass."""
-    keys = _join_keys(keys)
+    keys = list(keys)
     arr = ", ".join(repr(float(q)) for q in qs)
     q = df.groupBy(*keys).agg(
         F.expr(f"approx_percentile(`{value}`, array({arr}), {int(accuracy)})").alias("_a"))
@@ -132,7 +139,7 @@ def group_quantiles(df: DataFrame, keys, value: str, qs, names,
                     accuracy: int = DEFAULT_ACCURACY, approx: bool = False) -> DataFrame:
     """Quantiles (exact by default) plus ``num_clients`` = all rows of the group
     (NULL values included)."""
-    keys = _join_keys(keys)
+    keys = list(keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_clients"))
     fn = approx_quantiles if approx else exact_quantiles
     q = fn(df, keys, value, qs, names, accuracy)
@@ -143,7 +150,7 @@ def box_stats(df: DataFrame, keys, value: str, coef: float = BOX_COEF,
               accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """lower/middle/upper quartiles, whiskers at the most extreme values within
     coef x IQR of the box, and the number of values outside (ggplot2 stat_boxplot)."""
-    keys = _join_keys(keys)
+    keys = list(keys)
     q = exact_quantiles(df, keys, value, (0.25, 0.5, 0.75), ("lower", "middle", "upper"), accuracy)
     iqr = F.col("upper") - F.col("lower")
     q = q.withColumn("_flo", F.col("lower") - coef * iqr).withColumn("_fhi", F.col("upper") + coef * iqr)
@@ -161,7 +168,7 @@ def box_stats(df: DataFrame, keys, value: str, coef: float = BOX_COEF,
 def box_outliers(df: DataFrame, keys, value: str, coef: float = BOX_COEF,
                  accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """The rows outside the whiskers' fences."""
-    keys = _join_keys(keys)
+    keys = list(keys)
     q = exact_quantiles(df, keys, value, (0.25, 0.75), ("lower", "upper"), accuracy)
     iqr = F.col("upper") - F.col("lower")
     x = F.col(value)
@@ -180,11 +187,14 @@ def _nrd0(sd, iqr, n, at):
 
 def violin_density(df: DataFrame, keys, value: str, grid: int = VIOLIN_GRID,
                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """Gaussian kernel density per group on ``grid`` points spanning the group's
-    range (trim), bandwidth nrd0. Values are linearly binned onto the grid first
-    (as R's density() does), so the kernel sum runs over grid x grid pairs. A group whose
-    values are all equal has one grid point, at that value."""
-    keys = _join_keys(keys)
+    """Gaussian kernel density per group at ``grid`` points over the group's range (trim),
+    bandwidth nrd0, as R's density() computes it: values are binned linearly on a grid that
+    reaches four bandwidths past the range, the bins are convolved with the kernel, and the
+    result is interpolated linearly at the points asked for. (As in R, the kernel's steps are
+    2 L / (2 grid - 1), L being the grid's length, a little below the bins' own.) The bins of a
+    group are one array, so the convolution joins nothing. A group whose values are all equal
+    has one point, at that value."""
+    keys = list(keys)
     counts = value_counts(df, keys, value)
     mom = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp(F.col(value).cast("double")).alias("_sd"),
@@ -193,32 +203,53 @@ def violin_density(df: DataFrame, keys, value: str, grid: int = VIOLIN_GRID,
     flat = F.col("_max") == F.col("_min")
     par = mom.join(q, keys)
     par = par.withColumn("_bw", _nrd0(F.when(~flat, F.col("_sd")).otherwise(F.lit(0.0)), F.col("_q3") - F.col("_q1"),
-                                      F.col("_n"), F.col("_min"))) \
-             .withColumn("_step", (F.col("_max") - F.col("_min")) / (grid - 1))
+                                      F.col("_n"), F.col("_min")))
+    par = par.withColumn("_lo", F.col("_min") - VIOLIN_CUT * F.col("_bw"))
+    par = par.withColumn("_len", F.col("_max") + VIOLIN_CUT * F.col("_bw") - F.col("_lo"))
     # linear binning: each value splits its weight between the two grid points around it
-    pos = F.when(F.col("_step") > 0, (F.col("_v") - F.col("_min")) / F.col("_step")).otherwise(F.lit(0.0))
-    k0 = F.least(F.floor(pos).cast("int"), F.lit(grid - 2))
-    frac = pos - k0
-    b = salted_join(counts, par.select(*keys, "_min", "_step"), keys).select(
-        *keys, F.inline(F.array(F.struct(k0.alias("k"), ((1 - frac) * F.col("_c")).alias("c")),
-                                F.struct((k0 + 1).alias("k"), (frac * F.col("_c")).alias("c")))))
-    bins = b.groupBy(*keys, "k").agg(F.sum("c").alias("c"))
-    last = F.when(F.col("_step") > 0, F.lit(grid - 1)).otherwise(F.lit(0))
-    g = par.select(*keys, "_n", "_bw", "_min", "_step", F.explode(F.sequence(F.lit(0), last)).alias("j"))
-    pairs = g.join(bins, keys)
-    z = (F.col("j") - F.col("k")) * F.col("_step") / F.col("_bw")
-    dens = pairs.groupBy(*keys, "j").agg(
-        (F.sum(F.col("c") * F.exp(-0.5 * z * z))
-         / (F.first("_n") * F.first("_bw") * math.sqrt(2 * math.pi))).alias("density"),
-        (F.first("_min") + F.col("j") * F.first("_step")).alias("y"))
-    return dens.select(*keys, "y", "density")
+    pos = (F.col("_v") - F.col("_lo")) / (F.col("_len") / (grid - 1))
+    k0 = F.floor(pos).cast("int")
+    b = salted_join(counts, par.select(*keys, "_n", "_bw", "_min", "_max", "_lo", "_len"), keys).select(
+        *keys, "_n", "_bw", "_min", "_max", "_lo", "_len",
+        F.inline(F.array(F.struct(k0.alias("k"), ((1 - (pos - k0)) * F.col("_c")).alias("c")),
+                         F.struct((k0 + 1).alias("k"), ((pos - k0) * F.col("_c")).alias("c")))))
+    group = [F.first(c).alias(c) for c in ("_n", "_bw", "_min", "_max", "_lo", "_len")]
+    bins = b.groupBy(*keys, "k").agg(F.sum("c").alias("c"), *group)
+    one = bins.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("_m"), *group)
+    every = F.sequence(F.lit(0), F.lit(grid - 1))
+    weights = F.transform(every, lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0.0)) / F.col("_n"))
+    lag = 2 * F.col("_len") / (2 * grid - 1)
+    peak = 1 / (F.col("_bw") * math.sqrt(2 * math.pi))
+    reach = F.least(F.lit(grid - 1), F.ceil(VIOLIN_REACH * F.col("_bw") / lag).cast("int"))
+
+    def kernel(far):
+        return F.transform(F.sequence(F.lit(0), far), lambda m: peak * F.exp(-0.5 * F.pow(m * lag / F.col("_bw"), 2)))
+
+    def convolved(y, w, far):
+        def at(i):
+            near = F.sequence(F.greatest(F.lit(0), i - far), F.least(F.lit(grid - 1), i + far))
+            return F.aggregate(near, F.lit(0.0), lambda s, j: s + F.get(y, j) * F.get(w, F.abs(i - j)))
+        return F.transform(every, at)
+
+    def points(d):
+        def point(t):
+            y = F.when(t == grid - 1, F.col("_max")).otherwise(F.col("_min") + t * ((F.col("_max") - F.col("_min")) / (grid - 1)))
+            x = (y - F.col("_lo")) / (F.col("_len") / (grid - 1))
+            left = F.least(F.floor(x).cast("int"), F.lit(grid - 2))
+            low, high = F.get(d, left), F.get(d, left + 1)
+            return F.struct(y.alias("y"), (low + (x - left) * (high - low)).alias("density"))
+        return F.transform(every, point)
+
+    curve = let(reach, lambda far: let(weights, lambda y: let(kernel(far), lambda w: let(convolved(y, w, far), points))))
+    flat = F.array(F.struct(F.col("_min").alias("y"), peak.alias("density")))
+    return one.select(*keys, F.inline(F.when(F.col("_max") == F.col("_min"), flat).otherwise(curve)))
 
 
 def violin_quantiles(dens: DataFrame, keys, qs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Quantile lines of a violin: y where the cumulative density reaches q,
     linear between grid points (ggplot2 draw_quantiles). One grid per group; a grid of one
     point answers every quantile."""
-    keys = _join_keys(keys)
+    keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("y")
     tot = Window.partitionBy(*keys)
     c = dens.withColumn("_cd", F.sum("density").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -233,24 +264,72 @@ def violin_quantiles(dens: DataFrame, keys, qs=(0.25, 0.5, 0.75)) -> DataFrame:
     return hit.select(*keys, "q", yq.alias("y"))
 
 
+T_TABLE = 100
+
+
+@cache
+def t_quantile(p: float, df: int) -> float:
+    """The quantile ``p`` > 0.5 of Student's t for whole degrees of freedom: bisection on the
+    distribution's finite series in the angle atan(t / sqrt(df))."""
+    def inside(angle):          # probability of |T| up to that angle
+        c, s = math.cos(angle), math.sin(angle)
+        term, total = (c, c) if df % 2 else (1.0, 1.0)
+        for k in range(3 if df % 2 else 2, df - 1, 2):
+            term *= c * c * (k - 1) / k
+            total += term
+        if df % 2:
+            return 2 / math.pi * (angle + (s * total if df > 1 else 0.0))
+        return s * total
+
+    low, high = 0.0, math.pi / 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if inside(mid) < 2 * p - 1 else (low, mid)
+    return math.sqrt(df) * math.tan(low)
+
+
+def student_t(p: float, df: Column) -> Column:
+    """``t_quantile`` of a column of degrees of freedom: up to ``T_TABLE`` from the function, above
+    by the expansion around the normal quantile in powers of 1 / df, whose error is below 1e-9
+    there. Null below 1."""
+    z = NormalDist().inv_cdf(p)
+    terms = ((z ** 3 + z) / 4, (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96,
+             (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384,
+             (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160)
+    far = F.lit(z)
+    for k, g in enumerate(terms, 1):
+        far = far + F.lit(g) / F.pow(df.cast("double"), F.lit(float(k)))
+    table = F.array(*[F.lit(t_quantile(p, k)) for k in range(1, T_TABLE + 1)])
+    return F.when(df > T_TABLE, far).when(df >= 1, F.get(table, (df - 1).cast("int")))
+
+
 def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Least-squares line of y on x over all rows (one group) with a 95 % band
-    (normal quantile; rows >> 30). Returns one row per distinct x with the fit."""
+    """Least-squares line of y on x over all rows (one group) with its 95 % confidence band
+    (Student's t; null below three rows). Returns one row per distinct x with the fit."""
     d = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
           .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    fit = d.agg(F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"),
-                F.regr_r2("_y", "_x").alias("r2"), F.regr_count("_y", "_x").alias("n"),
-                F.regr_sxx("_y", "_x").alias("sxx"), F.regr_syy("_y", "_x").alias("syy"),
-                F.regr_avgx("_y", "_x").alias("avgx"))
+    # one pass over the rows: per distinct x; sums around the means follow from those few rows
+    # without the cancellation of dates in the tens of thousands
+    xs = d.groupBy("_x").agg(F.count(F.lit(1)).alias("_c"), F.avg("_y").alias("_m"),
+                             (F.var_pop("_y") * F.count(F.lit(1))).alias("_within")).withColumn("_one", F.lit(1))
+    means = xs.groupBy("_one").agg(F.sum("_c").alias("n"), (F.sum(F.col("_c") * F.col("_x")) / F.sum("_c")).alias("avgx"),
+                                   (F.sum(F.col("_c") * F.col("_m")) / F.sum("_c")).alias("avgy"))
+    dx, dy, c = F.col("_x") - F.col("avgx"), F.col("_m") - F.col("avgy"), F.col("_c")
+    fit = xs.join(F.broadcast(means), "_one").groupBy("_one").agg(          # one row, as ``means``
+        F.first("n").alias("n"), F.first("avgx").alias("avgx"), F.first("avgy").alias("avgy"),
+        F.sum(c * dx * dx).alias("sxx"), F.sum(c * dx * dy).alias("sxy"), F.sum(F.col("_within") + c * dy * dy).alias("syy"))
+    fit = fit.withColumn("slope", F.try_divide("sxy", "sxx")).withColumn("intercept", F.col("avgy") - F.col("slope") * F.col("avgx"))
+    fit = fit.withColumn("r2", F.when(F.col("sxx") > 0, F.when(F.col("syy") > 0, F.pow("sxy", F.lit(2.0)) / (F.col("sxx") * F.col("syy")))
+                                      .otherwise(1.0)))
+    fit = fit.withColumn("_t", student_t((1 + BAND) / 2, F.col("n") - 2))
     # the fit is a single row: attach it with an equi-join on a constant key
-    xs = d.select("_x").distinct().withColumn("_one", F.lit(1))
-    j = xs.join(F.broadcast(fit.withColumn("_one", F.lit(1))), "_one")
-    yhat = F.col("intercept") + F.col("slope") * F.col("_x")
+    j = xs.join(F.broadcast(fit), "_one")
+    yhat = F.col("avgy") + F.col("slope") * (F.col("_x") - F.col("avgx"))
     s2 = F.try_divide(F.col("syy") * (1 - F.col("r2")), F.col("n") - 2)
     se = F.sqrt(s2 * (1 / F.col("n") + F.pow(F.col("_x") - F.col("avgx"), 2) / F.col("sxx")))
     return j.select(F.col("_x").alias(x), "slope", "intercept", "r2", "n",
-                    yhat.alias("fit"), (yhat - Z95 * se).alias("lower"),
-                    (yhat + Z95 * se).alias("upper"))
+                    yhat.alias("fit"), (yhat - F.col("_t") * se).alias("lower"),
+                    (yhat + F.col("_t") * se).alias("upper"))
 
 
 def log10_positive(df: DataFrame, value: str) -> DataFrame:

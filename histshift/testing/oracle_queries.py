@@ -12,7 +12,7 @@ from histshift.testing.oracle import EVENT_PROBES, QUANTILES, event_ping_ctes, l
 
 # Stated here anew, not read from the engine.
 CLIENT_MEAN_QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
-BOX_COEF, VIOLIN_GRID, Z95 = 1.5, 512, 1.959963984540054
+BOX_COEF, VIOLIN_GRID = 1.5, 512
 Q = list(QUANTILES)
 
 
@@ -84,40 +84,56 @@ FROM bj GROUP BY app_build_id"""
 
 
 def violin_sql(vals: str, g: int = VIOLIN_GRID) -> str:
+    """R's density(): linear binning on [min - 4 bw, max + 4 bw], convolution at steps of
+    2 L / (2 g - 1), linear interpolation at g points from min to max."""
     return f"""
 , vmom AS (SELECT app_build_id, count(*) AS n, stddev_samp(value) AS sd, min(value) AS mn, max(value) AS mx,
                   quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM {vals} GROUP BY 1),
-vpar AS (SELECT *, 0.9 * (CASE WHEN mx = mn THEN (CASE WHEN mn <> 0 THEN abs(mn) ELSE 1.0 END)
+vbw AS (SELECT *, 0.9 * (CASE WHEN mx = mn THEN (CASE WHEN mn <> 0 THEN abs(mn) ELSE 1.0 END)
                                WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
-                               ELSE sd END) * pow(CAST(n AS DOUBLE), -0.2) AS bw,
-                (mx - mn) / {g - 1} AS step
-         FROM vmom),
-vlb AS (SELECT v.app_build_id, (v.value - p.mn) / p.step AS pos,
-               least(CAST(floor((v.value - p.mn) / p.step) AS INTEGER), {g - 2}) AS k0
+                               ELSE sd END) * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM vmom),
+vpar AS (SELECT *, mn - 4 * bw AS lo, mx + 4 * bw - (mn - 4 * bw) AS len FROM vbw),
+vlb AS (SELECT v.app_build_id, (v.value - p.lo) / (p.len / {g - 1}) AS pos,
+               CAST(floor((v.value - p.lo) / (p.len / {g - 1})) AS INTEGER) AS k0
         FROM {vals} v JOIN vpar p ON p.app_build_id = v.app_build_id WHERE p.mx > p.mn),
 vbins AS (SELECT app_build_id, k, sum(c) AS c FROM (
             SELECT app_build_id, k0 AS k, 1 - (pos - k0) AS c FROM vlb
             UNION ALL SELECT app_build_id, k0 + 1 AS k, pos - k0 AS c FROM vlb) GROUP BY 1, 2),
-vdens AS (SELECT p.app_build_id, p.mn + j.j * p.step AS y,
-                 sum(b.c * exp(-0.5 * ((j.j - b.k) * p.step / p.bw) * ((j.j - b.k) * p.step / p.bw)))
-                   / (p.n * p.bw * {math.sqrt(2 * math.pi)!r}) AS density
+vconv AS (SELECT p.app_build_id, j.j, sum(b.c / p.n * exp(-0.5 * pow((j.j - b.k) * (2 * p.len / {2 * g - 1}) / p.bw, 2)))
+                   / (p.bw * {math.sqrt(2 * math.pi)!r}) AS d
           FROM vpar p CROSS JOIN (SELECT CAST(range AS INTEGER) AS j FROM range(0, {g})) j
-          JOIN vbins b ON b.app_build_id = p.app_build_id
-          GROUP BY p.app_build_id, j.j, p.mn, p.step, p.n, p.bw
+          JOIN vbins b ON b.app_build_id = p.app_build_id GROUP BY p.app_build_id, j.j, p.bw),
+vpts AS (SELECT p.app_build_id, CASE WHEN t.t = {g - 1} THEN p.mx ELSE p.mn + t.t * ((p.mx - p.mn) / {g - 1}) END AS y,
+                p.lo, p.len FROM vpar p CROSS JOIN (SELECT range AS t FROM range(0, {g})) t WHERE p.mx > p.mn),
+vx AS (SELECT *, (y - lo) / (len / {g - 1}) AS x FROM vpts),
+vdens AS (SELECT v.app_build_id, v.y, a.d + (v.x - a.j) * (b.d - a.d) AS density
+          FROM vx v JOIN vconv a ON a.app_build_id = v.app_build_id AND a.j = least(floor(v.x), {g - 2})
+          JOIN vconv b ON b.app_build_id = v.app_build_id AND b.j = a.j + 1
           UNION ALL SELECT app_build_id, mn, 1 / (bw * {math.sqrt(2 * math.pi)!r}) FROM vpar WHERE mx = mn)"""
 
 
 def trend_sql(vals: str) -> str:
+    """The band takes Student's t by bisection: the density is integrated by Simpson's rule over
+    the angle atan(t / sqrt(v)), in which it is c cos(angle)^(v - 1)."""
+    steps = 400
+    simpson = (f"list_sum(list_transform(range(0, {steps + 1}), lambda k: (CASE WHEN k IN (0, {steps}) THEN 1 WHEN k % 2 = 1 THEN 4 "
+               f"ELSE 2 END) * pow(cos((lo + hi) / 2 * k / {steps}), v - 1))) * (lo + hi) / 2 / {steps} / 3 * c")
     return f"""
 , tv AS (SELECT CAST(date_diff('day', DATE '1970-01-01', {BUILD_DATE}) AS DOUBLE) AS x, value FROM {vals}),
-fit AS (SELECT regr_slope(value, x) AS slope, regr_intercept(value, x) AS intercept, regr_r2(value, x) AS r2,
-               CAST(regr_count(value, x) AS BIGINT) AS n, regr_sxx(value, x) AS sxx, regr_syy(value, x) AS syy,
-               regr_avgx(value, x) AS avgx FROM tv)
+fit AS (SELECT regr_slope(value, x - m) AS slope, regr_intercept(value, x - m) - regr_slope(value, x - m) * first(m) AS intercept,
+               regr_r2(value, x - m) AS r2, CAST(regr_count(value, x) AS BIGINT) AS n, regr_sxx(value, x - m) AS sxx,
+               regr_syy(value, x) AS syy, first(m) AS avgx FROM tv CROSS JOIN (SELECT avg(x) AS m FROM tv)),
+bis AS (SELECT 0 AS i, CAST(n - 2 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS lo, least(atan(700 / sqrt(n - 2)), pi() / 2) AS hi,
+               exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()) AS c FROM fit
+        UNION ALL
+        SELECT i + 1, v, CASE WHEN {simpson} < 0.475 THEN (lo + hi) / 2 ELSE lo END,
+               CASE WHEN {simpson} < 0.475 THEN hi ELSE (lo + hi) / 2 END, c FROM bis WHERE i < 60),
+tq AS (SELECT sqrt(v) * tan(lo) AS t FROM bis WHERE i = 60)
 SELECT x, {R('slope', 'slope')}, {R('intercept', 'intercept')}, {R('r2', 'r2')}, n,
        {R('intercept + slope * x', 'fit')},
-       {R(f'intercept + slope * x - {Z95!r} * sqrt(syy * (1 - r2) / (n - 2) * (1.0 / n + pow(x - avgx, 2) / sxx))', 'lower')},
-       {R(f'intercept + slope * x + {Z95!r} * sqrt(syy * (1 - r2) / (n - 2) * (1.0 / n + pow(x - avgx, 2) / sxx))', 'upper')}
-FROM (SELECT DISTINCT x FROM tv) CROSS JOIN fit"""
+       {R('intercept + slope * x - t * sqrt(syy * (1 - r2) / (n - 2) * (1.0 / n + pow(x - avgx, 2) / sxx))', 'lower')},
+       {R('intercept + slope * x + t * sqrt(syy * (1 - r2) / (n - 2) * (1.0 / n + pow(x - avgx, 2) / sxx))', 'upper')}
+FROM (SELECT DISTINCT x FROM tv) CROSS JOIN fit CROSS JOIN tq"""
 
 
 def lineitem_ctes() -> str:
@@ -226,7 +242,7 @@ WHERE v.value < q.lower - {float(BOX_COEF)!r} * (q.upper - q.lower) OR v.value >
 vl AS (SELECT *, coalesce(lag(cd) OVER (PARTITION BY app_build_id ORDER BY y), 0) AS pcd, coalesce(lag(y) OVER (PARTITION BY app_build_id ORDER BY y), y) AS py FROM vc)
 SELECT app_build_id, q, {R('py + (q - pcd) * (y - py) / (cd - pcd)', 'y')}
 FROM vl CROSS JOIN (SELECT * FROM (VALUES (0.25), (0.5), (0.75)) t(q)) qs WHERE pcd < q AND cd >= q""",
-    "means_trend": base().rstrip() + trend_sql(means_values()),
+    "means_trend": base().replace("WITH", "WITH RECURSIVE", 1).rstrip() + trend_sql(means_values()),
     "alerts_by_build": base() + "SELECT app_build_id, count(*) AS num_flagged, string_agg(probe, ',' ORDER BY probe) AS flagged_probes FROM relds_q WHERE relds_95 >= 0.1 GROUP BY 1",
     "latest_relds": hist_base() + f"SELECT {RELDS_COLS}, creation_date FROM {latest('h_relds', 'app_build_id, probe')}",
     "latest_means": hist_base() + f"SELECT {MEANS_COLS}, creation_date, strftime({BUILD_DATE}, '%Y-%m-%d') AS date FROM {latest('h_means', 'app_build_id')}",
