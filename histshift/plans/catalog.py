@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histshift.config import RunConfig
+from histshift.config import CLIENT_MEAN_QUANTILES, RunConfig
 from histshift.functions.dates import build_date, build_day, window_predicate
 from histshift.functions.histograms import merge_hist_maps
-from histshift.functions.naming import quantile_names
+from histshift.functions.naming import percent_names, quantile_names
 from histshift.operators import bootstrap as bs
 from histshift.operators import profiles as pr
+from histshift.operators import ranks
 from histshift.operators import relds as rd
 from histshift.operators import snapshots as sn
 from histshift.plans import views as vw
@@ -498,6 +499,27 @@ def q_published_after_failure(spark, sf):
     return out(read_live(Store(spark, path).current(), "client_means"))
 
 
+def published_means(spark, sf):
+    """A store with the client means of one run and their rank index."""
+    store = Store(spark, fresh_path(spark, "means"))
+    return publish_run(store, {"client_means": run_outputs(run(spark, sf), FINAL)["client_means"]}, FINAL)
+
+
+def q_rank_quantiles(spark, sf):
+    """A8 from the rank index: every build."""
+    return out(ranks.group_quantiles(published_means(spark, sf), PROBE, CLIENT_MEAN_QUANTILES, percent_names(CLIENT_MEAN_QUANTILES)))
+
+
+def q_rank_box(spark, sf):
+    """A12 from the rank index."""
+    return out(ranks.box_stats(published_means(spark, sf), MEANS_PROBE))
+
+
+def q_rank_outliers(spark, sf):
+    """A12's outliers from the rank index."""
+    return out(ranks.box_outliers(published_means(spark, sf), MEANS_PROBE))
+
+
 # ---------------------------------------------------------------- functions
 def q_client_means(spark, sf):
     return out(means_table(spark, sf))

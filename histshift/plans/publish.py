@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from histshift.config import RunConfig
 from histshift.functions.dates import build_date
+from histshift.operators import ranks
 from histshift.operators import snapshots as sn
 from histshift.plans.comparison import run_comparison
 from histshift.plans.daily_job import materialize, run_outputs
@@ -73,7 +74,7 @@ def stage_fold(store: Store, version: Version, run_date: dt.date, tables: dict[s
         frames = [version.read(runs, [_key(run_date, b) for b in newer] + anew)]
         if newer:
             frames.append(version.read(f"live/{name}", newer).drop(*t.derived))
-        rows = t.finish(sn.latest_wins(sn.union_strict(frames), t.keys))
+        rows = t.finish(sn.latest_wins(sn.union_loose(frames), t.keys))
         c = store.stage(f"live/{name}", rows)
         parts = {b: x | {"newest": max(k.split("/", 1)[0] for k in held[b]), "runs": [k.split("/", 1)[0] for k in held[b]]}
                  for b, x in c.parts.items()}
@@ -81,13 +82,27 @@ def stage_fold(store: Store, version: Version, run_date: dt.date, tables: dict[s
     return changes
 
 
+def stage_ranks(store: Store, base: Version, folded: dict[str, Change]) -> dict[str, Change]:
+    """The rank index of the live client means that a fold has made anew."""
+    change = folded["live/client_means"]
+    means = base.applied(folded).read("live/client_means", change.parts)
+    probes = [f.name for f in means.schema if f.dataType.typeName() == "double"]
+    return {name: replace(c, gone=frozenset(set(base.parts(name)) & (set(change.gone) | set(change.parts)) - set(c.parts)))
+            for name, c in ranks.stage_index(store, means, probes).items()}
+
+
 def publish_run(store: Store, outputs: dict[str, DataFrame], run_date: dt.date, by_probe: bool = False) -> Version:
-    """The outputs of a run (all four, or some) and the live snapshots folded from them, visible together."""
-    base = store.current()
-    changes = stage_run(store, base, outputs, run_date)
-    tables = {n: t for n, t in live_tables(by_probe).items() if t.source in outputs}
-    changes |= stage_fold(store, base.applied(changes), run_date, tables)
-    return store.commit(base, changes)
+    """The outputs of a run (all four, or some), the live snapshots folded from them and the rank
+    index of the client means, visible together."""
+    with job_folder(store.spark, "publish"):
+        base = store.current()
+        changes = stage_run(store, base, outputs, run_date)
+        tables = {n: t for n, t in live_tables(by_probe).items() if t.source in outputs}
+        folded = stage_fold(store, base.applied(changes), run_date, tables)
+        changes |= folded
+        if "client_means" in tables:
+            changes |= stage_ranks(store, base, folded)
+        return store.commit(base, changes)
 
 
 def published_daily_job(spark: SparkSession, pings: DataFrame, cfg: RunConfig, root: str) -> Version:

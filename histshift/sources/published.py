@@ -32,6 +32,16 @@ class CommitConflict(RuntimeError):
     """Another writer has committed since the version that the changes build on."""
 
 
+def merged_schema(table: str, old: dict, new: dict) -> dict:
+    """Columns of both, by name: a column that a part lacks is NULL there (U2); one whose type
+    changes is an error."""
+    fields = {f["name"]: f | {"nullable": True} for f in old["fields"]}
+    for f in new["fields"]:
+        if fields.setdefault(f["name"], f | {"nullable": True})["type"] != f["type"]:
+            raise ValueError(f"{table}.{f['name']}: parts that stay have another type")
+    return old | {"fields": list(fields.values())}
+
+
 @dataclass(frozen=True)
 class Version:
     """One commit: for each table its schema and its parts (key -> {"path": …, further facts})."""
@@ -63,11 +73,9 @@ class Version:
         tables = dict(self.tables)
         for name, c in changes.items():
             old = tables.get(name, {"parts": {}})
-            if c.schema is not None and old.get("schema", c.schema) != c.schema and \
-                    set(old["parts"]) - set(c.parts) - set(c.gone):
-                raise ValueError(f"{name}: parts that stay have another schema")
-            parts = {k: v for k, v in old["parts"].items() if k not in c.gone} | c.parts
-            tables[name] = {"schema": c.schema or old.get("schema"), "parts": parts}
+            kept = {k: v for k, v in old["parts"].items() if k not in c.gone and k not in c.parts}
+            schema = merged_schema(name, old["schema"], c.schema) if kept else c.schema
+            tables[name] = {"schema": schema, "parts": kept | c.parts}
         return replace(self, tables=tables, meta=self.meta | (meta or {}))
 
 
@@ -75,7 +83,7 @@ class Version:
 class Change:
     """Parts of one table that are new or replaced, and keys that go."""
 
-    schema: dict | None
+    schema: dict
     parts: dict[str, dict]
     gone: frozenset[str] = frozenset()
 
@@ -114,14 +122,18 @@ class Store:
                 return v
         return Version(self.spark, self.root)
 
-    def stage(self, table: str, df: DataFrame, by: str = "app_build_id", prefix: str = "", **facts) -> Change:
+    def stage(self, table: str, df: DataFrame, by: str = "app_build_id", prefix: str = "", sort=(),
+              options: dict | None = None, **facts) -> Change:
         """Write ``df`` as new parts of ``table``, one per value of ``by``, in one job; nothing
-        sees them before a commit. Small parts share a task, a large one is split by size."""
+        sees them before a commit. Small parts share a task, a large one is split by size; rows of
+        a file are in the order of ``sort``."""
         rel = f"data/{table}/{uuid.uuid4().hex}"
         out = df.withColumn(PART, F.col(by).cast("string"))
         if self.spark.conf.get("spark.sql.adaptive.enabled", "true") == "true":
             out = out.hint("rebalance", PART)
-        out.write.partitionBy(PART).parquet(f"{self.root}/{rel}")
+        if sort:
+            out = out.sortWithinPartitions(PART, *sort)
+        out.write.options(**(options or {})).partitionBy(PART).parquet(f"{self.root}/{rel}")
         fs, p = hadoop_path(self.spark, f"{self.root}/{rel}")
         names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
         return Change(df.schema.jsonValue(), {prefix + unquote(n.partition("=")[2]): {"path": f"{rel}/{n}", **facts}

@@ -264,6 +264,9 @@ FROM vl CROSS JOIN (SELECT * FROM (VALUES (0.25), (0.5), (0.75)) t(q)) qs WHERE
         WHERE EXISTS (SELECT 1 FROM hists o WHERE o.app_build_id = c.control_build AND o.probe = n.probe)) GROUP BY 1, 2, 3""",
     "hist_json_export": base() + "SELECT app_build_id, probe, metric, ROUND(measure, 6) AS measure FROM hists",
     "read_pings": base() + "SELECT * FROM cbp",
+    "rank_quantiles": base() + f"SELECT app_build_id, count(*) AS num_clients, " + ", ".join(
+        R(f"quantile_cont({C.PROBE}, {q!r})", n) for q, n in zip(CLIENT_MEAN_QUANTILES, percent_names(CLIENT_MEAN_QUANTILES)))
+        + " FROM means GROUP BY 1",
     "pruned_pings": base() + "SELECT * FROM cbp",
     "incremental_run": base() + f"SELECT {RELDS_COLS} FROM relds_q",
     "live_folded": hist_base([C.FINAL + dt.timedelta(days=k) for k in range(10)]) + f"SELECT {RELDS_COLS}, creation_date FROM {latest('h_relds', 'app_build_id, probe')}",
@@ -279,3 +282,4 @@ FROM vl CROSS JOIN (SELECT * FROM (VALUES (0.25), (0.5), (0.75)) t(q)) qs WHERE
     "ridge_series": base() + f"SELECT app_build_id, metric, {R('measure', 'measure')}, {R('cum_sum', 'cum_sum')} FROM {cdf(HIST1)} WHERE app_build_id IN ({IN_BUILDS}) AND probe = {lit(C.PROBE)}",
     "cdf_series": base() + f"SELECT app_build_id, metric, {R('cum_sum', 'cum_sum')} FROM {cdf(HIST1)} WHERE app_build_id IN ({IN_BUILDS}) AND probe = {lit(C.PROBE)}",
 }
+ORACLE |= {"rank_box": ORACLE["box_stats"], "rank_outliers": ORACLE["box_outliers"]}
