@@ -31,6 +31,7 @@ import heapq
 import math
 import re
 import zlib
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -48,7 +49,7 @@ UNKNOWN = 10.0
 #: a single space so scored counts as the least scored piece.
 NO_SCORE = -1e8
 SPACE = "▁"
-CACHE, CACHED_CHARS = 300_000, 48
+CACHE, CACHED_CHARS = 600_000, 48
 LONG = 512
 #: Texts whose new words are prepared together.
 TOGETHER = 200
@@ -57,6 +58,13 @@ _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 Segmentation = tuple[float, tuple[int, ...]]
 
 
+@cache
+def lattice_of(model: str) -> "Lattice":
+    """The lattice of a vocabulary, one for the life of a Python worker: its tables are made, and
+    words met before are known, for all tasks that the worker runs."""
+    return Lattice(model)
+
+
 class Lattice:
     """The vocabulary: pieces with ids and scores, and the byte pieces."""
 
@@ -77,13 +85,18 @@ class Lattice:
         self.unknown = min((s for _, s in usable.values()), default=0.0) - UNKNOWN
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in usable)
         self.pairs = {p[i:i + 2] for p in usable for i in range(len(p) - 1)}
+        self.pair_keys = np.sort(np.array([_pair(ord(p[0]), ord(p[1])) for p in self.pairs], np.uint64))
+        literal = (self.unknown, _packed([self.byte[b] for b in SPACE.encode()]), math.inf)
         self.tables = [self._table(k) for k in range(1, max(map(len, usable), default=1) + 1)]
         self.spelling = [t.replace(SPACE, " ").encode() for t in self.text]
         for b, i in self.byte.items():
             self.spelling[i] = bytes([b])
         self.width = np.array([len(x) for x in self.spelling])
-        self.best: dict[str, tuple[float, tuple[int, ...], float]] = {}
-        self.best_parts: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        #: Of known words, and of a literal U+2581 (None): best score, its ids as little-endian
+        #: 32-bit numbers, loss of the second best.
+        self.best: dict[str | None, tuple[float, bytes, float]] = {None: literal}
+        self.best_parts: dict[str, tuple[float, bytes, float]] = {}
+        self.passing: list[tuple[str, list[str] | None]] = []
         self.words: dict[tuple[str, int], list[Segmentation]] = {}
         self.parts: dict[tuple[str, int], list[Segmentation]] = {}
 
@@ -137,7 +150,7 @@ class Lattice:
         return (h[order], np.array([ids[0] for ids, _ in hits], np.int64)[order],
                 np.array([score for _, score in hits])[order])
 
-    def viterbi(self, texts: list[str]) -> list[tuple[float, tuple[int, ...], float]]:
+    def viterbi(self, texts: list[str]) -> list[tuple[float, bytes, float]]:
         """(best score, its ids, loss of the second best or inf) of each non-empty text."""
         size = np.array([len(t) for t in texts])
         first = np.r_[0, np.cumsum(size)]
@@ -194,48 +207,80 @@ class Lattice:
         path = np.flatnonzero(on_path)
         path = path[np.argsort(start[path], kind="stable")]
         counts = np.cumsum(np.bincount(whose[path], minlength=len(texts))).tolist()
-        spelt, out, lo = ids[path].tolist(), [], 0
-        odd = ids.min() < 0
-        for t, l2, hi in zip(total.tolist(), (total - second).tolist(), counts):
-            found = spelt[lo:hi]
-            if odd and min(found) < 0:
-                found = list(chain.from_iterable([i] if i >= 0 else [self.byte[c] for c in chr(-1 - i).encode()] for i in found))
-            out.append((t, tuple(found), l2))
+        taken, out, lo = ids[path], [], 0
+        spelt = taken.astype("<u4").tobytes()
+        odd = set(np.flatnonzero(np.bincount(whose[path[taken < 0]], minlength=len(texts))).tolist()) if taken.min() < 0 else ()
+        for k, (t, l2, hi) in enumerate(zip(total.tolist(), (total - second).tolist(), counts)):
+            if k in odd:
+                found = _packed(chain.from_iterable([i] if i >= 0 else [self.byte[c] for c in chr(-1 - i).encode()]
+                                                    for i in taken[lo:hi].tolist()))
+            else:
+                found = spelt[4 * lo:4 * hi]
+            out.append((t, found, l2))
             lo = hi
         return out
 
     def prepare(self, words: set[str]) -> None:
-        """Best segmentations of new words, by one pass over all their new parts."""
-        new = [w for w in words if w not in self.best]
-        if len(self.best) > CACHE:
-            self.best.clear()
-            new = list(words)
-        if len(self.best_parts) > CACHE:
-            self.best_parts.clear()
-        split = [self.parts_in(w) for w in new]
-        missing = list({p for ps in split for p in ps}.difference(self.best_parts))
-        short = [p for p in missing if len(p) <= LONG]
-        if short:
-            self.best_parts.update(zip(short, self.viterbi(short)))
-        for p in missing:
-            if len(p) > LONG:       # one by one: waves over few long parts would be narrow
-                top = self.n_best(p, 2)
-                self.best_parts[p] = (*top[0], top[0][0] - top[1][0] if len(top) > 1 else math.inf)
-        known = self.best_parts
+        """Best segmentations of new words, by one pass over all that is new in them: words of one
+        part, and the new parts of the others."""
+        best, known = self.best, self.best_parts
+        if len(best) > CACHE:
+            literal = best[None]
+            best.clear()
+            best[None] = literal
+        if len(known) > CACHE:
+            known.clear()
+        new = list(words.difference(best))
+        split = self.split(new)
+        whole = [w for w, ps in zip(new, split) if ps is None]
+        missing = list({p for ps in split if ps is not None for p in ps}.difference(known))
+        names = whole + missing
+        sizes = list(map(len, names))
+        if sizes and max(sizes) > LONG:     # one by one: waves over few long parts would be narrow
+            short = [p for p, n in zip(names, sizes) if n <= LONG]
+            at = dict(zip(short, self.viterbi(short))) if short else {}
+            for p, n in zip(names, sizes):
+                if n > LONG:
+                    top = self.n_best(p, 2)
+                    at[p] = (top[0][0], _packed(top[0][1]), top[0][0] - top[1][0] if len(top) > 1 else math.inf)
+            found = [at[p] for p in names]
+        else:
+            found = self.viterbi(names) if names else []
+        best.update(zip(whole, found))
+        known.update(zip(missing, found[len(whole):]))
         for w, ps in zip(new, split):
-            if len(ps) == 1:
-                self.best[w] = known[ps[0]]
-            else:
-                found = [known[p] for p in ps]
-                self.best[w] = (sum([f[0] for f in found]), tuple(chain.from_iterable([f[1] for f in found])),
-                                min([f[2] for f in found]))
-
-    def forget_long(self, words: set[str]) -> None:
-        for w in words:
-            if len(w) > CACHED_CHARS:
-                self.best.pop(w, None)
-                for p in self.parts_in(w):
-                    self.best_parts.pop(p, None)
+            if ps is not None:
+                score, ids, loss = zip(*[known[p] for p in ps])
+                best[w] = (sum(score), b"".join(ids), min(loss))
+        self.passing = [(w, ps) for w, ps in zip(new, split) if len(w) > CACHED_CHARS]
+
+    def forget_long(self) -> None:
+        """Drop the long ones of the words prepared last, and their parts."""
+        for w, ps in self.passing:
+            self.best.pop(w, None)
+            for p in ps or ():
+                self.best_parts.pop(p, None)
+        self.passing = []
+
+    def split(self, words: list[str]) -> list[list[str] | None]:
+        """``parts_in`` of many words, None for those of one part; pairs are looked up all at once."""
+        out: list[list[str] | None] = [None] * len(words)
+        ends = np.cumsum([len(w) for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        if len(chars) < 2:
+            return out
+        keys = _pair(chars[:-1], chars[1:])
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        cut = self.pair_keys[at] != keys if len(self.pair_keys) else np.ones(len(keys), bool)
+        cut[ends[:-1] - 1] = False
+        places = np.flatnonzero(cut) + 1
+        whose = np.searchsorted(ends, places, side="right")
+        begin = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]]) if len(whose) else whose
+        local = (places - np.r_[0, ends][whose]).tolist()
+        for k, lo, hi in zip(whose[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(places)]):
+            w, cuts = words[k], local[lo:hi]
+            out[k] = [w[a:b] for a, b in zip([0, *cuts], [*cuts, len(w)])]
+        return out
 
     def parts_in(self, word: str) -> list[str]:
         """The word cut wherever two neighbours stand side by side in no piece."""
@@ -300,29 +345,28 @@ def parts_of(text: str, lattice: Lattice) -> list[str | None]:
 
 
 def choices_of(names: list[str | None], lattice: Lattice, n: int
-               ) -> tuple[list[tuple[int, ...]], list[tuple[float, dict[int, tuple[int, ...]]]]]:
+               ) -> tuple[list[bytes], list[tuple[float, dict[int, bytes]]]]:
     """Of prepared parts in a row: the best ids by part, and of the ``n`` best segmentations,
     best first, the score and the ids of the parts that differ from the best, by place."""
-    literal = (lattice.unknown, tuple(lattice.byte[b] for b in SPACE.encode()), math.inf)
-    known = [literal if w is None else lattice.best[w] for w in names]
-    best, base = sum([k[0] for k in known]), [k[1] for k in known]
-    losses = [(k[2], i) for i, k in enumerate(known) if k[2] < math.inf]
-    near = sorted([i for _, i in heapq.nsmallest(n - 1, losses)])
+    if not names:
+        return [], [(0.0, {})]
+    scores, base, losses = zip(*map(lattice.best.__getitem__, names))
+    best = sum(scores)
+    order = np.argsort(np.array(losses), kind="stable")[:n - 1].tolist()
+    near = sorted([i for i in order if losses[i] < math.inf])
     choices = [lattice.word(names[i], n) for i in near]
-    return base, [(best - loss, {near[k]: choices[k][c][1] for k, c in chosen}) for loss, chosen in merge(choices, n)]
+    return list(base), [(best - loss, {near[k]: _packed(choices[k][c][1]) for k, c in chosen}) for loss, chosen in merge(choices, n)]
 
 
-def n_best_of(names: list[str | None], lattice: Lattice, n: int) -> list[tuple[float, list[tuple[int, ...]]]]:
-    """The ``n`` best (score, ids by part) of prepared parts in a row, best first."""
+def n_best_of(names: list[str | None], lattice: Lattice, n: int) -> list[Segmentation]:
+    """The ``n`` best (score, ids) of prepared parts in a row, best first."""
     base, found = choices_of(names, lattice, n)
     out = []
     for score, other in found:
-        ids = base
-        if other:
-            ids = list(base)
-            for k, part in other.items():
-                ids[k] = part
-        out.append((score, ids))
+        ids = list(base)
+        for k, part in other.items():
+            ids[k] = part
+        out.append((score, tuple(np.frombuffer(b"".join(ids), "<u4").tolist())))
     return out
 
 
@@ -331,8 +375,8 @@ def encode(text: str, lattice: Lattice, n: int = N_BEST) -> list[Segmentation]:
     names = parts_of(text, lattice)
     words = {w for w in names if w is not None}
     lattice.prepare(words)
-    out = [(score, tuple(chain.from_iterable(ids))) for score, ids in n_best_of(names, lattice, n)]
-    lattice.forget_long(words)
+    out = n_best_of(names, lattice, n)
+    lattice.forget_long()
     return out
 
 
@@ -362,6 +406,15 @@ def decode(ids: tuple[int, ...] | list[int], lattice: Lattice) -> str:
     return b"".join([lattice.spelling[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
+def _packed(ids) -> bytes:
+    return np.fromiter(ids, "<u4").tobytes()
+
+
+def _pair(a, b):
+    """Two characters as one number."""
+    return (a << 21) | b if isinstance(a, int) else (a << np.uint64(21)) | b
+
+
 def _roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return mix(h * np.uint64(0x9E3779B97F4A7C15) + c + np.uint64(1))
 
@@ -382,11 +435,10 @@ def _encoded(batch: pa.RecordBatch, lattice: Lattice, n: int, found=n_best_of):
     ids = batch.column("doc_id").to_pylist()
     for lo in range(0, len(names), TOGETHER):
         part = slice(lo, lo + TOGETHER)
-        words = {w for ws in names[part] for w in ws if w is not None}
-        lattice.prepare(words)
+        lattice.prepare(set().union(*names[part]))
         for doc, text, ws in zip(ids[part], texts[part], names[part]):
             yield doc, text, found(ws, lattice, n)
-        lattice.forget_long(words)
+        lattice.forget_long()
 
 
 _ENCODED = "doc_id long, rank int, score double, ids array<int>"
@@ -395,16 +447,16 @@ _ENCODED = "doc_id long, rank int, score double, ids array<int>"
 def encode_texts(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataFrame:
     """(doc_id, rank, score, ids), up to ``n`` rows per row of ``docs``, rank 1 the best."""
     def run(batches):
-        lattice = Lattice(model)
+        lattice = lattice_of(model)
         for b in batches:
-            rows = [(doc, rank, score, list(chain.from_iterable(ids))) for doc, _, found in _encoded(b, lattice, n)
+            rows = [(doc, rank, score, list(ids)) for doc, _, found in _encoded(b, lattice, n)
                     for rank, (score, ids) in enumerate(found, 1)]
             kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int32()))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "rank", "score", "ids"])
     return text_bytes(docs, "doc_id").mapInArrow(run, _ENCODED)
 
 
-def digests(base: list[tuple[int, ...]], found: list[tuple[float, dict[int, tuple[int, ...]]]], text: bytes,
+def digests(base: list[bytes], found: list[tuple[float, dict[int, bytes]]], text: bytes,
             lattice: Lattice) -> list[tuple[int, int, bool]]:
     """(n_pieces, ids_crc32, whether it decodes to ``text``) of each segmentation of ``choices_of``.
 
@@ -412,13 +464,14 @@ def digests(base: list[tuple[int, ...]], found: list[tuple[float, dict[int, tupl
     its bytes and the parts that differ, and digested and compared whole.
     """
     spell, want = lattice.spelling, b" " + text if text else b""
-    best = np.fromiter(chain.from_iterable(base), "<u4")
-    ids, spelt = best.tobytes(), b"".join(map(spell.__getitem__, best.tolist()))
+    ids = b"".join(base)
+    best = np.frombuffer(ids, "<u4")
+    spelt = b"".join(map(spell.__getitem__, best.tolist()))
     bounds = {}     # of the parts that differ: from and to which piece and byte of the best
     piece = byte = last = 0
     for k in sorted({k for _, other in found for k in other}):
-        start = piece + sum(map(len, base[last:k]))
-        end = start + len(base[k])
+        start = piece + sum(map(len, base[last:k])) // 4
+        end = start + len(base[k]) // 4
         left = byte + int(lattice.width[best[piece:start]].sum())
         byte = left + int(lattice.width[best[start:end]].sum())
         bounds[k] = (start, end, left, byte)
@@ -428,8 +481,8 @@ def digests(base: list[tuple[int, ...]], found: list[tuple[float, dict[int, tupl
         codes, texts, piece, byte = [], [], 0, 0
         for k in sorted(other):
             start, end, left, right = bounds[k]
-            codes += [ids[4 * piece:4 * start], np.array(other[k], "<u4").tobytes()]
-            texts += [spelt[byte:left], *map(spell.__getitem__, other[k])]
+            codes += [ids[4 * piece:4 * start], other[k]]
+            texts += [spelt[byte:left], *map(spell.__getitem__, np.frombuffer(other[k], "<u4").tolist())]
             piece, byte = end, right
         whole = b"".join([*codes, ids[4 * piece:]])
         out.append((len(whole) // 4, zlib.crc32(whole), b"".join([*texts, spelt[byte:]]) == want))
@@ -441,7 +494,7 @@ def encode_digest(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataF
     the best segmentation, whether each of the n best decodes to the text (``ok``), and, as
     arrays over the ranks, scores, rank_pieces, rank_crc32 and rank_ok."""
     def run(batches):
-        lattice = Lattice(model)
+        lattice = lattice_of(model)
         for b in batches:
             rows = []
             for doc, text, (base, found) in _encoded(b, lattice, n, choices_of):
