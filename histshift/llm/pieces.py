@@ -51,8 +51,8 @@ NO_SCORE = -1e8
 SPACE = "▁"
 CACHE, CACHED_CHARS = 600_000, 48
 LONG = 512
-#: Texts whose new words are prepared together.
-TOGETHER = 200
+#: Texts whose new words are prepared together, and the most characters of one forward pass.
+TOGETHER, PASS = 200, 1 << 24
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 Segmentation = tuple[float, tuple[int, ...]]
@@ -85,7 +85,7 @@ class Lattice:
         self.unknown = min((s for _, s in usable.values()), default=0.0) - UNKNOWN
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in usable)
         self.pairs = {p[i:i + 2] for p in usable for i in range(len(p) - 1)}
-        self.pair_keys = np.sort(np.array([_pair(ord(p[0]), ord(p[1])) for p in self.pairs], np.uint64))
+        self.pair_keys = Hashes(mix(_pair(*np.array([[ord(p[0]), ord(p[1])] for p in self.pairs] or [[0, 0]], np.uint64).T)))
         literal = (self.unknown, _packed([self.byte[b] for b in SPACE.encode()]), math.inf)
         self.tables = [self._table(k) for k in range(1, max(map(len, usable), default=1) + 1)]
         self.spelling = [t.replace(SPACE, " ").encode() for t in self.text]
@@ -139,21 +139,25 @@ class Lattice:
                 break
         return out
 
-    def _table(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, id or -1, score) of all beginnings of pieces of one length, by hash."""
+    def _table(self, length: int) -> tuple["Hashes", np.ndarray, np.ndarray]:
+        """(hashes, id or -1, score) of all beginnings of pieces of one length, by hash."""
         texts = [t for t in self.prefixes if len(t) == length]
         h = np.zeros(len(texts), np.uint64)
         for k in range(length):
             h = _roll(h, np.array([ord(t[k]) for t in texts], np.uint64))
-        order = np.argsort(h)
+        known = Hashes(h)
         hits = [self.prefixes[t] or ((-1,), 0.0) for t in texts]
-        return (h[order], np.array([ids[0] for ids, _ in hits], np.int64)[order],
-                np.array([score for _, score in hits])[order])
+        # one more for what is not found
+        return (known, np.r_[np.array([ids[0] for ids, _ in hits], np.int64)[known.order], -1],
+                np.r_[np.array([score for _, score in hits])[known.order], 0.0])
 
     def viterbi(self, texts: list[str]) -> list[tuple[float, bytes, float]]:
         """(best score, its ids, loss of the second best or inf) of each non-empty text."""
         size = np.array([len(t) for t in texts])
         first = np.r_[0, np.cumsum(size)]
+        if first[-1] > PASS and len(texts) > 1:
+            half = min(max(1, int(np.searchsorted(first, first[-1] // 2))), len(texts) - 1)
+            return self.viterbi(texts[:half]) + self.viterbi(texts[half:])
         chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
         row = np.repeat(np.arange(len(texts)), size)
         stop = first[1:][row]
@@ -161,8 +165,7 @@ class Lattice:
         at, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
         for length, (table, ids, scores) in enumerate(self.tables, 1):
             h = _roll(h, chars[at + length - 1])
-            k = np.minimum(np.searchsorted(table, h), len(table) - 1)
-            ok = table[k] == h
+            k, ok = table.find(h)
             piece = ok & (ids[k] >= 0)
             edges.append((at[piece], at[piece] + length, ids[k[piece]], scores[k[piece]]))
             if length == 1:     # characters in no piece of their own; ids -1 - character for now
@@ -269,9 +272,7 @@ class Lattice:
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
         if len(chars) < 2:
             return out
-        keys = _pair(chars[:-1], chars[1:])
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        cut = self.pair_keys[at] != keys if len(self.pair_keys) else np.ones(len(keys), bool)
+        cut = ~self.pair_keys.find(mix(_pair(chars[:-1], chars[1:])))[1]
         cut[ends[:-1] - 1] = False
         places = np.flatnonzero(cut) + 1
         whose = np.searchsorted(ends, places, side="right")
@@ -410,9 +411,31 @@ def _packed(ids) -> bytes:
     return np.fromiter(ids, "<u4").tobytes()
 
 
-def _pair(a, b):
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Two characters as one number."""
-    return (a << 21) | b if isinstance(a, int) else (a << np.uint64(21)) | b
+    return (a << np.uint64(21)) | b
+
+
+class Hashes:
+    """Sorted 64-bit hashes, found by their upper bits: about one hash begins with each."""
+
+    def __init__(self, h: np.ndarray):
+        self.order = np.argsort(h)
+        bits = max(1, int(len(h)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.sorted = np.r_[h[self.order], np.uint64(2 ** 64 - 1)]
+        self.first = np.searchsorted(self.sorted[:-1] >> self.shift, np.arange(1 << bits, dtype=np.uint64))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the sorted hashes, whether it is there) of each of ``h``."""
+        at = self.first[(h >> self.shift).astype(np.int64)]
+        met = self.sorted[at]
+        todo = np.flatnonzero(met < h)
+        while len(todo):
+            at[todo] += 1
+            met[todo] = self.sorted[at[todo]]
+            todo = todo[met[todo] < h[todo]]
+        return at, (met == h) & (at < len(self.sorted) - 1)
 
 
 def _roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -422,7 +445,7 @@ def _roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
 def _waves(place: np.ndarray, by: tuple[np.ndarray, np.ndarray]):
     """Edges ordered by place, then by node, with the bounds of each place: all edges of one
     place can be taken at once, when those of smaller places have been."""
-    order = np.lexsort((by[0], by[1], place))
+    order = np.argsort((place << 50) | (by[1] << 25) | by[0])      # no two edges share both nodes
     edge = np.flatnonzero(np.r_[True, place[order[1:]] != place[order[:-1]], True]).tolist()
     yield order, list(zip(edge[:-1], edge[1:]))
 

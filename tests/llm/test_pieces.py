@@ -88,3 +88,21 @@ def test_digest_covers_every_rank(spark, lattice):
     base, found = P.choices_of(names, lattice, 4)
     wrong = [(s, {k: ids + ids[-4:] for k, ids in other.items()}) for s, other in found]     # spells a letter twice
     assert [ok for _, _, ok in P.digests(base, wrong, b"one two", lattice)] == [True] + [False] * 3
+
+
+def test_forward_passes_of_bounded_size_agree(lattice, monkeypatch):
+    texts = [f"\u2581word{k}{chr(0x4e00 + k)}" * (1 + k % 5) for k in range(60)]
+    want = lattice.viterbi(texts)
+    monkeypatch.setattr(P, "PASS", 50)
+    assert lattice.viterbi(texts) == want
+
+
+def test_hashes_are_found_by_their_upper_bits():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 1000):
+        h = np.r_[rng.integers(0, 2 ** 63, n, dtype=np.uint64), np.uint64(2 ** 64 - 1)][-n:]
+        table = P.Hashes(h)
+        at, found = table.find(h)
+        assert found.all() and (table.sorted[at] == h).all() and (h[table.order] == table.sorted[:-1]).all()
+        other = rng.integers(0, 2 ** 64, 2000, dtype=np.uint64)
+        assert table.find(np.r_[other, np.uint64(0)])[1].tolist() == np.isin(np.r_[other, np.uint64(0)], h).tolist()
