@@ -124,17 +124,16 @@ r AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id) AS rank
   FROM i q JOIN i c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""", "op6_warc": f"""
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""", "op6_warc": """
 WITH p AS (
-  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
-d AS (
-  SELECT page_id, max({{'d': sha1(b), 'n': octet_length(b)}}) AS x FROM p GROUP BY page_id),
+  SELECT page_id, url, sha1(encode(coalesce(html, ''))) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT
+    AS payload_bytes FROM pages),
 r AS (
-  SELECT page_id, x.n::BIGINT AS payload_bytes, x.d AS payload_digest,
-    max(page_id) OVER (PARTITION BY x.d, x.n) AS last FROM d)
+  SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS origin FROM p
+  WINDOW w AS (PARTITION BY payload_digest, payload_bytes ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST))
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to, true AS ok FROM r""", "op11_fill_in_middle": """
+  CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND place > 1 THEN origin END AS refers_to, true AS ok FROM r""", "op11_fill_in_middle": """
 WITH h AS (
   SELECT doc_id, coalesce(text, '') AS x, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 u AS (

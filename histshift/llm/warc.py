@@ -1,6 +1,6 @@
 r"""WARC archives with segmented records (operator 6).
 
-``write_archives`` writes one record per page: a ``response`` whose block is an HTTP message
+``write_archives`` writes one record per row: a ``response`` whose block is an HTTP message
 with the payload in chunked transfer framing, or a ``revisit`` that refers to the response with
 the same payload. Blocks over ``SEGMENT`` bytes are cut into segments: the first is the
 response (segment number 1), the others are ``continuation`` records with the origin's
@@ -17,9 +17,12 @@ Of records with equal payloads of at least ``LEAST`` bytes that with the largest
 the response. Grouping is on digests; a payload shared by a third of all pages costs one
 combined maximum and join rows of a few bytes.
 
-Defined cases: a null html is an empty payload; pages with a null ``page_id`` have no identifier
-and are left out; of rows with one ``page_id`` the one with the greatest (digest, url) counts;
-a null url leaves out the target URI, and other bytes than printable ASCII in it are percent
+A record's identifier holds the ``page_id``, a digest of url and payload, and a number among equal
+rows: rows with one ``page_id``, or with none, have records of their own. Equal rows are counted
+before they are written, and more than ``COPIES`` of them are spread over tasks.
+
+Defined cases: a null html is an empty payload; a null ``page_id`` is smaller than any other, and
+so is a null url where the ``page_id`` is equal; of equal rows the first is the response; a null url leaves out the target URI, and other bytes than printable ASCII in it are percent
 encoded; an empty table gives no records; further columns are ignored. A record that fails a
 check (framing, segments, total length, digest) has ``ok`` false and keeps what could be read.
 """
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histshift.llm.common import bounded_batches, write_table
@@ -43,6 +46,7 @@ LEAST = 1000
 CHUNK = 8192
 SEGMENT = 32 * 1024
 RECORDS = 512
+COPIES = 1024
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n")
@@ -76,8 +80,9 @@ def dechunk(body: bytes) -> tuple[bytes, bool]:
         at += size + 2
 
 
-def page_uri(page_id: int) -> str:
-    return f"<urn:x-page:{page_id}>"
+def page_uri(page_id: int | None, mark: str = "0") -> str:
+    """The identifier of a row's record; ``mark`` tells the rows of one ``page_id`` apart."""
+    return f"<urn:x-page:{'null' if page_id is None else page_id}/{mark}>"
 
 
 def record(kind: str, record_id: str, block: bytes, **fields: str | None) -> bytes:
@@ -90,13 +95,13 @@ def record(kind: str, record_id: str, block: bytes, **fields: str | None) -> byt
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int | None, segment: int) -> Iterator[bytes]:
-    """The records of one page: a revisit, a response, or a response and its continuations."""
-    own = page_uri(page_id)
+def page_records(own: str, url: str | None, payload: bytes, refers_to: str | None, segment: int) -> Iterator[bytes]:
+    """The records of one row (identifiers as of ``page_uri``): a revisit, a response, or a response
+    and its continuations."""
     fields = {"WARC_Target_URI": None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~"),
               "WARC_Payload_Digest": "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()}
     if refers_to is not None:
-        yield record("revisit", own, _HTTP, WARC_Refers_To=page_uri(refers_to), WARC_Profile=PROFILE, **fields)
+        yield record("revisit", own, _HTTP, WARC_Refers_To=refers_to, WARC_Profile=PROFILE, **fields)
         return
     block = _HTTP + chunked(payload)
     if len(block) <= segment:
@@ -109,33 +114,53 @@ def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int |
                      WARC_Segment_Origin_ID=own, WARC_Segment_Total_Length=str(len(block)) if k == count else None)
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a larger ``page_id`` holds too."""
-    digests = (pages.groupBy("page_id").agg(F.max(F.struct("digest", "size")).alias("p"))
-               .select("page_id", "p.digest", "p.size").where(F.col("size") >= LEAST))
-    shared = (digests.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
-              .where("n > 1").drop("n"))
-    return digests.join(shared, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "refers_to")
+def uri(page_id: Column, url: Column, digest: Column, copy: Column) -> Column:
+    """``page_uri`` of a row, its mark made of url, payload digest and number among equal rows."""
+    mark = F.md5(F.concat(F.coalesce(F.concat(F.lit("u"), url), F.lit("")), F.lit(" "), digest))
+    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit("/"), mark, F.lit("."),
+                    copy.cast("string"), F.lit(">"))
+
+
+def responses(rows: DataFrame) -> DataFrame:
+    """(digest, size, refers_to) of payloads that several rows share: the identifier of the
+    response among them. ``rows``: page_id, url, digest, size, n."""
+    # the greatest (page_id, url), nulls below all else
+    greatest = F.max(F.struct(F.col("page_id").isNotNull(), "page_id", F.col("url").isNotNull(), "url")).alias("m")
+    shared = (rows.where(F.col("size") >= LEAST).groupBy("digest", "size").agg(greatest, F.sum("n").alias("n"))
+              .where("n > 1"))
+    return shared.select("digest", "size", uri(F.col("m.page_id"), F.col("m.url"), F.col("digest"), F.lit(0)).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records: int = RECORDS,
                    compression: str = "gzip") -> None:
     """Write ``pages`` (page_id, url, html) as WARC files under ``path`` (``compression``: gzip or none)."""
     html = F.coalesce("html", F.lit("")).cast("binary")
-    pages = pages.where("page_id is not null").select(
+    pages = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"),
         F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
-    once = (pages.groupBy("page_id").agg(F.max(F.struct("digest", "url", "payload")).alias("p"))
-            .select("page_id", "p.url", "p.payload"))
+    row = ["page_id", "url", "digest", "size"]
+    counted = pages.groupBy(*row).agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+    shared = write_table(responses(pages.groupBy(*row).agg(F.count("*").alias("n"))), "shared-payloads")
 
     def run(batches):
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")))
+            rows = zip(*(b.column(c).to_pylist() for c in ("own", "url", "payload", "refers_to")))
             out = [r for page in rows for r in page_records(*page, segment)]
             yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
 
+    def copies(df, first):
+        """A row per row of the table; ``first``: the number of the first of up to COPIES equal ones."""
+        last = F.least(F.col("n"), first + COPIES) - 1
+        each = df.withColumn("copy", F.explode(F.sequence(first, last)))
+        own = uri(F.col("page_id"), F.col("url"), F.col("digest"), F.col("copy"))
+        return each.select(own.alias("own"), "url", "payload", F.when(own != F.col("refers_to"), F.col("refers_to")).alias("refers_to"))
+
     bounded_batches(pages.sparkSession)
-    lines = once.join(revisits(pages), "page_id", "left").select("page_id", "url", "payload", "refers_to")
+    named = counted.join(shared, ["digest", "size"], "left")
+    few = copies(named.where(F.col("n") <= COPIES), F.lit(0).cast("long"))
+    many = named.where(F.col("n") > COPIES).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition(*row, "block")
+    lines = few.union(copies(many, F.col("block") * COPIES))
     (lines.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write
      .option("lineSep", END.decode()).option("maxRecordsPerFile", records).option("compression", compression).text(path))
 
@@ -235,22 +260,20 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_digest(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write ``pages``, read the archives back, and describe each page's payload."""
+    """Write ``pages``, read the archives back, and describe the payload of each row."""
     path = fresh_path(spark, "warc")
     write_archives(pages, path)
 
-    def page(uri):
-        return F.regexp_extract(uri, "<urn:x-page:(-?[0-9]+)>", 1).cast("long")
-
+    page = F.expr("try_cast(regexp_extract(record_id, '<urn:x-page:(-?[0-9]+)/', 1) as bigint)")
     back = read_records(spark, path).select(
-        page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.coalesce(F.sha1("payload"), "declared").alias("payload_digest"), "record_type",
-        F.when(F.col("refers_to").isNotNull(), page("refers_to")).alias("refers_to"), "ok")
+        "record_id", page.alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.coalesce(F.sha1("payload"), "declared").alias("payload_digest"), "record_type", "refers_to", "ok")
     back = write_table(back, "warc-records")
     origin = back.where("record_type = 'response'").select(
-        F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"),
+        F.col("payload_digest").alias("_digest"))
     told = back.where("record_type = 'revisit'").join(origin, "refers_to", "left").select(
-        "page_id", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", "refers_to",
-        (F.col("ok") & (F.col("_digest") == F.col("payload_digest"))).alias("ok"))
-    return back.where("record_type = 'response'").unionByName(told).select(
+        "page_id", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type",
+        F.col("_page").alias("refers_to"), F.coalesce(F.col("ok") & (F.col("_digest") == F.col("payload_digest")), F.lit(False)).alias("ok"))
+    return back.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(told, allowMissingColumns=True).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "ok")

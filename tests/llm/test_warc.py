@@ -19,30 +19,58 @@ def pages(spark):
     return spark.createDataFrame([(*r, "extra") for r in rows], SCHEMA)
 
 
+def brute(rows):
+    """(page_id, bytes, digest, type, refers_to) of every row."""
+    by_payload = {}
+    for page, url, html, *_ in rows:
+        by_payload.setdefault((html or "").encode(), []).append((page is not None, page, url is not None, url))
+    out = []
+    for body, group in by_payload.items():
+        group.sort(key=lambda g: (g[0], g[1] or 0, g[2], g[3] or ""), reverse=True)
+        for k, (_, page, _, _) in enumerate(group):
+            again = len(body) >= 1000 and k > 0
+            out.append((page, len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", group[0][1] if again else None, True))
+    return sorted(out, key=repr)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
 def test_round_trip_of_edge_rows(spark):
     df = pages(spark)
-    html = {r.page_id: (r.html or "").encode() for r in df.collect() if r.page_id is not None}
-    got = {r.page_id: r for r in R.archive_digest(spark, df).collect()}
-    assert got.keys() == html.keys() and all(r.ok for r in got.values())
-    refers = {1: 12, 2: 12, 7: 9}
-    for i, r in got.items():
-        assert (r.payload_bytes, r.payload_digest) == (len(html[i]), hashlib.sha1(html[i]).hexdigest())
-        assert (r.record_type, r.refers_to) == (("revisit", refers[i]) if i in refers else ("response", None))
+    assert rows_of(R.archive_digest(spark, df)) == brute([tuple(r) for r in df.collect()])
+
+
+def test_repeated_and_null_ids_have_records_of_their_own(spark, monkeypatch):
+    big = "y" * 1500
+    rows = [(1, "u", big), (1, "v", big), (1, None, "z" * 2000), (1, "u", "small"), (None, "u", big), (None, None, "z" * 2000),
+            (None, None, "q" * 1000), (None, "n", "q" * 1000), (2, "u", "p" * 1000)] + [(7, "c", "w" * 1200)] * 23 \
+        + [(8, "c", "few")] * 17 + [(None, None, None)] * 12
+    monkeypatch.setattr(R, "COPIES", 5)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert rows_of(R.archive_digest(spark, df)) == brute(rows)
+    path = fresh_path(spark, "warc-test")
+    R.write_archives(df, path, segment=900)
+    ids = [r.record_id for r in R.read_records(spark, path).collect()]
+    assert len(ids) == len(set(ids)) == len(rows)
 
 
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_payloads_and_segments_read_back(spark, compression):
     df, path = pages(spark), fresh_path(spark, "warc-test")
     R.write_archives(df, path, segment=5000, records=7, compression=compression)
-    got = {r.record_id: r for r in R.read_records(spark, path).collect()}
-    html = {R.page_uri(r.page_id): (r.html or "").encode() for r in df.collect() if r.page_id is not None}
-    assert got.keys() == html.keys()
-    assert all(bytes(r.payload) == html[i] and r.ok for i, r in got.items() if r.record_type == "response")
-    assert got[R.page_uri(4)].target_uri == "u%0D%0AX:%20y%20%C3%A9" and got[R.page_uri(3)].target_uri is None
+    got = R.read_records(spark, path).collect()
+    html = [(r.html or "").encode() for r in df.collect()]
+    assert len(got) == len(html) and all(r.ok for r in got)
+    assert sorted(hashlib.sha1(b).hexdigest() for b in html) == sorted(r.declared for r in got)
+    assert {bytes(r.payload) for r in got if r.record_type == "response"} == set(html)
+    at = {int(r.record_id.split(":")[2].split("/")[0]): r for r in got if "null" not in r.record_id}
+    assert at[4].target_uri == "u%0D%0AX:%20y%20%C3%A9" and at[3].target_uri is None
 
 
 def test_missing_or_short_segments_are_marked(spark):
-    whole = list(R.page_records(1, "u", b"z" * 100_000, None, 32 * 1024))
+    whole = list(R.page_records(R.page_uri(1), "u", b"z" * 100_000, None, 32 * 1024))
     assert len(whole) == 4
     for k in range(4):
         path = fresh_path(spark, "warc-broken")
