@@ -1,9 +1,10 @@
 """Connected components of a link table, with alternating large-star and small-star steps.
 
-Each step is a grouped minimum and a join, so a node with a third of all links is combined
-before the shuffle and its join partition is split by AQE; no component is ever gathered.
-Each round's links are written to the shared folder: the plan stays short and a lost
-executor restarts from the last round.
+Each step is a grouped minimum and a join: a node with a third of all links is combined before
+the shuffle, and the minima are written before they are joined, so that both sides of the join
+are plain shuffles, in which AQE splits a hot node (beside an aggregate it could not). No
+component is ever gathered. Each round's links are written to the shared folder: the plan stays
+short and a lost executor restarts from the last round.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = write_table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+        large = write_table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                            .distinct(), "large")
+        least = write_table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least, "u")
         small = (joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).distinct())

@@ -281,15 +281,35 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """``docs`` without the near duplicates: of each component the smallest ``doc_id`` stays.
+    """``docs`` without the near duplicates: of each group of linked texts that with the smallest
+    ``doc_id`` stays.
 
-    Of rows with the same ``doc_id`` one stays; rows with a null ``doc_id`` all stay.
+    Each row is judged by its own text: where rows share a ``doc_id``, one goes only if its own set
+    is linked to another that stays. Rows equal in all columns count once; rows with a null
+    ``doc_id``, and rows without words, are copies of nothing and stay.
     """
-    gone = (jaccard_components(docs.select("doc_id", "text")).where("doc_id <> component_id")
-            .select("doc_id").distinct())
-    left = docs.join(gone, "doc_id", "left_anti")
-    known = left.where("doc_id is not null")
-    nth = "_" * (1 + max(map(len, docs.columns)))       # a name that no column has
-    once = known.withColumn(nth, F.row_number().over(
-        Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(nth) == 1).drop(nth)
-    return once.unionByName(left.where("doc_id is null")).select(docs.columns)
+    known = docs.where("doc_id is not null")
+    counts = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = write_table(counts, "repeated-ids")
+    if repeated.isEmpty():
+        gone = (jaccard_components(docs.select("doc_id", "text")).where("doc_id <> component_id")
+                .select("doc_id").distinct())
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # rows of repeated ids become nodes of their own, numbered outside the range of all ids
+    node = "_" * (1 + max(map(len, docs.columns)))       # a name that no column has
+    span = known.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
+    many = known.join(repeated, "doc_id", "left_semi").dropDuplicates()
+    many = write_table(many.withColumn(node, F.monotonically_increasing_id()), "repeated-rows")
+    most = many.agg(F.max(node)).first()[0]
+    up = span[1] + 1 + most < 1 << 63
+    many = many.withColumn(node, F.lit(span[1] + 1) + F.col(node) if up else F.lit(span[0] - 1) - F.col(node))
+    once = known.join(repeated, "doc_id", "left_anti")
+    nodes = once.select(F.col("doc_id").cast("long").alias("doc_id"), "text").union(many.select(node, "text"))
+    part = jaccard_components(nodes).select(F.col("doc_id").alias(node), "component_id")
+    names = many.select(node, F.col("doc_id").cast("long").alias("own"))
+    part = write_table(part.join(names, node, "left").withColumn("own", F.coalesce("own", node)), "judged")
+    first = part.groupBy("component_id").agg(F.min(F.struct("own", node)).alias("m"))
+    gone = write_table(part.join(write_table(first, "first"), "component_id").where(F.col(node) != F.col(f"m.{node}")).select(node), "gone")
+    left = once.join(gone.withColumnRenamed(node, "doc_id"), "doc_id", "left_anti")
+    kept = many.join(gone, node, "left_anti").drop(node)
+    return left.unionByName(kept).unionByName(docs.where("doc_id is null")).select(docs.columns)
