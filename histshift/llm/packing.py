@@ -6,13 +6,17 @@ Documents become token ids (plus an end id), longer ones are cut into pieces of
 Method. Pieces are dealt by hash into shards of about ``SHARD`` pieces, whatever their
 document, so that one long document or a table of any size spreads evenly; a piece that
 fills a sequence needs no search. Each shard is packed by best-fit decreasing, whose result
-is the incumbent. If it is above the lower bound, bin completion looks for a packing with
-one sequence less: it takes the largest piece left, enumerates the undominated fillings
-beside it, fullest first, and gives up a branch once the waste so far exceeds what the
-better packing may waste in all. Instances over ``SEARCH_BINS`` sequences search the ones
-with most waste (at this size best-fit decreasing is mostly at the bound already);
-``NODES`` limits the search, after which the incumbent stands. Each shard can end with one
-partly filled sequence.
+is the incumbent. If it is above the lower bound, bin completion takes over. Its first branch,
+the fullest filling beside the largest piece left, sequence after sequence, is followed to its
+end over the whole shard (``first_branch``, with ``BRANCHES`` ways to choose between fillings
+equally full) and becomes the incumbent where it is better. Then
+the search looks for a packing with one sequence less: it takes the largest piece left,
+enumerates the undominated fillings beside it, fullest first, and gives up a branch once the
+waste so far exceeds what the better packing may waste in all. It runs over sets of
+``SEARCH_BINS`` sequences: all sequences, in the order of their waste, are gone through set by set,
+each wasteful set beside a share of the fuller ones, and again after each gain, until the bound
+is met or no set of a whole round gives a gain. ``NODES`` and ``FILLINGS`` bound the search of one
+set, ``ROUNDS`` the rounds. Each shard can end with one partly filled sequence.
 
 Defined cases: null and empty texts are the end id alone; rows with equal or null ``doc_id``
 are packed each by itself; further columns are ignored; an empty table gives no rows.
@@ -20,8 +24,10 @@ are packed each by itself; further columns are ignored; an empty table gives no
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,9 +39,11 @@ from histshift.llm.common import text_bytes, write_table
 
 CAPACITY = 2048
 SHARD = 16_384
-SEARCH_BINS = 48
-NODES = 4_000
+SEARCH_BINS = 16
+NODES = 2_000
 FILLINGS = 64
+ROUNDS = 12
+BRANCHES = 4
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids per worker, and the longest word kept (a saving only).
 CACHE, CACHED_BYTES = 500_000, 64
@@ -56,6 +64,12 @@ _PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _ALPHABET = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 
 
+@cache
+def encoder_of(vocabulary: str) -> "WordEncoder":
+    """One encoder for the life of a Python worker, with the words it has met."""
+    return WordEncoder(vocabulary)
+
+
 class WordEncoder:
     """Token ids of whole texts from the ids of their words.
 
@@ -122,7 +136,7 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABU
     """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, ids
     (little-endian unsigned 32-bit; null unless ``keep_ids``)."""
     def run(batches):
-        encoder = WordEncoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
@@ -229,21 +243,101 @@ def complete(lengths: list[int], capacity: int, most: int, nodes: int = NODES) -
     return search(sorted(lengths, reverse=True), 0) if may_waste >= 0 else None
 
 
+def fullest(sizes: list[int], have: dict[int, int], room: int) -> list[int]:
+    """Pieces that fill ``room`` as far as any can; where there is a choice, those of the first of
+    ``sizes``. Reachable sums are a bit set, which grows size by size until the room
+    itself is reached."""
+    mask, limit, steps = 1, (1 << (room + 1)) - 1, []
+    for s in sizes:
+        if s > room:
+            continue
+        steps.append((s, mask))
+        for _ in range(min(have[s], room // s)):
+            more = (mask | mask << s) & limit
+            if more == mask:
+                break
+            mask = more
+        if mask >> room:
+            break
+    total, out = mask.bit_length() - 1, []
+    for s, before in reversed(steps):
+        while not before >> total & 1:
+            out.append(s)
+            total -= s
+    return out
+
+
+def first_branch(lengths: list[int], capacity: int, seed: int = 0) -> list[list[int]]:
+    """The packing that always takes the fullest filling beside the largest piece left (indices).
+    Of equally full ones it prefers large pieces, or, with a ``seed``, lengths that many pieces
+    left have, by a weighted draw: then no length is left over in number at the end."""
+    rng = random.Random(seed)
+    at: dict[int, list[int]] = {}
+    for i in range(len(lengths) - 1, -1, -1):
+        at.setdefault(lengths[i], []).append(i)
+    have = {s: len(x) for s, x in at.items()}
+    sizes, out = sorted(have, reverse=True), []
+    while sizes:
+        taken = [sizes[0]]
+        have[sizes[0]] -= 1
+        order = sorted(sizes, key=lambda s: -have[s] * rng.random()) if seed else sizes
+        fill = fullest(order, have, capacity - sizes[0])
+        for s in fill:
+            have[s] -= 1
+        taken += fill
+        out.append([at[s].pop() for s in taken])
+        if not all(have[s] for s in taken):
+            sizes = [s for s in sizes if have[s]]
+    return out
+
+
 def pack(lengths: list[int], capacity: int) -> list[list[int]]:
     """Sequences as lists of indices into ``lengths``."""
     bins = best_fit(lengths, capacity)
     goal = lower_bound(lengths, capacity) if bins else 0
-    while len(bins) > goal:
-        bins.sort(key=lambda b: sum(lengths[i] for i in b))
-        part = bins[:SEARCH_BINS]
+    for seed in range(BRANCHES):
+        if len(bins) > goal:
+            other = first_branch(lengths, capacity, seed)
+            bins = other if len(other) < len(bins) else bins
+
+    def fewer(part: list[list[int]]) -> list[list[int]] | None:
         better = complete([lengths[i] for b in part for i in b], capacity, len(part) - 1)
         if better is None:
-            break
+            return None
         at: dict[int, list[int]] = {}
         for b in part:
             for i in b:
                 at.setdefault(lengths[i], []).append(i)
-        bins = bins[SEARCH_BINS:] + [[at[x].pop() for x in b] for b in better]
+        return [[at[x].pop() for x in b] for b in better]
+
+    for turn in range(ROUNDS):
+        if len(bins) <= goal:
+            break
+        bins.sort(key=lambda b: sum(lengths[i] for i in b))
+        # sequences that waste least cannot make up for one less unless others beside them waste more
+        wasted = [capacity - sum(lengths[i] for i in b) for b in bins]
+        if sum(wasted) < capacity:
+            break
+        gained, rest, k = False, bins, 0
+        while len(rest) - k > 1 and len(rest) > goal:
+            size = min(SEARCH_BINS, len(rest) - k)
+            head = size if turn % 2 == 0 else max(1, size // 2)
+            tail = size - head      # on odd rounds half of a set comes from the fuller end, moving on
+            where = list(range(k, k + head)) + [len(rest) - 1 - (k + j) % max(1, len(rest) - k - head) for j in range(tail)]
+            where = sorted(set(where))
+            part = [rest[i] for i in where]
+            if sum(capacity - sum(lengths[i] for i in b) for b in part) < capacity:
+                break               # later sets waste less still
+            better = fewer(part)
+            if better is None:
+                k += head
+                continue
+            gained = True
+            keep = set(where)
+            rest = [b for i, b in enumerate(rest) if i not in keep] + better
+        bins = rest
+        if not gained and turn % 2:
+            break
     return bins
 
 

@@ -43,6 +43,32 @@ def test_bin_completion_beats_best_fit_where_that_is_wasteful():
     assert len(K.pack(many, capacity)) == 120
 
 
+def test_large_shards_come_near_the_bound_and_lose_nothing():
+    rng = random.Random(5)
+    for low, high, most in ((300, 700, 6), (1, 2047, 16), (500, 520, 16)):
+        lengths = [rng.randint(low, high) for _ in range(16_384)]
+        bins = K.pack(lengths, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in b) <= 2048 for b in bins)
+        assert K.lower_bound(lengths, 2048) <= len(bins) <= K.lower_bound(lengths, 2048) + most
+        assert len(bins) <= len(K.best_fit(lengths, 2048))
+
+
+def test_the_fullest_filling_is_found():
+    rng = random.Random(2)
+    for _ in range(300):
+        pieces = [rng.randint(1, 30) for _ in range(rng.randint(1, 9))]
+        room = rng.randint(0, 80)
+        have = {s: pieces.count(s) for s in pieces}
+        order = list(have)
+        rng.shuffle(order)
+        fill = K.fullest(order, have, room)
+        sums = {0}
+        for x in pieces:
+            sums |= {s + x for s in sums if s + x <= room}
+        assert sum(fill) == max(sums) and all(fill.count(s) <= have[s] for s in fill)
+
+
 def test_fillings_are_undominated():
     assert K.fillings([5, 4, 3, 2, 1], 5)[0] in ([5], [4, 1], [3, 2])
     assert [4] not in K.fillings([5, 4, 3], 5) and K.fillings([9], 5) == [[]]
