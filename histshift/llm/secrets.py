@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -124,7 +125,9 @@ def random_runs(text: str, encode, taken: list[tuple[int, str, int]]) -> list[tu
             for a, b in _random_in(m[0], encode)]
 
 
+@cache
 def _encoder(vocabulary: str):
+    """Text to token ids; one for the life of a Python worker."""
     import base64
 
     import public_tokenizers
