@@ -8,15 +8,16 @@ coordinate descent; its weights are interpolated with their mean magnitude. A si
 on margins of texts that the model had not seen turns margins into scores.
 
 The model is fitted on a bounded sample, ``PER_CLASS`` labelled texts of either class at most
-(those whose ids have the least hash); class shares, which set the sigmoid, are counted over
-all labels. The ids of the sample are bounded likewise and so are broadcast; its features meet
-in one task and the model (a few MB, whatever the input) is the only thing that reaches the
-driver. Scoring reads every whole text and shuffles nothing.
+(those whose ids have the least hash, one text of each id: that of the least hash), and of these,
+in the same order, as many as have ``CLASS_BYTES`` of features; class shares, which set the
+sigmoid, are counted over all labels. The ids of the sample are bounded likewise and so are
+broadcast; its features meet in one task and the model (a few MB, whatever the input) is the
+only thing that reaches the driver. Scoring reads every whole text and shuffles nothing.
 
 Labels come only from rows whose ``crc32(doc_id as text) mod 5`` is not 0. Defined cases: null
 texts count as empty; labels that are null, or whose ``doc_id`` is null, teach nothing, and
 those without a text only count in the class shares; of several labels of one ``doc_id`` the
-larger counts, and of several texts each teaches; where a class has no labels the score is
+larger counts, and of several texts one teaches; where a class has no labels the score is
 the share of the other class (0.5 without labels); ``held_out`` of a null ``doc_id`` is false;
 equal rows get equal scores; further columns are kept by ``keep_good``.
 """
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histshift.llm import words as W
@@ -34,6 +35,8 @@ from histshift.llm.common import arrow_rows, buffers, text_bytes, write_table
 BITS = 18
 LENGTHS = (1, 2, 3, 4)
 PER_CLASS = 3000
+#: Bytes of features of a class, 4 a distinct place: more than 3,000 texts of 20,000 places each have.
+CLASS_BYTES = 256 << 20
 SMOOTH, COST, BETA, EPOCHS, TOLERANCE = 1.0, 10.0, 0.25, 30, 0.02
 FOLDS = 3
 #: Places of word patterns, after those of n-grams: size classes of words, then of repeats.
@@ -76,8 +79,9 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
 
 
-def dual_coordinate_descent(rows, values, y, cost, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of min 1/2 |w|^2 + sum cost_i * hinge_i (the bias is a feature of value 1)."""
+def dual_coordinate_descent(rows, values, y, cost, seed: int = 7) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of min 1/2 |w|^2 + sum cost_i * hinge_i (the bias is a feature
+    of value 1)."""
     w, bias = np.zeros(PLACES), 0.0
     alpha, square = np.zeros(len(rows)), np.array([v @ v + 1.0 for v in values])
     rng = np.random.default_rng(seed)
@@ -93,7 +97,7 @@ def dual_coordinate_descent(rows, values, y, cost, seed: int = 7) -> tuple[np.nd
                 worst = max(worst, abs(step) * square[i])
         if worst < TOLERANCE:
             break
-    return w, bias
+    return w, bias, alpha
 
 
 def _model(rows, y) -> tuple[np.ndarray, np.ndarray, float]:
@@ -102,7 +106,7 @@ def _model(rows, y) -> tuple[np.ndarray, np.ndarray, float]:
     values = [ratio[r] / lengths(r, ratio ** 2) for r in rows]
     share = (y == 1).mean()
     cost = COST * np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    w, bias = dual_coordinate_descent(rows, values, y, cost)
+    w, bias, _ = dual_coordinate_descent(rows, values, y, cost)
     w = (1 - BETA) * np.abs(w[w != 0]).mean() * (w != 0) + BETA * w
     return (w * ratio).astype(np.float32), (ratio ** 2).astype(np.float32), float(bias)
 
@@ -162,7 +166,9 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict
     for label in (0, 1):
         least = usable.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS)
         ids = least if ids is None else ids.union(least)
-    return text_bytes(docs, "doc_id").join(F.broadcast(write_table(ids, "sample")), "doc_id"), counts
+    texts = text_bytes(docs, "doc_id").join(F.broadcast(write_table(ids, "sample")), "doc_id")
+    one = F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("m")     # of a hot id, one a task
+    return texts.groupBy("doc_id", "label").agg(one).select("doc_id", "label", F.col("m._text").alias("_text")), counts
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
@@ -190,6 +196,11 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         yield pa.record_batch([[w], [s], *[[x] for x in numbers]], names=["weights", "squares", "bias", "slope", "constant"])
 
     features = write_table(arrow_rows(sample, places, "doc_id long, label int, places binary"), "sample-features")
+    # sizes of at most 2 * PER_CLASS rows, summed in the order of the sample
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = (features.select("doc_id", "label", F.sum(F.octet_length("places")).over(order).alias("bytes"))
+              .where(F.col("bytes") <= CLASS_BYTES).select("doc_id"))
+    features = features.join(within, "doc_id", "left_semi")
     row = (features.repartition(1).mapInArrow(fitted, "weights binary, squares binary, bias double, slope double, constant double")
            .first())
     if row is None:     # no partition, no batch: an untrained model
