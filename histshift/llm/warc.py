@@ -114,33 +114,40 @@ def page_records(own: str, url: str | None, payload: bytes, refers_to: str | Non
                      WARC_Segment_Origin_ID=own, WARC_Segment_Total_Length=str(len(block)) if k == count else None)
 
 
-def uri(page_id: Column, url: Column, digest: Column, copy: Column) -> Column:
-    """``page_uri`` of a row, its mark made of url, payload digest and number among equal rows."""
-    mark = F.md5(F.concat(F.coalesce(F.concat(F.lit("u"), url), F.lit("")), F.lit(" "), digest))
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit("/"), mark, F.lit("."),
-                    copy.cast("string"), F.lit(">"))
+def uri_of(base: Column, copy: Column) -> Column:
+    return F.concat(base, copy.cast("string"), F.lit(">"))
 
 
-def responses(rows: DataFrame) -> DataFrame:
-    """(digest, size, refers_to) of payloads that several rows share: the identifier of the
-    response among them. ``rows``: page_id, url, digest, size, n."""
+def keyed_rows(pages: DataFrame) -> DataFrame:
+    """(base, page_id, url, payload, digest, size) of each row; ``base``, the same for equal rows only,
+    begins the row's identifier: ``page_uri`` with url and payload digest as its mark."""
+    html, url = F.coalesce("html", F.lit("")).cast("binary"), F.col("url").cast("string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("payload"),
+                        F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
+    mark = F.md5(F.concat(F.coalesce(F.concat(F.lit("u"), "url"), F.lit("")), F.lit(" "), "digest"))
+    base = F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit("/"), mark, F.lit("."))
+    return rows.withColumn("base", base)
+
+
+def revisits(counts: DataFrame) -> DataFrame:
+    """(base, refers_to) of payloads that several rows share: the identifier of the response among
+    them. ``counts``: base, page_id, url, digest, size, n."""
     # the greatest (page_id, url), nulls below all else
-    greatest = F.max(F.struct(F.col("page_id").isNotNull(), "page_id", F.col("url").isNotNull(), "url")).alias("m")
-    shared = (rows.where(F.col("size") >= LEAST).groupBy("digest", "size").agg(greatest, F.sum("n").alias("n"))
-              .where("n > 1"))
-    return shared.select("digest", "size", uri(F.col("m.page_id"), F.col("m.url"), F.col("digest"), F.lit(0)).alias("refers_to"))
+    greatest = F.max(F.struct(F.col("page_id").isNotNull(), "page_id", F.col("url").isNotNull(), "url", "base")).alias("m")
+    shared = (counts.where(F.col("size") >= LEAST).groupBy("digest", "size").agg(greatest, F.sum("n").alias("n"))
+              .where("n > 1").select("digest", "size", uri_of(F.col("m.base"), F.lit(0)).alias("refers_to")))
+    return counts.join(shared, ["digest", "size"]).select("base", "refers_to")
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records: int = RECORDS,
                    compression: str = "gzip") -> None:
     """Write ``pages`` (page_id, url, html) as WARC files under ``path`` (``compression``: gzip or none)."""
-    html = F.coalesce("html", F.lit("")).cast("binary")
-    pages = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"),
-        F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
-    row = ["page_id", "url", "digest", "size"]
-    counted = pages.groupBy(*row).agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
-    shared = write_table(responses(pages.groupBy(*row).agg(F.count("*").alias("n"))), "shared-payloads")
+    bounded_batches(pages.sparkSession)
+    rows = keyed_rows(pages)
+    counts = write_table(rows.groupBy("base").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "digest", "size")],
+                                                  F.count("*").alias("n")), "row-counts")
+    refers = write_table(revisits(counts), "revisits")
+    most = counts.agg(F.max("n")).first()[0] or 1
 
     def run(batches):
         for b in batches:
@@ -148,19 +155,18 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records:
             out = [r for page in rows for r in page_records(*page, segment)]
             yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
 
-    def copies(df, first):
-        """A row per row of the table; ``first``: the number of the first of up to COPIES equal ones."""
-        last = F.least(F.col("n"), first + COPIES) - 1
-        each = df.withColumn("copy", F.explode(F.sequence(first, last)))
-        own = uri(F.col("page_id"), F.col("url"), F.col("digest"), F.col("copy"))
-        return each.select(own.alias("own"), "url", "payload", F.when(own != F.col("refers_to"), F.col("refers_to")).alias("refers_to"))
-
-    bounded_batches(pages.sparkSession)
-    named = counted.join(shared, ["digest", "size"], "left")
-    few = copies(named.where(F.col("n") <= COPIES), F.lit(0).cast("long"))
-    many = named.where(F.col("n") > COPIES).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition(*row, "block")
-    lines = few.union(copies(many, F.col("block") * COPIES))
+    once = rows.select("base", "url", "payload", F.lit(1).cast("long").alias("n"))
+    if most > 1:        # equal rows meet, to be numbered
+        once = rows.groupBy("base").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.count("*").alias("n"))
+    named = once.join(refers, "base", "left")
+    first = F.lit(0).cast("long")
+    if most > COPIES:   # blocks of equal rows are dealt anew
+        blocks = F.sequence(first, F.floor((F.col("n") - 1) / COPIES))
+        named = named.withColumn("block", F.explode(blocks)).repartition("base", "block")
+        first = F.col("block") * COPIES
+    each = named.withColumn("copy", F.explode(F.sequence(first, F.least(F.col("n"), first + COPIES) - 1)))
+    own = uri_of(F.col("base"), F.col("copy"))
+    lines = each.select(own.alias("own"), "url", "payload", F.when(own != F.col("refers_to"), F.col("refers_to")).alias("refers_to"))
     (lines.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write
      .option("lineSep", END.decode()).option("maxRecordsPerFile", records).option("compression", compression).text(path))
 
