@@ -166,7 +166,7 @@ def test_ten_folds_a_rerun_and_a_late_run_equal_the_batch(spark, tmp_path):
     check_live(store, runs)
 
 
-@pytest.mark.parametrize("lost", ["runs/relds_csv", "runs/client_means", "live/relds", "live/probe_hists", "commit"])
+@pytest.mark.parametrize("lost", ["runs/client_means", "live/probe_hists", "commit"])
 def test_a_failure_leaves_readers_on_the_last_whole_version(spark, tmp_path, lost):
     class Failing(Store):
         def stage(self, table, *args, **kw):
