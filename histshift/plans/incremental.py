@@ -21,6 +21,7 @@ import dataclasses
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from histshift.config import RunConfig
 from histshift.functions.dates import window_bounds
@@ -55,7 +56,7 @@ def stage_bins(store: Store, base: Version, pings: DataFrame, cfg: RunConfig, ba
     if "/" in batch:
         raise ValueError("a batch name holds no slash")
     pr.check_probes(pings, cfg.probes)
-    bins = pr.client_bins(pings.filter(pr.population_predicate(cfg)), cfg)
+    bins = pr.client_bins(pings.filter(F.col("app_build_id").isNotNull() & pr.population_predicate(cfg)), cfg)
     new = store.stage("bins", bins, prefix=f"{batch}/")
     before = {k for k in base.parts("bins") if k.startswith(f"{batch}/")}
     change = dataclasses.replace(new, gone=frozenset(before - set(new.parts)))

@@ -215,7 +215,7 @@ def check_window(store, pings, cfg):
 
 def some_pings(spark, days, seed, clients=12):
     rng = random.Random(seed)
-    data = []
+    data = [("c0", None, {"h1": {1: 1}, "h2": None})]
     for d in days:
         for _ in range(40):
             hist = {m: rng.randint(0, 4) for m in rng.sample(range(0, 60, 5), rng.randint(0, 4))}
