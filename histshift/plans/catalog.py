@@ -438,6 +438,18 @@ def q_csv_drift_loose(spark, sf):
     return out(read_csv_parts(spark, path, schemas.client_means_schema(EVENT_PROBES)))
 
 
+def q_csv_drift_in_run(spark, sf):
+    """Client means of one run whose parts have three headers: whole rows, rows without
+    a probe, and rows with their columns in another order."""
+    path = f"{fresh_path(spark, 'drift-in-run')}/creation_date={FINAL:%Y-%m-%d}"
+    means = run(spark, sf).client_means
+    first = F.substring("client_id", -1, 1)
+    for df in (means.where(first < "3"), means.where((first >= "3") & (first < "6")).drop(MEANS_PROBE),
+               means.where(first >= "6").select(*reversed(means.columns))):
+        df.write.mode("append").option("header", True).csv(path)
+    return out(read_csv_parts(spark, path.rsplit("/", 1)[0], schemas.client_means_schema(EVENT_PROBES)))
+
+
 def q_pruned_pings(spark, sf):
     """S1/P1/P2 over a ping table partitioned by build day: the window reads its days only."""
     path = fresh_path(spark, "pings-by-day")

@@ -74,6 +74,19 @@ def job_folder(spark: SparkSession, name: str):
         fs.delete(p, True)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the actions inside; earlier values return at the end."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def write_table(df, name: str):
     """Cut lineage: write ``df`` as a parquet table under the shared folder and read it
     back. Consumers get compression and column pruning; a lost executor restarts from

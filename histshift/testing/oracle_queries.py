@@ -276,6 +276,9 @@ FROM vl CROSS JOIN (SELECT * FROM (VALUES (0.25), (0.5), (0.75)) t(q)) qs WHERE
     "csv_drift_loose": hist_base() + "SELECT client_id, app_build_id, " + ", ".join(
         R(f"CASE WHEN creation_date = '2024-01-15' THEN NULL ELSE {p} END", p) if p == C.MEANS_PROBE else R(p, p)
         for p in EVENT_PROBES) + ", creation_date FROM h_means",
+    "csv_drift_in_run": base() + "SELECT client_id, app_build_id, " + ", ".join(
+        R(f"CASE WHEN right(client_id, 1) BETWEEN '3' AND '5' THEN NULL ELSE {p} END", p) if p == C.MEANS_PROBE else R(p, p)
+        for p in EVENT_PROBES) + f", '{C.FINAL}' AS creation_date FROM means",
     "build_hists": base() + f"SELECT app_build_id, probe, metric, {R('measure', 'measure')} FROM hists",
     "relds_wide": base() + "SELECT app_build_id, rep, " + ", ".join(
         R(f"max(CASE WHEN probe = {lit(p)} THEN relds END)", p) for p in EVENT_PROBES) + " FROM relds GROUP BY 1, 2",

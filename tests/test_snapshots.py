@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from histshift.operators import snapshots as sn
 from histshift.sources import schemas
-from histshift.sources.readers import read_csv_parts, read_json_hists, require
+from histshift.sources.readers import header_index, read_csv_parts, read_json_hists, require
 from histshift.sources.sinks import with_run_date, write_json_hists, write_run
 
 H = "app_build_id string, probe string, metric int, measure double, creation_date date"
@@ -77,6 +77,66 @@ def test_csv_columns_are_matched_by_name(spark, tmp_path):
         read_csv_parts(spark, path, schema, strict=True)
 
 
+MEANS = schemas.client_means_schema(("p1", "p2"))
+
+
+def _put(path, run, name, *lines):
+    (path / run).mkdir(parents=True, exist_ok=True)
+    (path / run / name).write_text("".join(f"{x}\n" for x in lines))
+
+
+def test_parts_of_one_run_are_read_by_their_own_headers(spark, tmp_path):
+    day = "creation_date=2024-01-15"
+    _put(tmp_path, day, "part-0.csv", "client_id,app_build_id,p1,p2", "a,b,1.0,2.0")
+    _put(tmp_path, day, "part-1.csv", "p2,app_build_id,client_id", "4.0,b,c")
+    _put(tmp_path, day, "part-2.csv", "", '"app_build_id","client_id","p1",extra', "b,d,5.0,x")
+    _put(tmp_path, day, "part-3.csv")                                       # no line at all
+    _put(tmp_path, day, "part-4.csv", "client_id,app_build_id,p1,p2")      # a header alone
+    _put(tmp_path, day, "_SUCCESS", "not,a,part")
+    _put(tmp_path, "creation_date=2024-01-16", "part 0%.csv", "client_id,app_build_id,p1,p2", "e,b,6.0,7.0")
+    back = read_csv_parts(spark, str(tmp_path), MEANS)
+    assert sorted((r.client_id, r.p1, r.p2, r.creation_date) for r in back.collect()) == [
+        ("a", 1.0, 2.0, D1), ("c", None, 4.0, D1), ("d", 5.0, None, D1), ("e", 6.0, 7.0, D2)]
+    with pytest.raises(ValueError):
+        read_csv_parts(spark, str(tmp_path), MEANS, strict=True)
+    _put(tmp_path, day, "part-5.csv", "client_id,app_build_id,p1,p1", "f,b,1.0,2.0")
+    with pytest.raises(ValueError, match="repeat"):
+        read_csv_parts(spark, str(tmp_path), MEANS)
+
+
+def test_header_index_takes_the_first_line_of_long_parts(spark, tmp_path):
+    """Splits after a part's first, and lines after its first, give no headers."""
+    day = "creation_date=2024-01-15"
+    _put(tmp_path, day, "part-0.csv", "client_id,app_build_id,p1", *(f"c{k},b,{k}.0" for k in range(200_000)))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    assert [r.header for r in header_index(spark, str(tmp_path)).collect()] == ["client_id,app_build_id,p1"]
+    assert read_csv_parts(spark, str(tmp_path), MEANS).agg(F.sum("p1")).first()[0] == sum(range(200_000))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_jobs_for_headers_do_not_grow_with_the_runs(spark, tmp_path):
+    def jobs(runs):
+        path = tmp_path / f"r{runs}"
+        for k in range(runs):
+            columns = "client_id,app_build_id,p1" if k % 2 else "app_build_id,p2,client_id"
+            _put(path, f"creation_date={D1 + dt.timedelta(days=k)}", "part-0.csv", columns, "x,1,2")
+        spark.sparkContext.setJobGroup(f"headers{runs}", "")
+        try:
+            df = read_csv_parts(spark, str(path), MEANS)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"headers{runs}"))
+        assert df.count() == runs
+        return n
+    assert jobs(200) == jobs(80) < 10       # beyond 32 paths Spark also lists files by a job of its own
+
+
+def test_no_runs_and_runs_without_parts_read_as_empty(spark, tmp_path):
+    assert read_csv_parts(spark, str(tmp_path), MEANS).count() == 0
+    (tmp_path / "creation_date=2024-01-15").mkdir()
+    assert read_csv_parts(spark, str(tmp_path), MEANS).count() == 0
+
+
 def test_a_missing_or_unreadable_measure_raises(spark, tmp_path):
     good = spark.createDataFrame([("b", "p", 1, "0.5")], "app_build_id string, probe string, metric int, measure string")
     for k, bad in enumerate(("text", None)):
