@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histshift.llm import words as W
@@ -245,6 +245,16 @@ def _across(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.union(large.groupBy("key", "i", "j").applyInArrow(block, "a long, b long")).distinct()
 
 
+def _shared(parts: DataFrame) -> DataFrame:
+    """(key, doc, lo) of the written rows (key, doc) whose key several sets hold; lo: the least of them.
+
+    Keys are combined before their shuffle and written, so that both sides of the join are plain
+    shuffles, in which AQE splits a key that a third of all sets hold.
+    """
+    keys = parts.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", "lo")
+    return parts.join(write_table(keys, "keys"), "key")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs`` (doc_id, text)."""
     sets = write_table(describe(docs), "sets")
@@ -254,14 +264,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                        .join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep").distinct(), "reps")
     named = write_table(sets.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "named")
 
-    by_key = Window.partitionBy("key")
-    met = (text_bytes(docs.where("doc_id is not null"), "doc_id").mapInArrow(_emit, "key long, doc long")
-           .withColumn("lo", F.min("doc").over(by_key)).withColumn("hi", F.max("doc").over(by_key))
-           .where("lo < hi").select("key", "doc"))
-    met = (met.join(reps.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("rep").alias("doc")).distinct()
-           .withColumn("lo", F.min("doc").over(by_key)).withColumn("hi", F.max("doc").over(by_key))
-           .where("lo < hi").select("key", "doc", "lo"))
-    met = write_table(met, "met")
+    parts = text_bytes(docs.where("doc_id is not null"), "doc_id").mapInArrow(_emit, "key long, doc long")
+    met = _shared(write_table(parts, "parts"))
+    met = met.join(reps.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("rep").alias("doc")).distinct()
+    met = write_table(_shared(write_table(met, "met")), "met")
 
     first = met.where("doc <> lo").groupBy("doc").agg(F.min("lo").alias("a")).select("a", F.col("doc").alias("b"))
     links = verified(first, named, docs, "first")

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from histshift.llm import jaccard_join as J
+from histshift.session import settings
 from tests.llm.fixtures import frame, words
 
 
@@ -73,6 +75,22 @@ def test_any_two_linked_sets_share_a_signature(n):
         assert J.hamming(J.parity_sketch(a), J.parity_sketch(b)) <= len(a) + len(b) - 2 * shared <= J.most_changes(len(a), len(b))
 
 
+def test_a_part_that_a_third_of_all_sets_hold_is_split(spark):
+    """Without broadcasts, the rows of a hot key meet its row in several tasks."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.files.maxPartitionBytes": "256k"}
+    ids = spark.range(300_000)
+    rows = ids.select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 90_000 + 100).alias("key"), F.xxhash64("id").alias("doc"))
+    with settings(spark, conf):
+        met = J._shared(J.write_table(rows, "skewed"))
+        got = met.groupBy("key").agg(F.count("*").alias("n"), F.min("lo").alias("lo")).where("key = 7").first()
+        plan = met.select(F.spark_partition_id().alias("p"), "key").where("key = 7").groupBy("p").count().collect()
+    least = ids.where("id % 3 = 0").agg(F.min(F.xxhash64("id"))).first()[0]
+    assert (got.n, got.lo) == (100_000, least)
+    assert len(plan) >= 3 and max(r["count"] for r in plan) < 50_000
+
+
 def survivors(rows):
     """Rows that stay, judged one by one: of each linked group that of the smallest (doc_id, place)."""
     rows = list(dict.fromkeys(rows))
