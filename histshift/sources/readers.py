@@ -61,7 +61,7 @@ def header_index(spark: SparkSession, path: str) -> DataFrame:
 #: Files aren't packed into shared tasks (opening one counts as a whole split), and a task asks
 #: for a few lines at a time.
 _ONE_FILE_A_TASK = {"spark.sql.files.maxPartitionBytes": "128MB", "spark.sql.files.openCostInBytes": "128MB",
-                    "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
+                    "spark.sql.files.maxPartitionNum": str(2 ** 31 - 1), "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
 
 
 def _parts_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
