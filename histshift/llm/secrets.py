@@ -10,8 +10,9 @@ into short ones, so that ``characters per token <= MAX_RATIO`` exposes them (kin
 The ratio is taken over the whole run and, where that does not expose it, over the stretches
 between its plain words and over each part between separators (of 20 or more characters too),
 so that words beside a secret do not hide it. Left out are known digests (hex of 32, 40, 56,
-64, 96 or 128 digits), UUIDs, the host and path of URLs (``scheme://`` or ``www.``; their user,
-query and fragment are scored), and identifiers (alphabetic parts joined by separators with
+64, 96 or 128 digits), UUIDs, the host of URLs (``scheme://`` or ``www.``; their user, query and
+fragment are scored, and each segment of their path by itself, so that slashes don't join short
+segments), and identifiers (alphabetic parts joined by separators with
 short numbers) whose words are dictionary-like, that is above the ratio themselves. Base spans
 are cut out of a run before the test. Runs are encoded in pieces of ``PIECE`` characters so
 that time is in proportion to length.
@@ -50,14 +51,15 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _PART = re.compile(r"[A-Za-z0-9]+")
 _WORD = re.compile(r"[A-Za-z]{2,}")
 LEAST = 20
-#: The user of a URL (group 1, where present), then host and path.
-_URL = re.compile(r"(?:(?<=[A-Za-z0-9])://([^\s/?#@]*@)?|(?<![A-Za-z0-9])www\.)[A-Za-z0-9._~%!$&*+=:@/-]+")
+#: The user of a URL (group 1, where present), its host, then its path (group 2, where present).
+_URL = re.compile(r"(?:(?<=[A-Za-z0-9])://([^\s/?#@]*@)?|(?<![A-Za-z0-9])www\.)"
+                  r"[A-Za-z0-9._~%!$&*+=:@-]*(/[A-Za-z0-9._~%!$&*+=:@/-]*)?")
 #: What a text must hold for a kind to match; searched over whole columns.
 _HINTS = {"assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}""",
           "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}", "random": r"[A-Za-z0-9+/_=-]{20}"}
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
-_NAME = re.compile(r"(?:[A-Za-z]{2,}|[0-9]{1,8})(?:[_/=-]+(?:[A-Za-z]{2,}|[0-9]{1,8}))*[_/=-]*")
+_NAME = re.compile(r"(?:[A-Za-z]+|[0-9]{1,8})(?:[_/=-]+(?:[A-Za-z]+|[0-9]{1,8}))*[_/=-]*")
 
 
 def base_spans(text: str, hints: dict[str, bool] | None = None) -> list[tuple[int, str, int]]:
@@ -120,7 +122,10 @@ def _blanked(text: str, spans: list[tuple[int, int]]) -> str:
 
 def random_runs(text: str, encode, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Spans that the token-efficiency test adds; ``encode``: text to token ids."""
-    closed = [(m.end(1) if m[1] else m.start(), m.end()) for m in _URL.finditer(text)] + [(s, e) for s, _, e in taken]
+    closed = [(s, e) for s, _, e in taken]
+    for m in _URL.finditer(text):
+        closed.append((m.end(1) if m[1] else m.start(), m.start(2) if m[2] else m.end()))
+        closed += [(k, k + 1) for k in range(*m.span(2)) if text[k] == "/"]
     return [(m.start() + a, "random", m.start() + b) for m in _RUN.finditer(_blanked(text, closed))
             for a, b in _random_in(m[0], encode)]
 
