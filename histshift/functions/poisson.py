@@ -64,6 +64,28 @@ def uniform32(client: str | Column, build: str | Column, rep: str | Column,
     raise ValueError(f"unknown uniform method {method!r}")
 
 
+def hash_key_start(client: str | Column, build: str | Column) -> Column:
+    """The part of ``hash_key_text`` before the replicate, the same for all of them."""
+    return F.concat_ws("|", client, build, F.lit(""))
+
+
+def hex_digits(start: str | Column, rep: Column, seed: int = 0) -> Column:
+    """The md5 text whose first 8 digits are the uniform integer of ``uniform32``; ``start`` is
+    ``hash_key_start`` of the client and build."""
+    parts = [F.col(start) if isinstance(start, str) else start, rep.cast("string")]
+    return F.md5(F.concat(*parts, *([F.lit(f"|{seed}")] if seed else [])))
+
+
+def poisson1_from_hex(digits: Column) -> Column:
+    """``poisson1_from_uniform`` of the md5 text itself: lower-case digits of one length order as
+    the integers they write, so no text is converted. NULL where the weight is 0."""
+    ts = [f"{t:08x}" for t in poisson1_thresholds()]
+    expr = F.when(digits < F.lit(ts[0]), F.lit(None).cast("int"))
+    for k, t in enumerate(ts[1:], start=1):
+        expr = expr.when(digits < F.lit(t), F.lit(k))
+    return expr.otherwise(F.lit(len(ts)))
+
+
 def poisson1_from_uniform(u: Column) -> Column:
     """Inverse CDF as a CASE chain: on average two comparisons per weight."""
     ts = poisson1_thresholds()

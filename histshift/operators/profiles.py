@@ -4,14 +4,14 @@ Physical shape: one scan of the ping table with the window, app, channel and sam
 predicates pushed to the reader; bins exploded in the same stage; a partial + final
 hash aggregation by (client, build, probe, bin), whose map-side combine absorbs clients
 with very many pings before the first shuffle; then one shuffle of the summed bins by
-(client, build), which the normalising window and the per-profile aggregation share.
-Probe means are sums of that same aggregation. A profile holds at most
+(client, build) for the per-profile aggregation, which collects the bins and sums the totals
+that normalise them. Probe means are sums of that same aggregation. A profile holds at most
 ``probes x distinct bins`` elements, a bound set by the histogram layout, not the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histshift.config import RunConfig
@@ -124,33 +124,43 @@ def profiles_of(agg: DataFrame, cfg: RunConfig) -> DataFrame:
     counts are all zero without estimator is empty instead of failing (Q7). Profiles
     without any bin keep an empty array and still count (Q8).
     """
-    # This second shuffle carries summed bins only and serves both the normalising window
-    # and the per-profile aggregation (their keys contain it); a hot build spreads over
-    # all tasks with its clients. Without an explicit count AQE merges small partitions.
+    # This second shuffle carries summed bins only; one aggregation then collects a profile's bins
+    # beside the probes' totals that normalise them. A hot build spreads over all tasks with its
+    # clients. Without an explicit count AQE merges small partitions.
     if cfg.partitions:
         agg = agg.repartition(int(cfg.partitions), "client_id", "app_build_id")
     else:
         agg = agg.repartition("client_id", "app_build_id")
-    w = Window.partitionBy("client_id", "app_build_id", "probe")
+    names = F.array(*[F.lit(p) for p in cfg.probes])
     est = estimated(F.col("cnt"), cfg.estimator)
-    dens = agg.select(
-        "client_id", "app_build_id", "probe", "metric", "cnt",
-        F.try_divide(est, F.sum(est).over(w)).alias("measure"),
-        F.bool_or("poisoned").over(w).alias("bad"),
-    )
-    keep = F.col("probe").isNotNull() & ~F.col("bad") & F.col("measure").isNotNull()
-
-    def mean(p):
-        own = keep & (F.col("probe") == F.lit(p))
-        return F.try_divide(F.sum(F.when(own, F.col("metric") * F.col("measure"))),
-                            F.sum(F.when(own, F.col("measure")))).alias(p)
-
-    return dens.groupBy("client_id", "app_build_id").agg(
+    n = len(cfg.probes)
+    # what is collected and summed is a plain column: collect_list interprets what it is given
+    rows = agg.select("client_id", "app_build_id", "poisoned", F.col("cnt"), est.alias("_est"),
+                      F.coalesce(F.array_position(names, F.col("probe")), F.lit(0)).cast("int").alias("_place"),
+                      (F.col("metric") * est).alias("_weighed"), "probe", "metric")
+    rows = rows.select("*", F.when(F.col("probe").isNotNull(), F.struct(
+        F.col("_place").alias("place"), "probe", "metric", F.col("_est").alias("est"))).alias("_bin"))
+
+    def own(i, col):
+        return F.when(F.col("_place") == i + 1, F.col(col))
+
+    sums = rows.groupBy("client_id", "app_build_id").agg(
         F.coalesce(F.sum(F.when(F.col("probe").isNull(), F.col("cnt"))), F.lit(0))
          .cast("bigint").alias("num_client_pings"),
-        F.collect_list(F.when(keep, F.struct("probe", "metric", "measure"))).alias("bins"),
-        F.struct(*[mean(p) for p in cfg.probes]).alias("means"),
-    )
+        F.collect_list("_bin").alias("_bins"),
+        *[F.sum(own(i, "_est")).alias(f"_total{i}") for i in range(n)],
+        *[F.sum(own(i, "_weighed")).alias(f"_weighed{i}") for i in range(n)],
+        *[F.bool_or(own(i, "poisoned")).alias(f"_bad{i}") for i in range(n)])
+    # NULL where the probe is poisoned or all zero: neither densities nor a mean
+    totals = [F.when(~F.col(f"_bad{i}") & (F.col(f"_total{i}") != 0), F.col(f"_total{i}")) for i in range(n)]
+    kept = sums.select("client_id", "app_build_id", "num_client_pings", "_bins", F.array(*totals).alias("_totals"),
+                       F.struct(*[F.try_divide(F.col(f"_weighed{i}"), t).alias(p)
+                                  for i, (p, t) in enumerate(zip(cfg.probes, totals))]).alias("means"))
+    dens = F.transform("_bins", lambda b: F.struct(
+        b["probe"].alias("probe"), b["metric"].alias("metric"),
+        F.try_divide(b["est"], F.get("_totals", b["place"] - 1)).alias("measure")))
+    return kept.select("client_id", "app_build_id", "num_client_pings",
+                       F.filter(dens, lambda b: b["measure"].isNotNull()).alias("bins"), "means")
 
 
 def client_hists(profile: DataFrame) -> DataFrame:

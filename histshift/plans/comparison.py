@@ -17,7 +17,7 @@ from histshift.config import RunConfig
 from histshift.operators import bootstrap as bs
 from histshift.operators import profiles as pr
 from histshift.operators import relds as rd
-from histshift.session import write_table
+from histshift.session import COLLECTING, settings, write_table
 
 
 @dataclass
@@ -43,7 +43,10 @@ class RunResult:
     @cached_property
     def profile(self) -> DataFrame:
         prof = pr.profiles(self.pings, self.cfg)
-        return write_table(bs.by_build(prof), "profile") if self.materialize else prof
+        if not self.materialize:
+            return prof
+        with settings(prof.sparkSession, COLLECTING):
+            return write_table(bs.by_build(prof), "profile")
 
     @cached_property
     def build_stats(self) -> DataFrame:

@@ -21,17 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _probe_maps(probes_by_key: dict[str, str]) -> list:
-    """Aggregates building one map<int,bigint> per probe from rows (key, bin, n) of a
-    ping; a ping without entries for a probe gets NULL. One pass, no lambdas."""
-    out = []
-    for key, probe in probes_by_key.items():
-        out.append(F.collect_list(F.when(F.col("key") == F.lit(key), F.struct("bin", "n"))).alias(probe))
-    return out
+def _keyed_map(rows: str, key: str):
+    """The map of one key among the collected (key, bin, n) of a ping; NULL without any."""
+    own = F.filter(rows, lambda r: r["key"] == F.lit(key))
+    return F.when(F.size(own) > 0, F.map_from_entries(F.transform(own, lambda r: F.struct(r["bin"], r["n"]))))
 
 
-def _as_maps(probes) -> list:
-    return [F.when(F.size(p) > 0, F.map_from_entries(p)).alias(p) for p in probes]
+def _summed_map(rows: str, name: str):
+    """The map of one bin column among the collected (bins…, n) of a ping: n summed per bin. Most
+    pings have one row, which needs no lambda."""
+    def total(b):
+        return F.aggregate(F.filter(rows, lambda r: r[name] == b), F.lit(0).cast("bigint"), lambda a, r: a + r["n"])
+    bins = F.array_distinct(F.transform(rows, lambda r: r[name]))
+    several = F.map_from_entries(F.transform(bins, lambda b: F.struct(b.alias("bin"), total(b).alias("n"))))
+    one = F.get(rows, F.lit(0))
+    return F.when(F.size(rows) == 1, F.create_map(one[name], one["n"])).otherwise(several)
 
 
 def events_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +51,8 @@ def events_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     # two-level aggregation: counts per bin first (partial aggregation absorbs hot users)
     per_bin = ev.groupBy("user_id", "app_build_id", "key", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.max("k").alias("k"))
-    pings = per_bin.groupBy("user_id", "app_build_id").agg(
-        F.max("k").alias("max_k"), *_probe_maps(dict(zip(EVENT_TYPES, EVENT_PROBES))))
+    pings = per_bin.select("user_id", "app_build_id", "k", F.struct("key", "bin", "n").alias("_row")).groupBy(
+        "user_id", "app_build_id").agg(F.max("k").alias("max_k"), F.collect_list("_row").alias("_rows"))
     uid = F.col("user_id")
     return pings.select(
         uid.cast("string").alias("client_id"),
@@ -57,7 +61,7 @@ def events_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("max_k") % 10 < 9, F.lit("nightly")).otherwise(F.lit("beta"))
          .alias("normalized_channel"),
         (uid % 100).cast("string").alias("sample_id"),
-        *_as_maps(EVENT_PROBES),
+        *[_keyed_map("_rows", t).alias(p) for t, p in zip(EVENT_TYPES, EVENT_PROBES)],
     )
 
 
@@ -75,18 +79,17 @@ def lineitem_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hist_discount": F.round(F.col("l_discount") * 100).cast("int"),
         "hist_tax": F.round(F.col("l_tax") * 100).cast("int"),
     }
-    long = j.select(
-        F.col("o_custkey").alias("cust"), build.alias("app_build_id"),
-        F.inline(F.array(*[F.struct(F.lit(p).alias("key"), c.alias("bin")) for p, c in bins.items()])),
-    )
-    per_bin = long.groupBy("cust", "app_build_id", "key", "bin").agg(F.count(F.lit(1)).alias("n"))
-    pings = per_bin.groupBy("cust", "app_build_id").agg(
-        *_probe_maps({p: p for p in LINEITEM_PROBES}))
+    lines = j.select(F.col("o_custkey").alias("cust"), build.alias("app_build_id"), *[c.alias(p) for p, c in bins.items()])
+    # lines with the same four bins are counted first (partial aggregation absorbs hot customers):
+    # a ping then collects at most one row per combination of bins, and one row per line at most
+    counted = lines.groupBy("cust", "app_build_id", *bins).agg(F.count(F.lit(1)).alias("n"))
+    pings = counted.select("cust", "app_build_id", F.struct(*bins, "n").alias("_row")).groupBy(
+        "cust", "app_build_id").agg(F.collect_list("_row").alias("_rows"))
     return pings.select(
         F.col("cust").cast("string").alias("client_id"),
         "app_build_id",
         F.lit("app").alias("app_name"),
         F.lit("nightly").alias("normalized_channel"),
         (F.col("cust") % 100).cast("string").alias("sample_id"),
-        *_as_maps(LINEITEM_PROBES),
+        *[_summed_map("_rows", p).alias(p) for p in LINEITEM_PROBES],
     )
