@@ -28,7 +28,7 @@ from histshift.functions.dates import window_bounds
 from histshift.operators import bootstrap as bs
 from histshift.operators import profiles as pr
 from histshift.operators import relds as rd
-from histshift.session import job_folder, write_table
+from histshift.session import COLLECTING, job_folder, settings as session_settings, write_table
 from histshift.sources.published import Change, Store, Version
 
 CALENDAR = "app_build_id string, control_build string"
@@ -85,7 +85,8 @@ def fold_pings(spark: SparkSession, store: Store, pings: DataFrame, cfg: RunConf
             return store.commit(base, changes, {"settings": settings(cfg)})
         v = base.applied(changes)
         kept = [k for k in v.parts("bins") if _build(k) in touched]
-        profile = write_table(bs.by_build(pr.profiles_of(pr.merged_bins(v.read("bins", kept)), cfg)), "profile")
+        with session_settings(spark, COLLECTING):
+            profile = write_table(bs.by_build(pr.profiles_of(pr.merged_bins(v.read("bins", kept)), cfg)), "profile")
         stats = write_table(pr.build_stats(profile), "stats")
         made = {"stats": store.stage("stats", stats),
                 "means": store.stage("means", pr.client_means(profile, cfg.probes)),
