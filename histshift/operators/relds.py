@@ -70,7 +70,9 @@ def relds(cells: DataFrame, calendar: DataFrame, cfg: RunConfig) -> DataFrame:
         F.sum(F.when(F.col("role") == "c", F.col("wsum"))).alias("vc"),
         F.sum(F.when(F.col("role") == "t", F.col("wsum"))).alias("vt"))
     marker = F.col("metric").isNull()
-    hist = Window.partitionBy("rep", "test_build", "probe")
+    # bins in order, so that sums don't depend on which tasks the cells come from
+    hist = (Window.partitionBy("rep", "test_build", "probe").orderBy("metric")
+            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     tot = paired.select(
         "*", F.sum(F.when(~marker, F.col("vc"))).over(hist).alias("tc"),
         F.sum(F.when(~marker, F.col("vt"))).over(hist).alias("tt"))
