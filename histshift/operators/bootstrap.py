@@ -7,7 +7,8 @@ once for all of them and pre-aggregates by (first replicate, build, probe, metri
 per replicate: a bin is looked up once, not once per replicate. The profile table is written
 clustered by build (``by_build``), a large build over as many files as its size asks for:
 a task holds the cells of a build or two, so its hash map stays small and what it shuffles
-is about (distinct cells) x (files a build spans), not every cell of every build. No profile
+is about (distinct cells) x (files a build spans), not every cell of every build. (A run's profiles
+are by build as they are made, ``profiles``; ``by_build`` is for those of a fold.) No profile
 crosses a shuffle again. One marker element per (profile, replicate) adds sum(w) per
 (rep, build) to the same aggregation.
 """

@@ -1,6 +1,6 @@
 """One comparison run as DataFrames.
 
-pings -> profiles (written once, clustered by build) -> replicate blocks, each read from the profile table and
+pings -> one shuffle by (build, client) -> profiles (written once, clustered by build) -> replicate blocks, each read from the profile table and
 pre-aggregated -> shuffle by (rep, build, probe, metric) -> join with the calendar -> one
 group per (rep, comparison, probe) -> RelDS -> percentile. Nothing is collected to the
 driver; every output is a DataFrame.
@@ -46,7 +46,7 @@ class RunResult:
         if not self.materialize:
             return prof
         with settings(prof.sparkSession, COLLECTING):
-            return write_table(bs.by_build(prof), "profile")
+            return write_table(prof, "profile")
 
     @cached_property
     def build_stats(self) -> DataFrame:

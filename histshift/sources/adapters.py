@@ -67,24 +67,21 @@ def events_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineitem_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter B (scale): one ping = one customer in one ship month."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    j = li.join(od, li.l_orderkey == od.o_orderkey)
-    build = F.concat(F.date_format(F.trunc(F.col("l_shipdate").cast("date"), "month"), "yyyyMMdd"),
-                     F.lit("120000"))
+    day = F.date_format(F.trunc(F.col("l_shipdate").cast("date"), "month"), "yyyyMMdd")
     bins = {
         "hist_quantity": (F.floor(F.col("l_quantity") / 5) * 5).cast("int"),
         "hist_price": (F.floor(F.col("l_extendedprice") / 5000) * 5000).cast("int"),
         "hist_discount": F.round(F.col("l_discount") * 100).cast("int"),
         "hist_tax": F.round(F.col("l_tax") * 100).cast("int"),
     }
-    lines = j.select(F.col("o_custkey").alias("cust"), build.alias("app_build_id"), *[c.alias(p) for p, c in bins.items()])
-    # lines with the same four bins are counted first (partial aggregation absorbs hot customers):
-    # a ping then collects at most one row per combination of bins, and one row per line at most
-    counted = lines.groupBy("cust", "app_build_id", *bins).agg(F.count(F.lit(1)).alias("n"))
-    pings = counted.select("cust", "app_build_id", F.struct(*bins, "n").alias("_row")).groupBy(
-        "cust", "app_build_id").agg(F.collect_list("_row").alias("_rows"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", day.alias("_day"), *[c.alias(p) for p, c in bins.items()])
+    od = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"))
+    # lines are dealt by ping once, as a row of bins. There lines with the same four bins are counted
+    # first: a ping then collects at most one row per combination of bins, and one row per line at most
+    lines = li.join(od, li.l_orderkey == od.o_orderkey).select("cust", "_day", *bins).repartition("cust", "_day")
+    counted = lines.groupBy("cust", "_day", *bins).agg(F.count(F.lit(1)).alias("n"))
+    pings = counted.select("cust", "_day", F.struct(*bins, "n").alias("_row")).groupBy("cust", "_day").agg(
+        F.collect_list("_row").alias("_rows")).withColumn("app_build_id", F.concat("_day", F.lit("120000")))
     return pings.select(
         F.col("cust").cast("string").alias("client_id"),
         "app_build_id",

@@ -94,3 +94,58 @@ def test_runs_of_one_query_share_one_ping_table(spark, monkeypatch, name):
     C.QUERIES[name](spark, SF001)
     assert len(made) == 1 and len(read) >= 6
     assert not any("events.parquet" in f for p in read for f in p.inputFiles())
+
+
+def exchanges(df) -> list[str]:
+    return [line.strip(" +-:") for line in plan(df, "simple").splitlines() if "Exchange" in line]
+
+
+def test_pings_are_shuffled_once_and_whole_before_their_bins_are_exploded(spark, cfg):
+    """A profile needs one shuffle: of pings, not of bins, by ranges of (build, client)."""
+    pings = make_pings(spark, [("a", "20240110093000", {"h1": {1: 1, 2: 1}, "h2": {3: 1}})])
+    prof = pr.profiles(pings, cfg)
+    moved = exchanges(prof)
+    assert len(moved) == 1 and "Exchange rangepartitioning(app_build_id" in moved[0]
+    p = plan(prof, "simple")
+    assert "Generate" not in p[p.index(moved[0]):]
+
+
+def test_a_written_profile_is_dealt_once(spark, cfg, monkeypatch):
+    from histshift.plans import comparison
+    written = {}
+    monkeypatch.setattr(comparison, "write_table", lambda df, name: written.setdefault(name, df))
+    comparison.run_comparison(make_pings(spark, [("a", "20240110093000", {"h1": {1: 1}})]), cfg).profile
+    assert len(exchanges(written["profile"])) == 1
+
+
+def test_a_written_profile_is_sorted_once_and_needs_no_hash_map(spark, cfg):
+    from histshift.session import COLLECTING, settings
+    with settings(spark, COLLECTING):
+        p = plan(pr.profiles(make_pings(spark, [("a", "20240110093000", {"h1": {1: 1}})]), cfg), "simple")
+    assert "HashAggregate" not in p and p.count(" Sort [") == 1
+
+
+def test_lineitem_lines_are_dealt_to_pings_once(spark):
+    """Beside what the join needs, lines cross one shuffle, as bins."""
+    from histshift.sources.adapters import lineitem_pings
+    moved = [e for e in exchanges(lineitem_pings(spark, SF001)) if "hashpartitioning(" in e]
+    assert len([e for e in moved if "orderkey" not in e]) == 1 and any("hashpartitioning(cust" in e for e in moved)
+
+
+def test_dealt_profiles_equal_profiles_of_summed_bins(spark, cfg):
+    """Repeated pings, poisoned, empty, zero and missing maps, negative bins and clients without an id, on
+    several partitions."""
+    from histshift.session import COLLECTING, settings
+    maps = [{1: 1, -4: 2}, {}, None, {1: 0}, {7: None, 1: 3}, {-(2 ** 31): 5, 2 ** 31 - 1: 2 ** 40}]
+    rows = [(c, f"202401{10 + d}09300{k}", {"h1": maps[(i + k) % 6], "h2": maps[(i + 2 * d) % 6]})
+            for i, c in enumerate(["a", "b", "", "é", None, "f"]) for d in range(4) for k in range(3) if (i + d + k) % 5]
+    pings = make_pings(spark, rows + rows[::3]).repartition(5)
+
+    def found(prof):
+        return sorted((repr((r.client_id, r.app_build_id, r.num_client_pings, tuple(r.means))), sorted(map(repr, r.bins)))
+                      for r in prof.collect())
+    for c in (cfg, cfg.with_(estimator=True), cfg.with_(partitions=3)):
+        want = found(pr.profiles_of(pr.client_bins(pr.select_pings(pings, c), c), c))
+        assert len(want) > 15 and found(pr.profiles(pings, c)) == want
+        with settings(spark, COLLECTING):
+            assert found(pr.profiles(pings, c)) == want
